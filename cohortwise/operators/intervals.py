@@ -9,15 +9,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.functions.beta import beta_quantile
+from cohortwise.functions import beta
 from cohortwise.functions.ratios import only_finite
 from cohortwise.functions.values import finite
 
+# The quantile helper travels inside the UDF, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(beta)
+
 
 def _rate_bounds(level: float):
+    beta_quantile = beta.beta_quantile
+
     @F.pandas_udf("lower double, upper double")
     def bounds(claims: pd.Series, exposure: pd.Series) -> pd.DataFrame:
         mac = claims.to_numpy(dtype="float64", na_value=np.nan)
