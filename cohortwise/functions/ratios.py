@@ -14,8 +14,9 @@ def only_finite(number: Column) -> Column:
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient, or null unless both are finite and the denominator is positive."""
-    usable = finite(numerator) & finite(denominator) & (denominator > 0)
-    return only_finite(F.when(usable, numerator / denominator))
+    ratio = F.try_divide(numerator, denominator)
+    usable = (denominator > 0) & finite(denominator) & finite(numerator) & finite(ratio)
+    return F.when(usable, ratio)
 
 
 def clip(number: Column, low: float, high: float) -> Column:

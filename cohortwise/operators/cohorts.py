@@ -24,6 +24,7 @@ from cohortwise.functions.ratios import safe_ratio
 from cohortwise.functions.values import as_key_text, finite, named
 from cohortwise.operators.filters import RowFilter, apply_filters
 from cohortwise.operators.intervals import with_intervals
+from cohortwise.operators.ranking import rank_cohorts
 
 Filters = Iterable[RowFilter | dict[str, Any]]
 
@@ -89,10 +90,53 @@ def with_ratios(totals: DataFrame) -> DataFrame:
     )
 
 
+def _labelled(
+    df: DataFrame, groupings: Sequence[Sequence[str]], filters: Filters, min_claims: float
+) -> DataFrame:
+    """Sums and ratios of one or more groupings, told apart by scenario and way.
+
+    Several groupings share one scan. grouping_id, not a null test, decides which grouping a
+    row belongs to, since keys may be missing themselves.
+    """
+    check_measures(df)
+    chosen = list(dict.fromkeys(tuple(check_grouping(df, g)) for g in groupings))
+    if not chosen:
+        raise ValueError("Give at least one grouping.")
+    if len(chosen) == 1:
+        totals = cohort_totals(df, chosen[0], filters=filters, min_claims=min_claims)
+        return with_ratios(totals.select("*", *_scenario(totals, chosen[0])))
+    columns = list(dict.fromkeys(c for g in chosen for c in g))
+    sets = list(dict.fromkeys(tuple(c for c in columns if c in g) for g in chosen))
+    totals = (
+        apply_filters(df, filters)
+        .groupingSets([[named(c) for c in s] for s in sets], *[named(c) for c in columns])
+        .agg(*_sums(), F.grouping_id().alias("_set"))
+        .where(_enough_claims(min_claims))
+    )
+
+    def set_number(grouping: Sequence[str]) -> int:
+        return sum(1 << i for i, c in enumerate(reversed(columns)) if c not in grouping)
+
+    # Groupings that differ only in column order share a set but not their labels.
+    scenarios = [
+        F.when(F.col("_set") == set_number(g), F.struct(*_scenario(totals, g))) for g in chosen
+    ]
+    found = totals.select("*", F.inline(F.array_compact(F.array(*scenarios))))
+    return with_ratios(found)
+
+
+def _scenario(totals: DataFrame, group_by: Sequence[str]) -> list[Column]:
+    return [
+        F.lit(summary_slug(group_by)).alias("scenario"),
+        F.lit(len(group_by)).alias("way"),
+        cohort_label(totals, group_by).alias("Dimensions"),
+    ]
+
+
 def _finish(labelled: DataFrame, level: float, *extra: str) -> DataFrame:
-    full = with_intervals(with_ratios(labelled), level)
     whole_claims = F.when(finite(F.col("Sum_MAC")), F.col("Sum_MAC")).cast("bigint")
-    return full.withColumn("Sum_MAC", whole_claims).select(*extra, *SUMMARY_COLUMNS)
+    full = with_intervals(labelled, level).withColumn("Sum_MAC", whole_claims)
+    return full.select(*extra, *SUMMARY_COLUMNS)
 
 
 def ae_summary(
@@ -103,10 +147,9 @@ def ae_summary(
     min_claims: float = 0,
     level: float = 0.95,
 ) -> DataFrame:
-    """The twelve-column cohort summary."""
-    totals = cohort_totals(df, group_by, filters=filters, min_claims=min_claims)
-    keys = check_grouping(df, group_by)
-    return _finish(totals.withColumn("Dimensions", cohort_label(totals, keys)), level)
+    """The twelve-column cohort summary of one grouping."""
+    keys = [group_by] if isinstance(group_by, str) else group_by
+    return _finish(_labelled(df, [keys], filters, min_claims), level)
 
 
 def ae_multi_grouping(
@@ -117,41 +160,26 @@ def ae_multi_grouping(
     min_claims: float = 0,
     level: float = 0.95,
 ) -> DataFrame:
-    """Summaries for several groupings out of one scan, told apart by scenario and way.
+    """Summaries of several groupings out of one scan, told apart by scenario and way."""
+    return _finish(_labelled(df, groupings, filters, min_claims), level, "scenario", "way")
 
-    grouping_id, not a null test, decides which grouping a row belongs to, since keys may be
-    missing themselves.
-    """
-    check_measures(df)
-    chosen = list(dict.fromkeys(tuple(check_grouping(df, g)) for g in groupings))
-    if not chosen:
-        raise ValueError("Give at least one grouping.")
-    columns = list(dict.fromkeys(c for g in chosen for c in g))
-    sets = list(dict.fromkeys(tuple(c for c in columns if c in g) for g in chosen))
-    totals = (
-        apply_filters(df, filters)
-        .groupingSets([[named(c) for c in s] for s in sets], *[named(c) for c in columns])
-        .agg(*_sums(), F.grouping_id().alias("_set"))
-        .where(_enough_claims(min_claims))
-    )
 
-    def set_number(grouping: Sequence[str]) -> int:
-        return sum(1 << i for i, c in enumerate(reversed(columns)) if c not in grouping)
+def ranked_summary(
+    df: DataFrame,
+    groupings: Sequence[Sequence[str]],
+    sort_by: str,
+    *,
+    within: Sequence[str] = ("scenario",),
+    filters: Filters = (),
+    min_claims: float = 0,
+    level: float = 0.95,
+) -> DataFrame:
+    """Summaries with cohort_rank, as they are stored.
 
-    scenarios = [
-        F.when(
-            F.col("_set") == set_number(g),
-            F.struct(
-                F.lit(summary_slug(g)).alias("scenario"),
-                F.lit(len(g)).alias("way"),
-                cohort_label(totals, g).alias("Dimensions"),
-            ),
-        )
-        for g in chosen
-    ]
-    labelled = totals.withColumn("_scenario", F.explode(F.array_compact(F.array(*scenarios))))
-    labelled = labelled.select("*", "_scenario.*")
-    return _finish(labelled, level, "scenario", "way")
+    Ranking comes before the intervals, so that its two passes over the cohorts stay cheap.
+    """
+    ranked = rank_cohorts(_labelled(df, groupings, filters, min_claims), sort_by, within=within)
+    return _finish(ranked, level, "scenario", "way", "cohort_rank")
 
 
 # ---- Fixed values: columns behind each measure. ----

@@ -31,6 +31,9 @@ FULL_EXPOSURE_TOLERANCE = 1e-9
 # sketch) a policy fits one window task; beyond it, running totals spread each policy.
 WINDOW_DURATIONS = 50_000
 
+KEY_NAME = "Policy_Number+Duration"
+# (check_id, column_name, failed, issue_count, problem)
+Entry = tuple[str, str, Column, Column, str]
 REPORT = "check_id string, column_name string, status string, issue_count bigint, message string"
 
 
@@ -119,8 +122,8 @@ def _message(column: Column, count: Column, problem: Column) -> Column:
     return F.concat(column, F.lit(": "), count.cast("string"), F.lit(" "), problem)
 
 
-def _report(counted: DataFrame, entries: Sequence[tuple[str, str, Column, Column, str]]) -> DataFrame:
-    """Report rows out of one row of counts: (check, column, failed, count, problem)."""
+def _report(counted: DataFrame, entries: Sequence[Entry]) -> DataFrame:
+    """Report rows out of one row of counts."""
     rows = [
         F.struct(
             F.lit(check).alias("check_id"),
@@ -166,43 +169,24 @@ def check_schema(df: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Rows and claims per policy and duration, combined before the shuffle."""
-    claim = F.count_if(as_number(df, "MAC") == 1) if "MAC" in df.columns else F.lit(0)
-    return (
-        df.groupBy(F.col("Policy_Number").alias("policy"), as_number(df, "Duration").alias("at"))
-        .agg(F.count(F.lit(1)).alias("copies"), claim.cast("bigint").alias("claims"))
-    )
-
-
-def duplicate_keys(df: DataFrame) -> DataFrame:
-    """Distinct policy and duration pairs that occur more than once, as one report row.
+    """Rows and claims per policy and duration, combined before the shuffle.
 
-    Repeated keys with a missing part fail the check but are no pairs to count.
+    Keys with a missing part keep their rows but lend no claims to the death check.
     """
-    whole = F.col("policy").isNotNull() & F.col("at").isNotNull()
-    repeated = F.col("copies") > 1
-    counted = _keyed(df).agg(
-        F.count_if(repeated).alias("any"), F.count_if(repeated & whole).alias("pairs")
-    )
-    return _report(
-        counted,
-        [
-            (
-                "dq_duplicate_key",
-                "Policy_Number+Duration",
-                F.col("any") > 0,
-                F.col("pairs"),
-                "key(s) occur more than once",
-            )
-        ],
+    policy, at = F.col("Policy_Number").alias("policy"), as_number(df, "Duration").alias("at")
+    whole = F.col("Policy_Number").isNotNull() & as_number(df, "Duration").isNotNull()
+    claim = whole & (as_number(df, "MAC") == 1) if "MAC" in df.columns else F.lit(False)
+    return df.groupBy(policy, at).agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if(claim).alias("claims")
     )
 
 
-def _earlier_claims(df: DataFrame, window_durations: int, slices: int | None) -> DataFrame:
-    """Per policy and duration: rows (copies) and claims at strictly lower durations."""
-    keyed = _keyed(df).where(F.col("policy").isNotNull() & F.col("at").isNotNull())
-    spread = df.agg(F.approx_count_distinct(as_number(df, "Duration"))).first()[0]
-    if spread <= window_durations:
+def _with_earlier(
+    keyed: DataFrame, df: DataFrame, window_durations: int, slices: int | None
+) -> DataFrame:
+    """Add the claims of the policy at strictly lower durations."""
+    durations = df.agg(F.approx_count_distinct(as_number(df, "Duration"))).first()[0]
+    if durations <= window_durations:
         below = (
             Window.partitionBy("policy").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
         )
@@ -212,6 +196,36 @@ def _earlier_claims(df: DataFrame, window_durations: int, slices: int | None) ->
     )
 
 
+def _repeats() -> list[Column]:
+    repeated = F.col("copies") > 1
+    whole = F.col("policy").isNotNull() & F.col("at").isNotNull()
+    return [F.count_if(repeated).alias("repeats"), F.count_if(repeated & whole).alias("pairs")]
+
+
+def _later_rows() -> Column:
+    """Pairs of a claim row and a later row of its policy, summed without overflow."""
+    wide = "decimal(19,0)"
+    pairs = F.col("copies").cast(wide) * F.col("earlier").cast(wide)
+    return F.coalesce(F.sum(pairs), F.lit(0)).cast("bigint").alias("later")
+
+
+def _repeat_entry() -> Entry:
+    # Repeated keys with a missing part fail the check but are no pairs to count.
+    failed, pairs = F.col("repeats") > 0, F.col("pairs")
+    return "dq_duplicate_key", KEY_NAME, failed, pairs, "key(s) occur more than once"
+
+
+def _later_entry() -> Entry:
+    later = F.col("later")
+    problem = "row(s) of exposure follow a claim of the same policy"
+    return "dq_death_exposure", KEY_NAME, later > 0, later, problem
+
+
+def duplicate_keys(df: DataFrame) -> DataFrame:
+    """Distinct policy and duration pairs that occur more than once, as one report row."""
+    return _report(_keyed(df).agg(*_repeats()), [_repeat_entry()])
+
+
 def death_exposure(
     df: DataFrame, *, window_durations: int = WINDOW_DURATIONS, slices: int | None = None
 ) -> DataFrame:
@@ -219,22 +233,16 @@ def death_exposure(
 
     The pairs are counted, not built: each row meets as many claims as lie below its duration.
     """
-    pairs = F.col("copies").cast("decimal(19,0)") * F.col("earlier").cast("decimal(19,0)")
-    counted = _earlier_claims(df, window_durations, slices).agg(
-        F.coalesce(F.sum(pairs), F.lit(0)).cast("bigint").alias("pairs")
-    )
-    return _report(
-        counted,
-        [
-            (
-                "dq_death_exposure",
-                "Policy_Number+Duration",
-                F.col("pairs") > 0,
-                F.col("pairs"),
-                "row(s) of exposure follow a claim of the same policy",
-            )
-        ],
-    )
+    rows = _with_earlier(_keyed(df), df, window_durations, slices)
+    return _report(rows.agg(_later_rows()), [_later_entry()])
+
+
+def key_checks(df: DataFrame) -> DataFrame:
+    """Both checks on policy keys out of one grouping."""
+    if "MAC" not in df.columns:
+        return duplicate_keys(df)
+    rows = _with_earlier(_keyed(df), df, WINDOW_DURATIONS, None)
+    return _report(rows.agg(*_repeats(), _later_rows()), [_repeat_entry(), _later_entry()])
 
 
 def dq_report(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
@@ -243,9 +251,7 @@ def dq_report(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     if raw is not None:
         parts.insert(0, check_rows(raw, raw_checks(raw)))
     if {"Policy_Number", "Duration"} <= set(df.columns):
-        parts.append(duplicate_keys(df))
-        if "MAC" in df.columns:
-            parts.append(death_exposure(df))
+        parts.append(key_checks(df))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

@@ -32,7 +32,7 @@ def running_total(
     """Add ``name``: the sum of ``value`` over the rows before each row, per segment.
 
     Rows are range-partitioned by segment and order, so a segment of any size spreads over
-    several slices. The checkpoint freezes the slices: range bounds come from sampling and
+    several slices. Writing them freezes the slices: range bounds come from sampling and
     would differ if the rows were partitioned twice. ``order`` must leave no ties inside a
     segment.
     """
@@ -74,49 +74,3 @@ def running_total(
         .withColumn(name, F.col("_inside") + F.col("_carry"))
         .select(*[named(c) for c in df.columns], name)
     )
-
-
-def value_ranks(
-    df: DataFrame, number: Column, *, spread: bool, slices: int | None = None
-) -> DataFrame:
-    """Distinct values with their copies and the number of rows ``before`` them in order.
-
-    ``spread`` says that there are too many distinct values to sort them in one task.
-    """
-    values = (
-        df.select(number.alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    if spread:
-        order = [F.col("value")]
-        return running_total(values, "copies", order=order, name="before", slices=slices)
-    earlier = (
-        Window.partitionBy(F.lit(0)).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return values.withColumn("before", F.coalesce(F.sum("copies").over(earlier), F.lit(0)))
-
-
-def exact_quantiles(ranked: DataFrame, count: int, parts: int) -> list[float]:
-    """The parts+1 linear-interpolation quantiles of ``count`` values, from ``value_ranks``.
-
-    Ranks are whole-number arithmetic, so an edge that falls on a value is that value. Only
-    the rows at the wanted ranks reach the driver.
-    """
-    places = [divmod(i * (count - 1), parts) for i in range(parts + 1)]
-    wanted = sorted({r for low, part in places for r in (low, low + (part > 0))})
-    after = F.col("before") + F.col("copies")
-    held = F.filter(
-        F.array(*[F.lit(r).cast("bigint") for r in wanted]),
-        lambda r: (r >= F.col("before")) & (r < after),
-    )
-    at_rank = {
-        rank: row["value"]
-        for row in ranked.withColumn("ranks", held).where(F.size("ranks") > 0).collect()
-        for rank in row["ranks"]
-    }
-    return [
-        at_rank[low] + (at_rank[low + (part > 0)] - at_rank[low]) * (part / parts)
-        for low, part in places
-    ]

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from cohortwise.contracts import OTHER_LABEL, check_sort, clamp_top_n, default_sort
 from cohortwise.functions.labels import summary_slug
 from cohortwise.operators import audit
-from cohortwise.operators.cohorts import ae_multi_grouping, ae_summary, check_grouping
+from cohortwise.operators.cohorts import check_grouping, ranked_summary
 from cohortwise.operators.dimensions import Band, band, default_age_band, regroup
 from cohortwise.operators.exhibits import exhibit_rows
 from cohortwise.operators.filters import as_filter
 from cohortwise.operators.masking import masking_threshold, packet_rows, packet_warnings
 from cohortwise.operators.profile import profile_feature_types, profile_nulls, profile_summary
 from cohortwise.operators.quality import REPORT, dq_gate, dq_report
-from cohortwise.operators.ranking import rank_cohorts
 from cohortwise.sources import stores
 from cohortwise.sources.inforce import read_inforce, read_raw_strings
 
@@ -247,15 +246,10 @@ class Study:
         entry = self._prepared_entry()
         data = stores.read_prepared(self.spark, entry["location"])
         keys = [check_grouping(data, g) for g in groupings]
-        options = {"filters": chosen, "min_claims": min_claims, "level": level}
-        if len(keys) == 1:
-            summary = ae_summary(data, keys[0], **options).withColumns(
-                {"scenario": F.lit(summary_slug(keys[0])), "way": F.lit(len(keys[0]))}
-            )
-        else:
-            summary = ae_multi_grouping(data, keys, **options)
         run_id = stores.version_name()
-        ranked = rank_cohorts(summary, order, within=["scenario"])
+        ranked = ranked_summary(
+            data, keys, order, filters=chosen, min_claims=min_claims, level=level
+        )
         path = stores.write_ae_summary(ranked.withColumn("run_id", F.lit(run_id)), self.root)
         saved = self.summaries().where(F.col("run_id") == run_id)
         for group in keys:

@@ -11,14 +11,13 @@ from cohortwise.functions.labels import (
     sensitive_dimension,
     sensitive_value,
 )
-from cohortwise.operators.cohorts import ae_multi_grouping, ae_summary
+from cohortwise.operators.cohorts import ae_summary, ranked_summary
 from cohortwise.operators.masking import (
     mask_cohorts,
     mask_filters,
     packet_rows,
     packet_warnings,
 )
-from cohortwise.operators.ranking import rank_cohorts
 from cohortwise.registry.common import (
     INFORCE,
     SQL_INTERVALS,
@@ -43,8 +42,7 @@ def shared_view(spark, sf_dir):
 
 def shared_summary(spark, sf_dir):
     """A stored summary of several groupings, ranked by its amount ratio."""
-    summary = ae_multi_grouping(shared_view(spark, sf_dir), SHARED).drop("scenario", "way")
-    return rank_cohorts(summary, "AE_Ratio_Amount")
+    return ranked_summary(shared_view(spark, sf_dir), SHARED, "AE_Ratio_Amount", within=())
 
 
 def _names(spark, sf_dir):
@@ -121,12 +119,11 @@ def query_parse_label(spark, sf_dir):
 
 def query_sensitive_value(spark, sf_dir):
     """Words of every document that look like personal data."""
-    words = table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("word")
-    )
-    return words.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("words"),
-        F.count_if(sensitive_value(F.col("word"))).alias("sensitive_words"),
+    words = F.split("text", "[ \\t\\r\\n]+")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.size(words).cast("bigint").alias("words"),
+        F.size(F.filter(words, sensitive_value)).cast("bigint").alias("sensitive_words"),
     )
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortwise.operators.cohorts import ae_multi_grouping, ae_summary
+from cohortwise.operators.cohorts import ae_summary, ranked_summary
 from cohortwise.operators.dimensions import default_age_band
 from cohortwise.operators.profile import (
     profile_feature_types,
     profile_nulls,
     profile_summary,
 )
-from cohortwise.operators.ranking import rank_cohorts
 from cohortwise.registry.common import (
     FLAWED,
     INFORCE,
@@ -84,8 +83,7 @@ def query_write_ae_summary(spark, sf_dir):
     root = new_table_path(spark, "study")
     data = inforce(spark, sf_dir)
     for groupings in ([["Gender"], ["Gender", "Smoker"]], [["Smoker"], ["Smoker", "Study_Year"]]):
-        summary = ae_multi_grouping(data, groupings)
-        ranked = rank_cohorts(summary, "AE_Ratio_Amount", within=["scenario"])
+        ranked = ranked_summary(data, groupings, "AE_Ratio_Amount")
         path = write_ae_summary(ranked.withColumn("run_id", F.lit(version_name())), root)
     latest = latest_by_way(spark.read.parquet(path))
     return rounded(latest).select(
