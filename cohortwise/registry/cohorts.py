@@ -71,7 +71,9 @@ def query_ae_multi_grouping(spark, sf_dir):
 
 
 def query_ae_min_claims(spark, sf_dir):
-    totals = cohort_totals(inforce(spark, sf_dir), PAIR, min_claims=800)
+    """Policies with several claims: many small cohorts, few of which remain."""
+    df = inforce(spark, sf_dir).withColumnRenamed("Policy_Number", "Plan_Code")
+    totals = cohort_totals(df, ["Plan_Code", "Study_Year"], min_claims=2)
     return rounded(_totals(totals))
 
 
@@ -98,7 +100,7 @@ def query_ae_ratio_amount(spark, sf_dir):
 
 def query_rate_ci(spark, sf_dir):
     bounded = with_rate_ci(cohort_totals(inforce(spark, sf_dir), PAIR))
-    return rounded(bounded, {"Rate_CI_Lower": 5, "Rate_CI_Upper": 5}).select(
+    return rounded(bounded, {"Rate_CI_Lower": 4, "Rate_CI_Upper": 4}).select(
         *PAIR, "Rate_CI_Lower", "Rate_CI_Upper"
     )
 
@@ -216,8 +218,10 @@ from ({sql_totals(["Gender"], where=where)})"""
 from ({sql_totals(["Study_Year"])})""",
     "ae_two_way": f"with {INFORCE} select {_PAIR_KEYS}, {SQL_SUMS} from ({sql_totals(PAIR)})",
     "ae_multi_grouping": _multi_bounded(),
-    "ae_min_claims": f"""with {INFORCE} select {_PAIR_KEYS}, {SQL_SUMS}
-from ({sql_totals(PAIR, min_claims=800)})""",
+    "ae_min_claims": f"""with {INFORCE},
+coded as (select *, "Policy_Number" as "Plan_Code" from inforce)
+select "Plan_Code", "Study_Year", {SQL_SUMS}
+from ({sql_totals(["Plan_Code", "Study_Year"], source="coded", min_claims=2)})""",
     "cohort_label": f"""with {TYPED},
 keyed as (
   select case when trim("Gender") <> '' then "Gender" end as "Gender",
@@ -231,8 +235,8 @@ from keyed group by 1""",
 select "Gender", case when isinf("Sum_MEC") then null else round("AE_Ratio_Count", 6) end
   as "AE_Ratio_Count", round("AE_Ratio_Amount", 6) as "AE_Ratio_Amount"
 from ({sql_totals(["Gender"], source="typed")})""",
-    "rate_ci": f"""{_BOUNDED} select {_PAIR_KEYS}, round(lo, 5) as "Rate_CI_Lower",
-  round(hi, 5) as "Rate_CI_Upper" from bounded""",
+    "rate_ci": f"""{_BOUNDED} select {_PAIR_KEYS}, round(lo, 4) as "Rate_CI_Lower",
+  round(hi, 4) as "Rate_CI_Upper" from bounded""",
     "ae_ci_count": f"""{_BOUNDED} select {_PAIR_KEYS},
   round("AE_Count_CI_Lower", 4) as "AE_Count_CI_Lower",
   round("AE_Count_CI_Upper", 4) as "AE_Count_CI_Upper" from bounded""",

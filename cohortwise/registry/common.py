@@ -159,11 +159,11 @@ def sql_intervals(cohorts: str) -> str:
     from {cohorts} where "Sum_MOC" > 0 and "Sum_MAC" >= 0 and "Sum_MAC" <= "Sum_MOC"),
   grid as (
     select "Dimensions", a, b, a / (a + b) as m,
-      unnest(generate_series(-4000, 4000)) as i from params),
+      unnest(generate_series(-8000, 8000)) as i from params),
   bump as (
-    select *, i * sqrt(1 / a + 1 / b) / 400.0e0 as u,
-      exp(a * (i * sqrt(1 / a + 1 / b) / 400.0e0)
-        - (a + b) * ln(1 + m * (exp(i * sqrt(1 / a + 1 / b) / 400.0e0) - 1))) as h
+    select *, i * sqrt(1 / a + 1 / b) / 800.0e0 as u,
+      exp(a * (i * sqrt(1 / a + 1 / b) / 800.0e0)
+        - (a + b) * ln(1 + m * (exp(i * sqrt(1 / a + 1 / b) / 800.0e0) - 1))) as h
     from grid),
   mass as (
     select *, sum(h) over (partition by "Dimensions" order by i) - h / 2 as t from bump),

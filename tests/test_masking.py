@@ -1,0 +1,152 @@
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortwise.contracts import SUMMARY_COLUMNS
+from cohortwise.functions.labels import (
+    SENSITIVE_TERMS,
+    dimension_tokens,
+    parse_label,
+    parse_warnings,
+    sensitive_dimension,
+    sensitive_value,
+)
+from cohortwise.operators.masking import (
+    mask_cohorts,
+    mask_filters,
+    masking_threshold,
+    packet_rows,
+    packet_warnings,
+)
+
+BASE = dict(Dimensions="Gender=M", Sum_MAC=2.0, Sum_MOC=10.0, Sum_MEC=1.0, Sum_MAF=1e5,
+            Sum_MEF=8e4, AE_Ratio_Count=2.0, AE_Ratio_Amount=1.25, AE_Count_CI_Lower=0.25,
+            AE_Count_CI_Upper=3.5, AE_Amount_CI_Lower=0.3, AE_Amount_CI_Upper=3.75)
+SCHEMA = ", ".join(f"{c} {'string' if c == 'Dimensions' else 'double'}" for c in SUMMARY_COLUMNS)
+
+
+def summary(spark, *changes):
+    rows = []
+    for rank, change in enumerate(changes, 1):
+        row = {**BASE, **change}
+        rows.append((*[row[c] for c in SUMMARY_COLUMNS], rank))
+    return spark.createDataFrame(rows, SCHEMA + ", cohort_rank long")
+
+
+def _texts(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+
+def test_tokens(spark):
+    want = {
+        "Policy_Number": ["policy", "number", "policy_number"],
+        "customerEmail2X": ["customer", "email2", "x", "customer_email2_x"],
+        "ZIP code": ["zip", "code", "zip_code"],
+        "Gender": ["gender"],
+        "--": [],
+        "HTTPServerID": ["httpserver", "id", "httpserver_id"],
+        "\u212aelvin": ["elvin"],
+    }
+    df = _texts(spark, list(want)).select("t", dimension_tokens(F.col("t")).alias("k"))
+    got = {r["t"]: r["k"] for r in df.collect()}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(set(v)) for k, v in want.items()}
+
+
+def test_sensitive_names(spark):
+    yes = [*SENSITIVE_TERMS, "PolicyNumber", "member-id", "Date of Birth", "first.name"]
+    no = ["Gender", "Smoker", "Identity", "Renamed", "Face_Amount_Band", "", "Zipper"]
+    df = _texts(spark, yes + no).select("i", sensitive_dimension(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.orderBy("i").collect()] == [True] * len(yes) + [False] * len(no)
+
+
+def test_sensitive_values(spark):
+    yes = ["a@b.co", " x.y@mail.example.com ", "+1 (555) 010-9999", "5550109", "123-45-6789",
+           "123456789", "٣٣٣-٤٤-٥٥٥٥", "555 0109"]
+    no = ["Term", "a@b", "123456", "a b@c.d", "12-34", None, "", "2021"]
+    df = _texts(spark, yes + no).select("i", sensitive_value(F.col("t")).alias("s"))
+    assert [r["s"] for r in df.orderBy("i").collect()] == [True] * len(yes) + [False] * len(no)
+
+
+def test_label_parts(spark):
+    want = {
+        "Gender=M | Smoker=No": ([("Gender", "M"), ("Smoker", "No")], 0),
+        "malformed label": ([], 1),
+        " Plan = a=b | =x | y": ([("Plan", "a=b")], 2),
+        "a= | b=1 |": ([("a", ""), ("b", "1 |")], 0),
+        "a=1 | ": ([("a", "1")], 1),
+        "": ([], 1),
+        "a=1| b=2": ([("a", "1| b=2")], 0),
+    }
+    df = _texts(spark, list(want)).select(
+        "t", parse_label(F.col("t")).alias("p"), parse_warnings(F.col("t")).alias("w")
+    )
+    got = {r["t"]: ([tuple(p) for p in r["p"]], r["w"]) for r in df.collect()}
+    assert got == want
+
+
+def test_filters(spark):
+    rows = [("Gender", "=", "M"), ("Member", "=", "M"), ("Plan", "!=", "a@b.co"), ("Plan", "<", None)]
+    got = mask_filters(spark.createDataFrame(rows, "column string, operator string, value string"))
+    assert [tuple(r) for r in got.collect()] == [
+        ("Gender", "=", "M", False),
+        ("[masked column]", "=", "[masked value]", True),
+        ("[masked column]", "!=", "[masked value]", True),
+        ("Plan", "<", None, False),
+    ]
+
+
+def test_packet_hides_sensitive_cohorts(spark):
+    df = summary(spark, {"Dimensions": "Policy_Number=P001 | Gender=M"}).withColumn(
+        "Unexpected_Name", F.lit("Alice Example")
+    )
+    rows = packet_rows(df, top_n=10)
+    row = rows.first()
+    assert row["Dimensions"] == "[masked cohort label]"
+    assert row["Dimension_Columns"] == ["[masked dimension]"]
+    assert row["masking_reason"] == "sensitive_or_disallowed_dimension"
+    assert row["low_credibility"] and row["caution_flags"] == [row["masking_reason"]]
+    text = json.dumps([r.asDict() for r in rows.collect()]) + json.dumps(
+        [r.asDict() for r in packet_warnings(df).collect()]
+    )
+    for hidden in ("Policy_Number", "P001", "Alice Example", "Unexpected_Name"):
+        assert hidden not in text
+
+
+def test_packet_hides_small_cohorts_after_sensitive_ones(spark):
+    df = summary(spark, {"Sum_MAC": 4.0}, {"Sum_MAC": 5.0}, {"Sum_MAC": 1.0, "Dimensions": "zip=1"},
+                 {"Dimensions": "odd", "Sum_MAC": 9.0}, {"Sum_MOC": None, "Sum_MAC": 7.0})
+    rows = packet_rows(df, min_claims=5).orderBy("evidence_ref").collect()
+    assert [r["masking_reason"] for r in rows] == [
+        "low_volume", None, "sensitive_or_disallowed_dimension", None, None
+    ]
+    assert rows[0]["Dimension_Columns"] == ["Gender"] and rows[0]["low_credibility"]
+    assert rows[3]["caution_flags"] == ["dimension_parse_warning"] and rows[3]["Dimensions"] == "odd"
+    assert rows[4]["Sum_MOC"] == 0.0
+    assert [r["evidence_ref"] for r in rows][0] == "row_0001"
+    found = {(r["code"], r["evidence_refs"][0]) for r in packet_warnings(df).collect()}
+    assert found == {("sensitive_or_disallowed_dimension", "row_0003"),
+                     ("dimension_parse_warning", "row_0004")}
+
+
+def test_thresholds_and_limits(spark):
+    assert masking_threshold(None, 0) == 1 and masking_threshold(None, 6) == 6
+    assert masking_threshold(0, 6) == 0
+    df = summary(spark, *[{"Dimensions": f"G={i}"} for i in range(25)])
+    assert packet_rows(df, top_n=99).count() == 20
+    assert packet_rows(df, top_n=0).count() == 1
+    assert mask_cohorts(df).count() == 25
+
+
+def test_a_packet_needs_claim_counts(spark):
+    with pytest.raises(Exception, match="Sum_MAC"):
+        packet_rows(summary(spark, {"Sum_MAC": None})).collect()
+
+
+def test_filter_warnings_are_given_once(spark):
+    filters = spark.createDataFrame([("ssn", "=", "1"), ("Policy_Number", "=", "P")],
+                                    "column string, operator string, value string")
+    codes = [r["code"] for r in packet_warnings(summary(spark, {}), filters=filters).collect()]
+    assert codes == ["sensitive_filter_masked"]
+    assert re.fullmatch(r"\w+", codes[0])
