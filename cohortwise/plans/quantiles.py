@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cohortwise.plans.ordered import running_total
 
 # Up to this many distinct values are sorted in one task.
-ONE_TASK_VALUES = 1_000_000
+ONE_TASK_VALUES = 100_000
 SKETCH_ACCURACY = 10_000
 # Distance from a quantile to the ends of its bracket, in sketch errors.
 BRACKET_ERRORS = 3

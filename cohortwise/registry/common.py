@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.functions.values import NUMBER_PATTERN, as_number
+from cohortwise.functions.values import as_number
 from cohortwise.sources.inforce import coerce_core_numeric
 from cohortwise.sources.tables import flawed_inforce
 
@@ -97,6 +97,9 @@ FLAWED = f"""flawed as (
   from lineitem)"""
 
 
+NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+
+
 def sql_number(text: str) -> str:
     return (
         f"case when regexp_matches(trim({text}), '{NUMBER_PATTERN}') "

@@ -9,13 +9,12 @@ from pyspark.sql import types as T
 from cohortwise.contracts import MEASURES
 from cohortwise.functions.values import (
     CSV_MISSING_CELLS,
-    INTEGER_PATTERN,
     as_number,
     data_type,
     named,
     nan_to_null,
+    parse_integer,
     parse_number,
-    strip,
 )
 
 FORMATS = ("csv", "parquet")
@@ -72,7 +71,7 @@ def _typed_csv(text: DataFrame) -> DataFrame:
     for position, column in enumerate(open_columns):
         cell = named(column)
         no_number = cell.isNotNull() & parse_number(cell).isNull()
-        no_integer = cell.isNotNull() & ~strip(cell).rlike(INTEGER_PATTERN)
+        no_integer = cell.isNotNull() & parse_integer(cell).isNull()
         tests += [
             F.count(cell).alias(f"n{position}"),
             F.max(no_number).alias(f"t{position}"),
@@ -86,7 +85,7 @@ def _typed_csv(text: DataFrame) -> DataFrame:
         if found[f"n{position}"] == 0 or found[f"d{position}"]:
             typed[column] = parse_number(named(column))
         else:
-            typed[column] = strip(named(column)).cast("bigint")
+            typed[column] = parse_integer(named(column))
     return cells.withColumns(typed)
 
 
