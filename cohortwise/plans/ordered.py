@@ -42,35 +42,49 @@ def running_total(
             "_slice", F.spark_partition_id()
         )
     )
-    zero = F.lit(0).cast(cut.schema[value].dataType)
     before = (
         Window.partitionBy(*segments, "_slice")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # At most one row per slice and segment: slices, not data, bound this window.
+    zero = F.lit(0).cast(cut.schema[value].dataType)
+    inside = cut.withColumn("_inside", F.coalesce(F.sum(value).over(before), zero))
+    carried = _carried(cut, value, segment)
+    same = F.col("_slice") == F.col("_carry_slice")
+    for i, column in enumerate(segments):
+        same &= column.eqNullSafe(F.col(f"_seg{i}"))
+    # At most one row per slice, see _carried.
+    joined = inside.join(F.broadcast(carried), same, "left")
+    total = F.col("_inside") + F.coalesce("_carry", F.lit(0))
+    return joined.withColumn(name, total).select(*[named(c) for c in df.columns], name)
+
+
+def _carried(cut: DataFrame, value: str, segment: Sequence[str]) -> DataFrame:
+    """What a slice inherits for a segment that began in an earlier one.
+
+    Slices are contiguous, so only the first segment of a slice can inherit anything, and only
+    the first and last segments of a slice can lie in two: the result has at most one row per
+    slice, and the sums behind it at most two.
+    """
+    names = [f"_seg{i}" for i in range(len(segment))]
+    keyed = cut.select(
+        *[named(c).alias(n) for c, n in zip(segment, names)],
+        F.col("_slice").alias("_carry_slice"),
+        F.col(value).alias("_value"),
+    )
+    if names:
+        whole = F.struct(*names)
+        ends = keyed.groupBy("_carry_slice").agg(F.min(whole).alias("a"), F.max(whole).alias("b"))
+        shared = ends.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+        keyed = keyed.join(F.broadcast(shared), whole.eqNullSafe(F.col("end")), "left_semi")
     earlier = (
-        Window.partitionBy(*(segments or [F.lit(0)]))
-        .orderBy("_slice")
+        Window.partitionBy(*(names or [F.lit(0)]))
+        .orderBy("_carry_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = (
-        cut.groupBy(*segments, "_slice")
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_carry", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-        .drop("_total")
-        .select(
-            *[c.alias(f"_seg{i}") for i, c in enumerate(segments)],
-            F.col("_slice").alias("_carry_slice"),
-            "_carry",
-        )
-    )
-    inside = cut.withColumn("_inside", F.coalesce(F.sum(value).over(before), zero))
-    same = F.col("_slice") == F.col("_carry_slice")
-    for i, c in enumerate(segments):
-        same &= c.eqNullSafe(F.col(f"_seg{i}"))
+    totals = keyed.groupBy(*names, "_carry_slice").agg(F.sum("_value").alias("_total"))
     return (
-        inside.join(carried, same)
-        .withColumn(name, F.col("_inside") + F.col("_carry"))
-        .select(*[named(c) for c in df.columns], name)
+        totals.withColumn("_carry", F.sum("_total").over(earlier))
+        .where(F.col("_carry").isNotNull())
+        .drop("_total")
     )

@@ -53,8 +53,10 @@ class Study:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:  # nothing logged yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing logged yet
 
     def steps(self) -> DataFrame:
         return self._read("audit/steps", audit.EVENTS)
@@ -131,7 +133,7 @@ class Study:
             location,
             self._hash(saved),
             tool,
-            parameters,
+            {**parameters, "partition_by": list(partition_by)},
             sources,
         )
         return saved
@@ -183,7 +185,8 @@ class Study:
         before = self._prepared_entry()
         sources = [("prepared_dataset_prior", before["path"], before["content_hash"])]
         parameters["previous_prepared_content_hash"] = before["content_hash"]
-        saved = self._save_prepared(df, tool, parameters, sources)
+        layout = json.loads(before["parameters"])["partition_by"]
+        saved = self._save_prepared(df, tool, parameters, sources, layout)
         self._log(step, tool, before["location"], f"{self.root}/prepared", **parameters)
         return saved
 

@@ -11,6 +11,7 @@ from cohortwise.operators.profile import (
     profile_nulls,
     profile_summary,
 )
+from cohortwise.operators.ranking import ae_sort
 from cohortwise.registry.common import (
     FLAWED,
     INFORCE,
@@ -104,7 +105,8 @@ def query_write_ae_summary(spark, sf_dir):
 def query_read_ae_summary(spark, sf_dir):
     """A summary kept as CSV with a column too many is read back with the twelve it needs."""
     summary = ae_summary(inforce(spark, sf_dir), ["Risk_Class", "Product_Group"])
-    path = _as_csv(summary.withColumn("Analyst_Name", F.lit("x")), "summary-csv")
+    ordered = ae_sort(summary.withColumn("Analyst_Name", F.lit("x")), "AE_Ratio_Amount")
+    path = _as_csv(ordered, "summary-csv")
     df = read_ae_summary(spark, path, fmt="csv", allow_empty=False)
     return rounded(df).withColumn("Sum_MAC", F.col("Sum_MAC").cast("bigint"))
 

@@ -1,4 +1,4 @@
-"""Shared folder for checkpoints and intermediate tables."""
+"""Shared folder for intermediate tables."""
 
 from __future__ import annotations
 
@@ -13,19 +13,16 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder.
+    Only a local session without the setting gets a temporary folder, once.
     """
-    named = spark.conf.get(SETTING, None)
     context = spark.sparkContext
-    if not named:
-        named = context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"Set {SETTING} to a folder that all executors share.")
-        named = tempfile.mkdtemp(prefix="cohortwise-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+    named = spark.conf.get(SETTING, None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"Set {SETTING} to a folder that all executors share.")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwise-"))
+    return context.getCheckpointDir()
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.contracts import RATIOS, SUMMARY_COLUMNS
 from cohortwise.operators.ranking import rank_cohorts
+from cohortwise.plans.ordered import running_total
 
 
 def version_name() -> str:
@@ -57,7 +58,11 @@ def write_ae_summary(summary: DataFrame, root: str) -> str:
 def read_ae_summary(
     spark: SparkSession, path: str, *, fmt: str = "parquet", allow_empty: bool = True
 ) -> DataFrame:
-    """Stored summary; see ``check_ae_summary``."""
+    """Stored summary; see ``check_ae_summary``.
+
+    A summary made elsewhere, without cohort_rank, is ranked by the order of its rows in the
+    files.
+    """
     if fmt == "csv":
         df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
         numbers = {c: F.col(c).cast("double") for c in SUMMARY_COLUMNS[1:] if c in df.columns}
@@ -66,14 +71,29 @@ def read_ae_summary(
         df = df.withColumns(numbers)
     else:
         df = spark.read.parquet(path)
+    if "cohort_rank" not in df.columns:
+        df = _with_file_rank(df)
     return check_ae_summary(df, allow_empty=allow_empty)
 
 
+def _with_file_rank(df: DataFrame) -> DataFrame:
+    """cohort_rank by position in the files: file, then split, then row within the split."""
+    placed = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
+        F.lit(1).cast("bigint").alias("_one"),
+    )
+    order = [F.col("_file"), F.col("_split"), F.col("_row")]
+    counted = running_total(placed, "_one", order=order, name="_before")
+    return counted.withColumn("cohort_rank", F.col("_before") + 1)
+
+
 def check_ae_summary(df: DataFrame, *, allow_empty: bool = True) -> DataFrame:
     """Keep the twelve columns and the rank; refuse a table that lacks one of them.
 
-    A table without cohort_rank (made elsewhere) is ranked by its amount ratio, as Spark rows
-    have no order of their own.
+    A table without cohort_rank is ranked by its amount ratio.
     """
     absent = [c for c in SUMMARY_COLUMNS if c not in df.columns]
     if absent:

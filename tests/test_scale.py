@@ -65,6 +65,15 @@ def test_a_hot_segment_is_cut_into_many_slices(spark):
     assert cut.groupBy("_slice").count().agg(F.max("count")).first()[0] < 3 * 30000 / 12
 
 
+def test_running_totals_shuffle_the_rows_once_after_the_cut(spark):
+    df = spark.range(100).select(F.col("id").alias("at"), F.lit(1).cast("bigint").alias("n"),
+                                 (F.col("id") % 9).alias("key"))
+    total = running_total(df, "n", order=[F.col("at")], segment=["key"], name="b", slices=4)
+    plan = _plan(total)
+    rows_side = plan.split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in rows_side and rows_side.count("Exchange hashpartitioning") == 1
+
+
 def _newest_cut(spark):
     import os
 

@@ -106,14 +106,26 @@ def test_summary_needs_its_columns(spark, sample, tmp_path):
         check_ae_summary(summary.drop("Sum_MOC"))
     with pytest.raises(ValueError, match="no cohorts"):
         check_ae_summary(summary.where("false"), allow_empty=False)
-    path = str(tmp_path / "s.csv")
-    summary.withColumn("Extra", F.lit(1)).coalesce(1).write.csv(path, header=True)
-    back = read_ae_summary(spark, path, fmt="csv")
-    assert back.columns == [*SUMMARY_COLUMNS, "cohort_rank"]
-    ranks = {r["Dimensions"]: r["cohort_rank"] for r in back.collect()}
+    ranks = {r["Dimensions"]: r["cohort_rank"] for r in check_ae_summary(summary).collect()}
     assert ranks == {"Gender=M": 1, "Gender=F": 2}
 
 
+def test_summaries_from_elsewhere_keep_the_order_of_their_rows(spark, sample, tmp_path):
+    labels = [f"Segment={i * 7919 % 3000}" for i in range(3000)]
+    row = {c: 1.0 for c in SUMMARY_COLUMNS}
+    pdf = pd.DataFrame([{**row, "Dimensions": label, "Extra": "x"} for label in labels])
+    pdf.to_csv(tmp_path / "s.csv", index=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        back = read_ae_summary(spark, str(tmp_path / "s.csv"), fmt="csv")
+        assert back.columns == [*SUMMARY_COLUMNS, "cohort_rank"]
+        assert spark.read.csv(str(tmp_path / "s.csv")).rdd.getNumPartitions() > 3
+        got = [r["Dimensions"] for r in back.orderBy("cohort_rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == labels
+
+
 def test_slug():
     assert summary_slug(["Risk Class", "Issue_Age_Band", "Smoker?"]) == (
         "risk_class_issue_age_band_smoker"
