@@ -129,7 +129,7 @@ def state_inputs(
     min_claims: float = 0,
     sort_by: str = "AE_Ratio_Amount",
 ) -> dict[str, Any]:
-    """What, beside the sources, determines an analysis."""
+    """What, beside the sources, determines an analysis; the key names are fixed values."""
     return {
         "group_by": list(group_by),
         "filters": [dict(f) for f in filters],

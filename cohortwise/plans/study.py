@@ -28,6 +28,17 @@ from cohortwise.operators.quality import REPORT, dq_gate, dq_report
 from cohortwise.sources import stores
 from cohortwise.sources.inforce import read_inforce, read_raw_strings
 
+# ---- Fixed values: step and artifact names in the logs. ----
+PROFILED = "Source dataset profiled"
+VALIDATED = "Validation checks run"
+BANDED = "Feature engineering band created"
+REGROUPED = "Feature engineering regroup created"
+SUMMED = "Grouped A/E analysis run"
+PACKED = "Sanitized AI A/E packet built"
+SOURCE, PREPARED, PRIOR = "source_dataset", "prepared_dataset", "prepared_dataset_prior"
+SUMMARY, LATEST_SUMMARY, PACKET = "ae_summary", "latest_ae_summary", "ai_ae_packet"
+# ---- End of fixed values. ----
+
 ENTRIES = (
     "entry_id string, entry_ts timestamp, artifact_type string, path string, location string, "
     f"content_hash string, source_artifacts {audit.SOURCES}, generating_tool string, "
@@ -109,7 +120,7 @@ class Study:
     # -- steps --------------------------------------------------------------------------
 
     def _prepared_entry(self) -> Row:
-        entry = self._newest("prepared_dataset")
+        entry = self._newest(PREPARED)
         if entry is None:
             raise FileNotFoundError("The study has no prepared table; profile a source first.")
         return entry
@@ -128,7 +139,7 @@ class Study:
         location = stores.write_prepared(df, self.root, partition_by=partition_by)
         saved = stores.read_prepared(self.spark, location)
         self._record(
-            "prepared_dataset",
+            PREPARED,
             f"{self.root}/prepared",
             location,
             self._hash(saved),
@@ -145,15 +156,15 @@ class Study:
         source = read_inforce(self.spark, path, **reader)
         source_hash = self._hash(source)
         parameters = {"data_path": path, "fmt": reader.get("fmt")}
-        self._record("source_dataset", path, path, source_hash, "profile", parameters)
+        self._record(SOURCE, path, path, source_hash, "profile", parameters)
         saved = self._save_prepared(
             default_age_band(source),
             "profile",
             parameters,
-            [("source_dataset", path, source_hash)],
+            [(SOURCE, path, source_hash)],
             partition_by,
         )
-        self._log("Source dataset profiled", "profile", path, f"{self.root}/prepared", **parameters)
+        self._log(PROFILED, "profile", path, f"{self.root}/prepared", **parameters)
         return {
             "summary": profile_summary(saved),
             "nulls": profile_nulls(saved),
@@ -162,7 +173,7 @@ class Study:
 
     def validate(self) -> DataFrame:
         """All checks: numbers on the raw source, the rules on the prepared table."""
-        source = self._newest("source_dataset")
+        source = self._newest(SOURCE)
         prepared = self.prepared()
         raw = None
         if source is not None:
@@ -172,7 +183,7 @@ class Study:
         report = self.spark.createDataFrame(dq_report(prepared, raw).collect(), REPORT)
         gate = dq_gate(report).first()
         self._log(
-            "Validation checks run",
+            VALIDATED,
             "validate",
             source["location"] if source else None,
             None,
@@ -183,7 +194,7 @@ class Study:
 
     def _derive(self, tool: str, step: str, df: DataFrame, parameters: dict[str, Any]) -> DataFrame:
         before = self._prepared_entry()
-        sources = [("prepared_dataset_prior", before["path"], before["content_hash"])]
+        sources = [(PRIOR, before["path"], before["content_hash"])]
         parameters["previous_prepared_content_hash"] = before["content_hash"]
         layout = json.loads(before["parameters"])["partition_by"]
         saved = self._save_prepared(df, tool, parameters, sources, layout)
@@ -203,7 +214,7 @@ class Study:
             "labels": spec.labels,
             "overwrite": overwrite,
         }
-        return self._derive("band", "Feature engineering band created", banded, parameters)
+        return self._derive("band", BANDED, banded, parameters)
 
     def regroup(
         self,
@@ -232,7 +243,7 @@ class Study:
             "keep_unmapped": keep_unmapped,
             "overwrite": overwrite,
         }
-        return self._derive("regroup", "Feature engineering regroup created", grouped, parameters)
+        return self._derive("regroup", REGROUPED, grouped, parameters)
 
     def ae(
         self,
@@ -284,15 +295,15 @@ class Study:
                 "state_fingerprint": hashes["state"],
             }
             self._record(
-                "ae_summary",
+                SUMMARY,
                 f"{path}/scenario={scenario}",
                 path,
                 hashes["content_hash"],
                 "ae",
                 parameters,
-                [("prepared_dataset", entry["path"], entry["content_hash"])],
+                [(PREPARED, entry["path"], entry["content_hash"])],
             )
-            self._log("Grouped A/E analysis run", "ae", entry["location"], path, **parameters)
+            self._log(SUMMED, "ae", entry["location"], path, **parameters)
         return saved
 
     def stale(self) -> DataFrame:
@@ -301,7 +312,7 @@ class Study:
 
     def latest_ae(self) -> tuple[DataFrame, dict[str, Any]]:
         """The last summary and how it was made; refused once the prepared table has changed."""
-        entry = self._newest("ae_summary")
+        entry = self._newest(SUMMARY)
         if entry is None:
             raise FileNotFoundError("The study has no cohort summary; run one first.")
         made_from = entry["source_artifacts"][0]["content_hash"]
@@ -341,17 +352,17 @@ class Study:
             "top_n": clamp_top_n(top_n),
             "masking_min_claims": masking_threshold(masking_min_claims, made["min_claims"]),
         }
-        source = self._newest("ae_summary")
+        source = self._newest(SUMMARY)
         self._record(
-            "ai_ae_packet",
+            PACKET,
             f"{self.root}/packet",
             path,
             self._hash(saved),
             "packet",
             parameters,
-            [("latest_ae_summary", source["path"], source["content_hash"])],
+            [(LATEST_SUMMARY, source["path"], source["content_hash"])],
         )
-        self._log("Sanitized AI A/E packet built", "packet", source["path"], path, **parameters)
+        self._log(PACKED, "packet", source["path"], path, **parameters)
         return saved, packet_warnings(summary, top_n=top_n, filters=filters)
 
     def exhibits(self, metric: str) -> DataFrame:
