@@ -133,11 +133,6 @@ def exhibit_top_n(rows: DataFrame, n: int) -> DataFrame:
     )
 
 
-def exhibit_warnings(rows: DataFrame) -> DataFrame:
-    """Labels and flags of exhibit rows that need a second look."""
-    return rows.select("evidence_ref", F.explode("caution_flags").alias("code")).distinct()
-
-
 def hierarchy_rollup(rows: DataFrame) -> DataFrame:
     """One row per node of the label tree, with sums over the cohorts below it.
 

@@ -11,8 +11,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortwise.functions.values import named
+from cohortwise.functions.values import data_type, is_numeric, named
 
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=")
 
@@ -30,17 +31,40 @@ class RowFilter:
             object.__setattr__(self, "operator", "=")
         if self.operator not in OPERATORS:
             raise ValueError(f"Filter operator {self.operator!r} is not one of {OPERATORS}.")
-
-    def condition(self) -> Column:
-        column, value = named(self.column), F.lit(self.value)
+        if not isinstance(self.value, (str, int, float, bool, type(None))):
+            raise ValueError(f"A filter compares with one text or number, not {self.value!r}.")
+
+    def condition(self, kind: T.DataType) -> Column:
+        """Predicate for a column of type ``kind``.
+
+        A text never equals a number; asking which is larger is an error.
+        """
+        column, value = named(self.column), self.value
+        if value is None:
+            return F.lit(self.operator == "!=")
+        number = is_numeric(kind)
+        if isinstance(kind, T.BooleanType):
+            column, number = column.cast("int"), True
+        if isinstance(value, bool):
+            value = int(value)
+        if (number and isinstance(value, str)) or (
+            isinstance(kind, T.StringType) and not isinstance(value, str)
+        ):
+            if self.operator in ("=", "!="):
+                return F.lit(self.operator == "!=")
+            raise ValueError(
+                f"Column `{self.column}` of type {kind.simpleString()} cannot be ordered "
+                f"against {self.value!r}."
+            )
+        constant = F.lit(value)
         if self.operator == "!=":  # rows without a value differ from every value
-            return ~column.eqNullSafe(value)
+            return ~column.eqNullSafe(constant)
         compared = {
-            "=": column == value,
-            ">": column > value,
-            ">=": column >= value,
-            "<": column < value,
-            "<=": column <= value,
+            "=": column == constant,
+            ">": column > constant,
+            ">=": column >= constant,
+            "<": column < constant,
+            "<=": column <= constant,
         }
         return compared[self.operator]
 
@@ -80,4 +104,4 @@ def apply_filters(df: DataFrame, filters: Iterable[RowFilter | dict[str, Any]] =
             raise KeyError(f"Column `{item.column}` is not in the table.")
     if not chosen:
         return df
-    return df.where(reduce(and_, (f.condition() for f in chosen)))
+    return df.where(reduce(and_, (f.condition(data_type(df, f.column)) for f in chosen)))

@@ -16,10 +16,6 @@ from cohortwise.functions.values import named
 from cohortwise.scratch import cut_lineage
 
 
-def slice_count(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def running_total(
     df: DataFrame,
     value: str,
@@ -34,14 +30,13 @@ def running_total(
     Rows are range-partitioned by segment and order, so a segment of any size spreads over
     several slices. Writing them freezes the slices: range bounds come from sampling and
     would differ if the rows were partitioned twice. ``order`` must leave no ties inside a
-    segment.
+    segment. Without ``slices``, adaptive execution sizes them by the data, up to
+    spark.sql.shuffle.partitions.
     """
     segments = [named(c) for c in segment]
-    cut = cut_lineage(
-        df.repartitionByRange(slices or slice_count(df), *segments, *order).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
+    number = [slices] if slices else []
+    ranged = df.repartitionByRange(*number, *segments, *order)
+    cut = cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
     before = (
         Window.partitionBy(*segments, "_slice")
         .orderBy(*order)

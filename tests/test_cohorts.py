@@ -107,6 +107,23 @@ def test_filter_operators(spark):
         kept(RowFilter("zip", "=", 1))
 
 
+def test_filters_of_another_type(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, None, None)], "n int, t string, b boolean")
+
+    def kept(*spec):
+        return sorted(r["n"] for r in apply_filters(df, [RowFilter(*spec)]).collect())
+
+    assert kept("n", "=", "a") == [] and kept("n", "!=", "a") == [1, 2]
+    assert kept("t", "=", 1) == [] and kept("t", "!=", 1) == [1, 2]
+    assert kept("n", "=", None) == [] and kept("n", "!=", None) == [1, 2]
+    assert kept("b", "=", True) == [1] and kept("b", "!=", 1) == [2] and kept("n", "=", True) == [1]
+    for spec in (("n", ">", "a"), ("t", "<=", 3)):
+        with pytest.raises(ValueError, match="ordered"):
+            kept(*spec)
+    with pytest.raises(ValueError, match="one text or number"):
+        RowFilter("n", "=", [1])
+
+
 def test_filter_specs():
     assert parse_filters(None) == [] and parse_filters("") == []
     text = '[{"column": "a", "op": "==", "value": null}, {"column": "b", "operator": "<", "value": 3}]'

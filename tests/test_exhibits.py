@@ -3,11 +3,11 @@ import random
 import pytest
 from test_masking import summary
 
+from cohortwise.operators.masking import cohort_warnings
 from cohortwise.operators.exhibits import (
     exhibit_mask,
     exhibit_rows,
     exhibit_top_n,
-    exhibit_warnings,
     hierarchy_rollup,
     hierarchy_share,
     metric_view,
@@ -53,7 +53,7 @@ def test_labels(spark):
     assert rows[2]["hierarchy_parts"] == ["row_0003"] and rows[2]["dimension_columns"] == []
     text = str([r for r in rows])
     assert "Policy_Number" not in text and "P001" not in text
-    warned = {tuple(r) for r in exhibit_warnings(exhibit_rows(df, "amount")).collect()}
+    warned = {(r["evidence_refs"][0], r["code"]) for r in cohort_warnings(df).collect()}
     assert warned == {("row_0002", "sensitive_or_disallowed_dimension"),
                       ("row_0003", "dimension_parse_warning"),
                       ("row_0004", "dimension_parse_warning")}

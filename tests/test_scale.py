@@ -1,6 +1,7 @@
 """Plans that must hold for large and skewed tables."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortwise.operators.cohorts import ae_summary, cohort_totals
@@ -82,6 +83,24 @@ def _newest_cut(spark):
     return max(cuts, key=os.path.getmtime)
 
 
+def test_slices_follow_the_data(spark):
+    df = spark.range(200000).select((F.col("id") * 7919 % 200003).alias("at"),
+                                    F.lit(1).cast("bigint").alias("n"), F.lit("k").alias("key"))
+    running_total(df.limit(50), "n", order=[F.col("at")], segment=["key"], name="before")
+    small = spark.read.parquet(_newest_cut(spark))
+    assert small.select("_slice").distinct().count() == 1
+    smallest = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(smallest, "50KB")
+    try:
+        total = running_total(df, "n", order=[F.col("at")], segment=["key"], name="before")
+    finally:
+        spark.conf.unset(smallest)
+    large = spark.read.parquet(_newest_cut(spark))
+    assert large.select("_slice").distinct().count() > 1
+    ordered = total.withColumn("want", F.row_number().over(Window.orderBy("at")) - 1)
+    assert ordered.where("want != before").count() == 0
+
+
 def test_running_total_with_missing_segments_and_descending_order(spark):
     rows = [(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", 2, 2), ("a", 3, 4)]
     df = spark.createDataFrame(rows, "k string, at int, n long")
