@@ -43,14 +43,18 @@ def values_at(ranked: DataFrame, ranks: Iterable[int]) -> dict[int, float]:
     return {rank: row["value"] for row in hits.collect() for rank in row["ranks"]}
 
 
-def _brackets(numbers: DataFrame, shares: Sequence[float]) -> list[tuple[float, float]]:
-    """Disjoint value ranges that should hold the quantiles at ``shares``."""
+def sketch(number: Column, parts: int) -> Column:
+    """Aggregate of values a little below and above each of the parts+1 quantiles."""
     margin = BRACKET_ERRORS / SKETCH_ACCURACY
-    ends = [min(1.0, max(0.0, s + side)) for s in shares for side in (-margin, margin)]
-    sketch = F.approx_percentile("value", F.array(*map(F.lit, ends)), SKETCH_ACCURACY)
-    found = numbers.agg(sketch).first()[0]
+    shares = [i / parts + side for i in range(parts + 1) for side in (-margin, margin)]
+    inside = [F.lit(min(1.0, max(0.0, s))) for s in shares]
+    return F.approx_percentile(number, F.array(*inside), SKETCH_ACCURACY)
+
+
+def _brackets(sketched: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint value ranges that should hold the quantiles."""
     merged: list[tuple[float, float]] = []
-    for low, high in sorted(zip(found[::2], found[1::2])):
+    for low, high in sorted(zip(sketched[::2], sketched[1::2])):
         if merged and low <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
         else:
@@ -59,13 +63,12 @@ def _brackets(numbers: DataFrame, shares: Sequence[float]) -> list[tuple[float,
 
 
 def _narrowed(
-    numbers: DataFrame, ranks: Sequence[int], shares: Sequence[float]
+    numbers: DataFrame, ranks: Sequence[int], brackets: Sequence[tuple[float, float]]
 ) -> tuple[DataFrame, dict[int, int], int] | None:
     """Rows inside the brackets, each rank's rank among them, and their number.
 
     None if a rank turns out to lie outside, which the sketch's error bound all but excludes.
     """
-    brackets = _brackets(numbers, shares)
     inside = [F.col("value").between(low, high) for low, high in brackets]
     counts = numbers.agg(
         *[F.count_if(F.col("value") < low) for low, _ in brackets],
@@ -89,20 +92,24 @@ def exact_quantiles(
     *,
     count: int,
     distinct: int,
+    sketched: Sequence[float] | None = None,
     one_task_values: int = ONE_TASK_VALUES,
     slices: int | None = None,
 ) -> list[float]:
     """The parts+1 linear-interpolation quantiles of a column with ``count`` numbers.
 
     Ranks are whole-number arithmetic, so an edge that falls on a value is that value.
-    ``distinct`` is an estimate that only decides how to rank.
+    ``distinct`` is an estimate that only decides how to rank; ``sketched`` is the result of
+    ``sketch`` where another pass over the column has computed it already.
     """
     places = [divmod(i * (count - 1), parts) for i in range(parts + 1)]
     ranks = sorted({r for low, part in places for r in (low, low + (part > 0))})
     numbers = df.select(number.alias("value")).where(F.col("value").isNotNull())
     rows, moved, size = numbers, {r: r for r in ranks}, distinct
     if distinct > one_task_values:
-        narrowed = _narrowed(numbers, ranks, [i / parts for i in range(parts + 1)])
+        if sketched is None:
+            sketched = numbers.agg(sketch(F.col("value"), parts)).first()[0]
+        narrowed = _narrowed(numbers, ranks, _brackets(sketched))
         if narrowed:
             rows, moved, size = narrowed
     ranked = value_ranks(rows, spread=size > one_task_values, slices=slices)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortwise.contracts import SUMMARY_COLUMNS
 from cohortwise.functions.labels import (
+    PHONE_PATTERN,
     SENSITIVE_TERMS,
+    SSN_PATTERN,
     dimension_tokens,
     parse_label,
     parse_warnings,
@@ -69,6 +71,11 @@ def test_sensitive_values(spark):
     assert [r["s"] for r in df.orderBy("i").collect()] == [True] * len(yes) + [False] * len(no)
 
 
+def test_social_security_numbers_are_phone_numbers_too():
+    for text in ("123456789", "123-456789", "12345-6789", "123-45-6789"):
+        assert re.match(SSN_PATTERN, text) and re.match(PHONE_PATTERN, text)
+
+
 def test_label_parts(spark):
     want = {
         "Gender=M | Smoker=No": ([("Gender", "M"), ("Smoker", "No")], 0),
