@@ -276,7 +276,7 @@ class Study:
                 min_claims=min_claims,
                 sort_by=order,
             )
-            fingerprinted = audit.table_fingerprint(rows).withColumn(
+            fingerprinted = audit.table_fingerprint(rows.drop("run_id")).withColumn(
                 "state",
                 audit.state_fingerprint(
                     {

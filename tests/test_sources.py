@@ -2,7 +2,6 @@ import math
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortwise.contracts import MEASURES, SUMMARY_COLUMNS
