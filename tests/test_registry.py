@@ -7,13 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from cohortwise import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, SQL = registry.all_queries(), registry.all_sql()
 # Results without an SQL twin, tested on their own elsewhere.
 NO_SQL = {"table_fingerprint"}
 
@@ -58,6 +59,10 @@ def test_query_equals_sql(spark, duck, name):
         assert got == _rows([c[0] for c in found.description], found.fetchall())
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_point.entry(spark)
     ratios = [r["AE_Ratio_Count"] for r in df.collect()]
