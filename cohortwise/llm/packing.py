@@ -167,14 +167,8 @@ def lanes(coded: DataFrame, window: int, targets: dict[str, float] | None) -> Da
         F.coalesce(F.sum("sequences").over(earlier), F.lit(0)).alias("first_sequence"),
     )
     if targets is None:
-        corpus = queue.agg(F.sum("queued").alias("all"))
-        share = (
-            queue.groupBy(F.col("source").alias("of_source"))
-            .agg(F.sum("queued").alias("of_all"))
-            .withColumn("one", F.lit(1))
-            .join(corpus.withColumn("one", F.lit(1)), "one")
-            .select("of_source", (F.col("of_all") / F.col("all")).alias("share"))
-        )
+        corpus = queue.agg(F.sum("queued").alias("all")).first()["all"] or 1
+        share = queue.groupBy(F.col("source").alias("of_source")).agg((F.sum("queued") / F.lit(corpus)).alias("share"))
     else:
         weight = {k: v / sum(targets.values()) for k, v in targets.items()}
         pairs = [x for k, v in weight.items() for x in (F.lit(k), F.lit(float(v)))]

@@ -134,23 +134,23 @@ def thresholds(measured: DataFrame) -> DataFrame:
     merged = [F.sum("rows").alias("rows"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES]]
 
     def quartiles(sketches: DataFrame, prefix: str) -> DataFrame:
-        found = {f"{prefix}_{m}": F.kll_sketch_get_quantile_double(F.col(m), F.array(F.lit(0.25), F.lit(0.75))) for m in MEASURES}
+        ranks = F.array(F.lit(0.25), F.lit(0.75))
+        found = {
+            f"{prefix}_{m}": F.when(F.col("rows") > 0, F.kll_sketch_get_quantile_double(F.col(m), ranks))
+            for m in MEASURES
+        }
         return sketches.withColumns(found).withColumnRenamed("rows", f"{prefix}_rows").drop(*MEASURES)
 
     by_cell = quartiles(cell, "cell")
     by_lang = quartiles(cell.groupBy("lang").agg(*merged), "lang").withColumnRenamed("lang", "of_lang")
-    overall = quartiles(cell.groupBy(F.lit(1).alias("one")).agg(*merged), "all")
-    levels = (
-        by_cell.withColumn("one", F.lit(1))
-        .join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-        .join(overall, "one", "left")
-    )
+    overall = quartiles(cell.agg(*merged), "all").first()  # one row of quartiles
+    levels = by_cell.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     limits = {}
     for m, (sides, width, floor) in MEASURES.items():
         q = (
             F.when(F.col("cell_rows") >= GROUP_ROWS, F.col(f"cell_{m}"))
             .when(F.col("lang_rows") >= GROUP_ROWS, F.col(f"lang_{m}"))
-            .otherwise(F.col(f"all_{m}"))
+            .otherwise(F.array(*[F.lit(x).cast("double") for x in overall[f"all_{m}"] or (None, None)]))
         )
         reach = RANGES * F.greatest(q[1] - q[0], F.lit(width))
         limits[f"high_{m}"] = F.greatest(q[1] + reach, F.lit(floor))
