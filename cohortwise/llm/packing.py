@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +35,8 @@ from cohortwise.scratch import cut_lineage
 
 WINDOW = 2048
 CLOSING_ID = 1
-#: Words whose ids a task remembers.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers, the first it meets; most of the frequent ones are among them.
+REMEMBERED = 500_000
 
 TOKENS = "lane int, doc_id long, source string, before long, n_tokens long, ids binary"
 PIECES = (
@@ -52,6 +53,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, for all its tasks."""
+    return WordIds(path)
+
+
 class WordIds:
     """Ids of texts as the ids of their blank-separated parts, each tokenized once.
 
@@ -67,12 +74,12 @@ class WordIds:
         coded = parts.values.slice(parts.offsets[0].as_py(), parts.offsets[-1].as_py() - parts.offsets[0].as_py())
         coded = coded.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        bits = [self.known[w] for w in distinct]
+        bits = list(map(self.known.get, distinct))
+        new = [k for k, found in enumerate(bits) if found is None]
+        for k, got in zip(new, self.tokenizer.encode_batch([distinct[k] for k in new], add_special_tokens=False), strict=True):
+            bits[k] = array("I", got.ids).tobytes()
+            if len(self.known) < REMEMBERED:
+                self.known[distinct[k]] = bits[k]
         sizes = np.fromiter(map(len, bits), np.int64, len(bits)) // 4
         flat = np.frombuffer(b"".join(bits), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
@@ -91,7 +98,7 @@ def tokens(documents: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane = TaskContext.get().partitionId()
-        encoder, queued = WordIds(tokenizer_path), {}
+        encoder, queued = word_ids(tokenizer_path), {}
         kind = "<u2" if narrow else "<u4"
         for batch in batches:
             for part in slices(batch, "text"):
