@@ -17,10 +17,12 @@ documents give no pieces.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +38,9 @@ from cohortwise.scratch import cut_lineage
 WINDOW = 2048
 CLOSING_ID = 1
 #: Words whose ids a worker remembers, the first it meets; most of the frequent ones are among them.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+#: Bytes of text whose words are looked up together, and documents whose ids are laid out together.
+LOOKED_UP, LAID_OUT = 32 << 20, 500
 
 TOKENS = "lane int, doc_id long, source string, before long, n_tokens long, ids binary"
 PIECES = (
@@ -53,6 +57,25 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@dataclass
+class Coded:
+    """Texts as indices of distinct words, and the ids of each."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray
+    words: np.ndarray
+    first: np.ndarray
+
+    def ids(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts a to b, and where each text begins and the last ends."""
+        at = self.words[self.first[a] : self.first[b]]
+        length = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], length) + np.arange(ends[-1])]
+        return ids, ends[self.first[a : b + 1] - self.first[a]]
+
+
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One per worker process, for all its tasks."""
@@ -69,26 +92,22 @@ class WordIds:
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, column: pa.Array) -> Coded:
         parts = pc.ascii_split_whitespace(pc.fill_null(column, ""))
-        coded = parts.values.slice(parts.offsets[0].as_py(), parts.offsets[-1].as_py() - parts.offsets[0].as_py())
-        coded = coded.dictionary_encode()
+        offsets = parts.offsets.to_numpy()
+        coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         bits = list(map(self.known.get, distinct))
         new = [k for k, found in enumerate(bits) if found is None]
-        for k, got in zip(new, self.tokenizer.encode_batch([distinct[k] for k in new], add_special_tokens=False), strict=True):
-            bits[k] = array("I", got.ids).tobytes()
-            if len(self.known) < REMEMBERED:
-                self.known[distinct[k]] = bits[k]
+        for some in itertools.batched(new, 8192):
+            encoded = self.tokenizer.encode_batch([distinct[k] for k in some], add_special_tokens=False)
+            for k, got in zip(some, encoded, strict=True):
+                bits[k] = array("I", got.ids).tobytes()
+                if len(self.known) < REMEMBERED:
+                    self.known[distinct[k]] = bits[k]
         sizes = np.fromiter(map(len, bits), np.int64, len(bits)) // 4
         flat = np.frombuffer(b"".join(bits), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        length = sizes[at]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(starts[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-        first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        return ids, np.concatenate([[0], ends])[first]
+        return Coded(flat, sizes, np.cumsum(sizes) - sizes, coded.indices.to_numpy(zero_copy_only=False), offsets - offsets[0])
 
 
 def tokens(documents: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -100,27 +119,32 @@ def tokens(documents: DataFrame, tokenizer_path: str) -> DataFrame:
         lane = TaskContext.get().partitionId()
         encoder, queued = word_ids(tokenizer_path), {}
         kind = "<u2" if narrow else "<u4"
+        closing = np.array([CLOSING_ID], kind).tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, bounds = encoder(part.column("text"))
-                ids, source = ids.astype(kind), part.column("source").to_pylist()
-                before, own = [], []
-                for k, name in enumerate(source):
-                    body = ids[bounds[k] : bounds[k + 1]].tobytes() + np.array([CLOSING_ID], kind).tobytes()
-                    before.append(queued.get(name, 0))
-                    queued[name] = before[-1] + len(body) // ids.itemsize
-                    own.append(body)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lane] * len(own), pa.int32()),
-                        part.column("doc_id").cast(pa.int64()),
-                        pa.array(source, pa.string()),
-                        pa.array(before, pa.int64()),
-                        pa.array([len(x) // ids.itemsize for x in own], pa.int64()),
-                        pa.array(own, pa.binary()),
-                    ],
-                    names=["lane", "doc_id", "source", "before", "n_tokens", "ids"],
-                )
+            for some in slices(batch, "text", LOOKED_UP):
+                coded = encoder.code(some.column("text"))
+                for at in range(0, some.num_rows, LAID_OUT):
+                    part = some.slice(at, LAID_OUT)
+                    ids, bounds = coded.ids(at, at + part.num_rows)
+                    source, body = part.column("source").to_pylist(), memoryview(ids.astype(kind).tobytes())
+                    width = len(closing)
+                    own = [bytes(body[width * a : width * b]) + closing for a, b in itertools.pairwise(bounds.tolist())]
+                    sizes = np.diff(bounds) + 1
+                    before = []
+                    for name, size in zip(source, sizes.tolist(), strict=True):
+                        before.append(queued.get(name, 0))
+                        queued[name] = before[-1] + size
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lane] * len(own), pa.int32()),
+                            part.column("doc_id").cast(pa.int64()),
+                            pa.array(source, pa.string()),
+                            pa.array(before, pa.int64()),
+                            pa.array(sizes, pa.int64()),
+                            pa.array(own, pa.binary()),
+                        ],
+                        names=["lane", "doc_id", "source", "before", "n_tokens", "ids"],
+                    )
 
     return documents.select("doc_id", "source", "text").mapInArrow(encode, TOKENS)
 
