@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import decontamination, jaccard, languages, licenses, lm, packing, pii, quality, warc
+from cohortwise.llm import decontamination, jaccard, languages, licenses, lm, packing, pii, quality, repeats, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
