@@ -129,6 +129,20 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
         yield Index([r.item_id for r in rows], [r.text for r in rows])
 
 
+def _found(part: pa.RecordBatch, items: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, first word, last word) of all matches in a batch."""
+    hashes, first = words(*raw(part.column("text")))
+    hit = items.hits(hashes)
+    if not len(hit):
+        return
+    # The text of a hit is that of the seed's first word; seeds across texts fail the comparison,
+    # which sees one text only.
+    text = np.searchsorted(first, hit[:, 2], "right") - 1
+    for k, item, start in np.unique(np.stack([text, hit[:, 0], hit[:, 1]], axis=1), axis=0).tolist():
+        for a, b in items.matched(hashes[first[k] : first[k + 1]], item, start - int(first[k])):
+            yield k, item, a, b
+
+
 def _scan(documents: DataFrame, index: Index) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(index)  # of at most a block's words
 
@@ -136,18 +150,8 @@ def _scan(documents: DataFrame, index: Index) -> DataFrame:
         items = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, first = words(*raw(part.column("text")))
-                ids, out = part.column("doc_id"), []
-                hit = items.hits(hashes)
-                if not len(hit):
-                    continue
-                # The text of a hit is that of the seed's first word; seeds across texts fail
-                # the comparison, which sees one text only.
-                text = np.searchsorted(first, hit[:, 2], "right") - 1
-                for k, item, start in np.unique(np.stack([text, hit[:, 0], hit[:, 1]], axis=1), axis=0).tolist():
-                    own = hashes[first[k] : first[k + 1]]
-                    for a, b in items.matched(own, item, start - int(first[k])):
-                        out.append((ids[k].as_py(), items.ids[item], a, b, b - a + 1))
+                ids = part.column("doc_id")
+                out = [(ids[k].as_py(), items.ids[item], a, b, b - a + 1) for k, item, a, b in _found(part, items)]
                 if out:
                     columns = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -158,6 +162,19 @@ def _scan(documents: DataFrame, index: Index) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(search, MATCHES)
 
 
+def _without(documents: DataFrame, index: Index) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(index)
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                clean = np.ones(part.num_rows, dtype=bool)
+                clean[[k for k, *_ in _found(part, shared.value)]] = False
+                yield part.filter(pa.array(clean))
+
+    return documents.mapInArrow(select, documents.schema)
+
+
 def matches(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every alignment of an item in a document: doc_id, item_id, first_word, last_word (of the
     document, both included), n_words."""
@@ -181,7 +198,8 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def without_contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no part of any item, with all their columns."""
-    held = matches(documents, items).select(F.col("doc_id").alias("held_id")).distinct()
-    return documents.join(held, F.col("doc_id").eqNullSafe(F.col("held_id")), "left_anti")
+def without_contaminated(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that hold no part of any item, with all their columns; nothing is shuffled."""
+    for index in blocks(items, block_words):
+        documents = _without(documents, index)
+    return documents

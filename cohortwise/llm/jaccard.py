@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortwise.llm.components import components
 from cohortwise.llm.text import mix, raw, shingles, slices, words
@@ -318,4 +319,46 @@ def classify(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "set_key",
+        "class",
     )
+
+
+def one_per_class(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents without all but one of each class, with all their columns.
+
+    The least id stays, any id before none; of rows equal in id and set one stays. Documents
+    without words are in no class and stay.
+    """
+    rows = cut_lineage(classify(documents, size, percent).where("n_shingles > 0"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "set_key")
+    stays = rows.groupBy("class").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("doc_id"), F.col("s.set_key").alias("set_key"))
+    stays = stays.withColumnsRenamed({"doc_id": "stay_id", "set_key": "stay_key"})
+    same = (F.col("set_key") == F.col("stay_key")) & F.col("doc_id").eqNullSafe(F.col("stay_id"))
+    marked = rows.join(stays, same, "left")
+    gone = marked.where("stay_key is null").select(F.col("doc_id").alias("gone_id"), F.col("set_key").alias("gone_key")).distinct()
+    twins = (
+        marked.where("stay_key is not null")
+        .groupBy(F.col("doc_id").alias("twin_id"), F.col("set_key").alias("twin_key"))
+        .count()
+        .where("count > 1")
+        .drop("count")
+    )
+    name = "_set_key"
+    keyed = with_set_keys(documents, size, name)
+    left = keyed.join(gone, (F.col(name) == F.col("gone_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    is_twin = (F.col(name) == F.col("twin_key")) & F.col("doc_id").eqNullSafe(F.col("twin_id"))
+    # Equal rows that stay are few; only these are told apart by a shuffle of their own.
+    twin = left.join(twins, is_twin, "left_semi").dropDuplicates(["doc_id", name])
+    return left.join(twins, is_twin, "left_anti").unionAll(twin).drop(name)
+
+
+def with_set_keys(documents: DataFrame, size: int, name: str) -> DataFrame:
+    schema = StructType([*documents.schema.fields, StructField(name, LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys = pa.array([set_key(x) if len(x) else None for x in _sets(part, size)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, name])
+
+    return documents.mapInArrow(add, schema)

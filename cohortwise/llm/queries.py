@@ -22,7 +22,7 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classify(table(spark, sf_dir, "documents")).drop("set_key")
+    return jaccard.classify(table(spark, sf_dir, "documents")).drop("set_key", "class")
 
 
 def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
