@@ -20,7 +20,8 @@ SUMMARY_COLUMNS = ("Dimensions", *SUMS, *RATIOS, *INTERVALS)
 SORT_COLUMNS = (*RATIOS, *SUMS)
 
 MEASURE_CHOICES = ("count", "amount", "both")
-MAX_TOP_N = 20
+DEFAULT_TOP_N = 20
+PACKET_ROWS = 20
 
 LABEL_SEPARATOR = " | "
 NULL_KEY_TEXT = "nan"
@@ -53,6 +54,10 @@ def check_sort(column: str) -> str:
     return column
 
 
-def clamp_top_n(n: int) -> int:
-    """Bring a requested row limit into 1..MAX_TOP_N."""
-    return max(1, min(int(n), MAX_TOP_N))
+def row_limit(n: int, most: int | None = None) -> int:
+    """A requested number of rows; refused below 1 or above what the result may hold."""
+    if n < 1:
+        raise ValueError(f"At least one row must be asked for, not {n}.")
+    if most is not None and n > most:
+        raise ValueError(f"At most {most} rows may be asked for, not {n}.")
+    return int(n)

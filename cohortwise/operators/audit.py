@@ -8,10 +8,11 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortwise import __version__
 from cohortwise.contracts import PACKET_SCHEMA_VERSION
-from cohortwise.functions.values import named
+from cohortwise.functions.values import data_type, named
 
 EVENTS = (
     "step_name string, tool_name string, input_path string, output_path string, "
@@ -83,13 +84,17 @@ def lineage_edges(entries: DataFrame) -> DataFrame:
     )
 
 
+LATEST_INPUTS = ("artifact_type", "path", "entry_ts", "entry_id", "content_hash", "source_artifacts")
+
+
 def stale_summaries(entries: DataFrame, kinds: Sequence[str] = ("ae_summary",)) -> DataFrame:
     """Current results made from a prepared table that has changed since.
 
     The join meets one row per prepared path; a path with very many results is split by
     adaptive execution.
     """
-    latest = artifact_latest(entries)
+    wanted = entries.where(F.col("artifact_type").isin("prepared_dataset", *kinds))
+    latest = artifact_latest(wanted.select(*LATEST_INPUTS))
     current = latest.where(F.col("artifact_type") == "prepared_dataset").select(
         F.col("path").alias("source_path"), F.col("content_hash").alias("current_hash")
     )
@@ -107,17 +112,44 @@ def stale_summaries(entries: DataFrame, kinds: Sequence[str] = ("ae_summary",))
     return made.join(current, "source_path").where(F.col("source_hash") != F.col("current_hash"))
 
 
+def canonical_row(df: DataFrame) -> Column:
+    """A row as one text that no other row shares: columns by name, each value with its length,
+    a missing value as a dash."""
+    cells = []
+    for column in sorted(df.columns):
+        kind = data_type(df, column)
+        value = named(column)
+        if isinstance(kind, T.BinaryType):
+            value = F.hex(value)
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value)
+        text = value.cast("string")
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat_ws("|", *cells)
+
+
+#: Hex digits of a row's hash go into sums of this many digits each, which fit a long.
+SLICES = [(start, 15) for start in (1, 16, 31, 46)]
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and order-free content hash, in one pass without a shuffle of rows."""
-    columns = sorted(df.columns)
-    row_hash = F.xxhash64(*[named(c) for c in columns]).cast("decimal(38,0)")
-    counted = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(row_hash), F.lit(0).cast("decimal(38,0)")).alias("row_hash"),
-    )
-    content = F.concat_ws(
-        "|", F.lit(",".join(columns)), F.col("row_count").cast("string"), F.col("row_hash")
-    )
+    """Row count and order-free content hash, in one pass without a shuffle of rows.
+
+    The hash covers names and types of the columns, the count, and the sums of four slices of
+    each row's SHA-256, which moves whenever a value changes, goes, or trades places.
+    """
+    digest = df.select(F.sha2(canonical_row(df), 256).alias("row"))
+    sums = [
+        F.coalesce(
+            F.sum(F.conv(F.substring("row", start, size), 16, 10).cast("decimal(38,0)")),
+            F.lit(0).cast("decimal(38,0)"),
+        ).alias(f"s{start}")
+        for start, size in SLICES
+    ]
+    counted = digest.agg(F.count(F.lit(1)).alias("row_count"), *sums)
+    header = ",".join(f"{c}:{data_type(df, c).simpleString()}" for c in sorted(df.columns))
+    parts = [F.col(c).cast("string") for c in ("row_count", *(f"s{start}" for start, _ in SLICES))]
+    content = F.concat_ws("|", F.lit(header), *parts)
     return counted.select("row_count", F.sha2(content, 256).alias("content_hash"))
 
 

@@ -28,6 +28,9 @@ from cohortwise.operators.ranking import rank_cohorts
 
 Filters = Iterable[RowFilter | dict[str, Any]]
 
+#: Place of a row's grouping among those of its run, and the cohort's key as columns and values.
+KEYS = ("grouping", "group_columns", "group_values")
+
 
 def check_grouping(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """One or two existing columns that may form cohorts."""
@@ -93,7 +96,7 @@ def with_ratios(totals: DataFrame) -> DataFrame:
 def _labelled(
     df: DataFrame, groupings: Sequence[Sequence[str]], filters: Filters, min_claims: float
 ) -> DataFrame:
-    """Sums and ratios of one or more groupings, told apart by scenario and way.
+    """Sums and ratios of one or more groupings, told apart by their place and columns.
 
     Several groupings share one scan. grouping_id, not a null test, decides which grouping a
     row belongs to, since keys may be missing themselves.
@@ -104,7 +107,7 @@ def _labelled(
         raise ValueError("Give at least one grouping.")
     if len(chosen) == 1:
         totals = cohort_totals(df, chosen[0], filters=filters, min_claims=min_claims)
-        return with_ratios(totals.select("*", *_scenario(totals, chosen[0])))
+        return with_ratios(totals.select("*", *_scenario(totals, 1, chosen[0])))
     columns = list(dict.fromkeys(c for g in chosen for c in g))
     sets = list(dict.fromkeys(tuple(c for c in columns if c in g) for g in chosen))
     totals = (
@@ -119,16 +122,21 @@ def _labelled(
 
     # Groupings that differ only in column order share a set but not their labels.
     scenarios = [
-        F.when(F.col("_set") == set_number(g), F.struct(*_scenario(totals, g))) for g in chosen
+        F.when(F.col("_set") == set_number(g), F.struct(*_scenario(totals, place, g)))
+        for place, g in enumerate(chosen, 1)
     ]
     found = totals.select("*", F.inline(F.array_compact(F.array(*scenarios))))
     return with_ratios(found)
 
 
-def _scenario(totals: DataFrame, group_by: Sequence[str]) -> list[Column]:
+def _scenario(totals: DataFrame, place: int, group_by: Sequence[str]) -> list[Column]:
+    """The scenario is a name that groupings may share; grouping and group_columns tell them apart."""
     return [
         F.lit(summary_slug(group_by)).alias("scenario"),
         F.lit(len(group_by)).alias("way"),
+        F.lit(place).alias("grouping"),
+        F.array(*[F.lit(c) for c in group_by]).alias("group_columns"),
+        F.array(*[as_key_text(totals, c) for c in group_by]).alias("group_values"),
         cohort_label(totals, group_by).alias("Dimensions"),
     ]
 
@@ -160,8 +168,8 @@ def ae_multi_grouping(
     min_claims: float = 0,
     level: float = 0.95,
 ) -> DataFrame:
-    """Summaries of several groupings out of one scan, told apart by scenario and way."""
-    return _finish(_labelled(df, groupings, filters, min_claims), level, "scenario", "way")
+    """Summaries of several groupings out of one scan, told apart by grouping and its columns."""
+    return _finish(_labelled(df, groupings, filters, min_claims), level, "scenario", "way", *KEYS)
 
 
 def ranked_summary(
@@ -169,7 +177,7 @@ def ranked_summary(
     groupings: Sequence[Sequence[str]],
     sort_by: str,
     *,
-    within: Sequence[str] = ("scenario",),
+    within: Sequence[str] = ("grouping",),
     filters: Filters = (),
     min_claims: float = 0,
     level: float = 0.95,
@@ -179,7 +187,7 @@ def ranked_summary(
     Ranking comes before the intervals, so that its two passes over the cohorts stay cheap.
     """
     ranked = rank_cohorts(_labelled(df, groupings, filters, min_claims), sort_by, within=within)
-    return _finish(ranked, level, "scenario", "way", "cohort_rank")
+    return _finish(ranked, level, "scenario", "way", *KEYS, "cohort_rank")
 
 
 # ---- Fixed values: columns behind each measure. ----

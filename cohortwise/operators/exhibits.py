@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.contracts import NULL_KEY_TEXT, clamp_top_n
+from cohortwise.contracts import DEFAULT_TOP_N, NULL_KEY_TEXT, row_limit
 from cohortwise.functions.labels import (
     MASKED_DIMENSION,
     MASKED_LABEL,
@@ -43,21 +43,28 @@ def metric_view(summary: DataFrame, metric: str) -> DataFrame:
         only_finite(F.col(s).cast("double")).alias(t) for s, t in zip(sources, TRUE_COLUMNS)
     ]
     size = only_finite(F.col(sources[1]).cast("double")).alias("treemap_size_true")
-    return summary.select("cohort_rank", "Dimensions", *shown, size)
+    keys = [c for c in ("group_columns", "group_values") if c in summary.columns]
+    return summary.select("cohort_rank", "Dimensions", *keys, *shown, size)
 
 
 def exhibit_mask(cohorts: DataFrame) -> DataFrame:
     """Labels fit to print: sensitive cohorts masked, unreadable labels replaced.
 
-    Needs cohort_rank and Dimensions; other columns pass through.
+    Needs cohort_rank and Dimensions; other columns pass through. group_columns and
+    group_values, where a summary has them, are the cohort's key; else its label is taken apart.
     """
     label = F.col("Dimensions")
+    pairs, unread = parse_label(label), parse_warnings(label) > 0
+    if "group_values" in cohorts.columns:
+        given = F.col("group_columns").isNotNull()
+        key = F.zip_with(
+            "group_columns",
+            "group_values",
+            lambda c, v: F.struct(c.alias("column"), F.coalesce(v, F.lit(NULL_KEY_TEXT)).alias("value")),
+        )
+        pairs, unread = F.when(given, key).otherwise(pairs), ~given & unread
     known = cohorts.withColumns(
-        {
-            "evidence_ref": evidence_ref(),
-            "_pairs": parse_label(label),
-            "_unparsed": parse_warnings(label) > 0,
-        }
+        {"evidence_ref": evidence_ref(), "_pairs": pairs, "_unparsed": unread}
     )
     names = F.transform("_pairs", lambda p: p["column"])
     known = known.withColumn("_sensitive", has_sensitive_dimension(names))
@@ -86,7 +93,7 @@ def exhibit_mask(cohorts: DataFrame) -> DataFrame:
                 )
             ),
         }
-    ).drop("_pairs", "_unparsed", "_sensitive", "Dimensions")
+    ).drop("_pairs", "_unparsed", "_sensitive", "Dimensions", "group_columns", "group_values")
 
 
 def _shown(source: str, bounds: tuple[float, float]) -> tuple[Column, Column]:
@@ -111,9 +118,9 @@ def exhibit_rows(summary: DataFrame, metric: str) -> DataFrame:
     return masked.withColumnRenamed("cohort_rank", "source_row_number").withColumns(added)
 
 
-def exhibit_top_n(rows: DataFrame, n: int) -> DataFrame:
-    """Review table of the first n cohorts in summary order."""
-    top = rows.where(F.col("source_row_number") <= clamp_top_n(n))
+def exhibit_top_n(rows: DataFrame, n: int = DEFAULT_TOP_N) -> DataFrame:
+    """Review table of the first n cohorts in summary order, as many as asked for."""
+    top = rows.where(F.col("source_row_number") <= row_limit(n))
     return top.select(
         "evidence_ref",
         "source_row_number",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -41,7 +41,9 @@ class RowFilter:
         """
         column, value = named(self.column), self.value
         if value is None:
-            return F.lit(self.operator == "!=")
+            if self.operator in ("=", "!="):
+                return F.lit(self.operator == "!=")
+            raise ValueError(f"Column `{self.column}` cannot be ordered against a missing value.")
         number = is_numeric(kind)
         if isinstance(kind, T.BooleanType):
             column, number = column.cast("int"), True
@@ -72,25 +74,49 @@ class RowFilter:
         return {"column": self.column, "operator": self.operator, "value": self.value}
 
 
+#: Field of a filter, and the keys under which a specification may give it.
+SPECIFICATION = {"column": ("column",), "operator": ("op", "operator"), "value": ("value",)}
+
+
+def read_specification(spec: Any) -> tuple[RowFilter | None, list[str]]:
+    """The filter that a specification describes, or everything that is wrong with it."""
+    if isinstance(spec, RowFilter):
+        return spec, []
+    if not isinstance(spec, Mapping):
+        return None, ["it is no JSON object"]
+    given = {field: [key for key in keys if key in spec] for field, keys in SPECIFICATION.items()}
+    faults = [f"it lacks {' or '.join(SPECIFICATION[field])}" for field, keys in given.items() if not keys]
+    faults += [
+        f"its {keys[0]} is null" for field, keys in given.items() if keys and field != "value" and spec[keys[0]] is None
+    ]
+    if faults:
+        return None, faults
+    column, operator, value = (spec[keys[0]] for keys in given.values())
+    try:
+        return RowFilter(str(column), str(operator), value), []
+    except ValueError as error:
+        return None, [str(error)]
+
+
+def read_specifications(specs: Iterable[Any]) -> list[RowFilter]:
+    """All filters of a list; the faults of all its entries are reported at once."""
+    read = [read_specification(spec) for spec in specs]
+    faults = [f"Filter {n}: {'; '.join(found)}." for n, (_, found) in enumerate(read, 1) if found]
+    if faults:
+        raise ValueError(" ".join(faults))
+    return [made for made, _ in read if made is not None]
+
+
 def parse_filters(text: str | None) -> list[RowFilter]:
-    """Filters from a JSON list of {column, op or operator, value} objects."""
-    if not text:
-        return []
-    items = json.loads(text)
-    if not isinstance(items, list):
-        raise ValueError("Filters must be given as a JSON list.")
-    return [as_filter(item) for item in items]
-
-
-def as_filter(item: RowFilter | dict[str, Any]) -> RowFilter:
-    if isinstance(item, RowFilter):
-        return item
-    if not isinstance(item, dict):
-        raise ValueError(f"A filter must be a JSON object, not {item!r}.")
-    operator = item.get("op", item.get("operator"))
-    if item.get("column") is None or operator is None or "value" not in item:
-        raise ValueError(f"A filter needs column, op (or operator) and value: {item!r}.")
-    return RowFilter(str(item["column"]), str(operator), item["value"])
+    """Filters from a JSON list; no text, no filters."""
+    specs = json.loads(text) if text else []
+    if isinstance(specs, list):
+        return read_specifications(specs)
+    raise ValueError("Filters are a JSON list of objects.")
+
+
+def as_filter(spec: RowFilter | Mapping[str, Any]) -> RowFilter:
+    return read_specifications([spec])[0]
 
 
 def apply_filters(df: DataFrame, filters: Iterable[RowFilter | dict[str, Any]] = ()) -> DataFrame:
@@ -98,7 +124,7 @@ def apply_filters(df: DataFrame, filters: Iterable[RowFilter | dict[str, Any]] =
 
     The compared column is never cast, so Parquet can skip row groups.
     """
-    chosen = [as_filter(f) for f in filters]
+    chosen = read_specifications(filters)
     for item in chosen:
         if item.column not in df.columns:
             raise KeyError(f"Column `{item.column}` is not in the table.")

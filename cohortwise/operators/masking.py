@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from cohortwise.contracts import (
     INTERVALS,
+    DEFAULT_TOP_N,
     NULL_KEY_TEXT,
+    PACKET_ROWS,
     RATIOS,
     SUMS,
-    clamp_top_n,
+    row_limit,
 )
 from cohortwise.functions.labels import (
     FILTER_WARNING,
@@ -61,6 +63,19 @@ def label_dimensions(label: Column) -> Column:
     return F.transform(parse_label(label), lambda p: p["column"])
 
 
+def cohort_dimensions(summary: DataFrame) -> tuple[Column, Column]:
+    """Names of the columns that form each cohort, and whether its label cannot be read.
+
+    A summary with group_columns says so itself; only labels made elsewhere are taken apart.
+    """
+    label = F.col("Dimensions")
+    names, unread = label_dimensions(label), parse_warnings(label) > 0
+    if "group_columns" not in summary.columns:
+        return names, unread
+    known = F.col("group_columns").isNotNull()
+    return F.when(known, F.col("group_columns")).otherwise(names), ~known & unread
+
+
 def has_sensitive_dimension(dimensions: Column) -> Column:
     return F.exists(dimensions, sensitive_dimension)
 
@@ -75,14 +90,9 @@ def mask_cohorts(summary: DataFrame, masking_min_claims: float = 1) -> DataFrame
     Adds Dimension_Columns, low_credibility, masking_reason and caution_flags. Sensitive
     cohorts also lose their column names; the measures stay.
     """
-    dims = label_dimensions(F.col("Dimensions"))
+    dims, unread = cohort_dimensions(summary)
     enough = F.col("Sum_MAC") >= F.lit(float(masking_min_claims))
-    flagged = summary.withColumns(
-        {
-            "_dims": dims,
-            "_unparsed": parse_warnings(F.col("Dimensions")) > 0,
-        }
-    ).withColumn("_sensitive", has_sensitive_dimension(F.col("_dims")))
+    flagged = summary.withColumns({"_dims": dims, "_unparsed": unread}).withColumn("_sensitive", has_sensitive_dimension(F.col("_dims")))
     reason = F.when(F.col("_sensitive"), SENSITIVE_REASON).when(~enough, LOW_VOLUME_REASON)
     masked = flagged.withColumn("masking_reason", reason)
     hidden = F.col("masking_reason").isNotNull()
@@ -109,12 +119,16 @@ def masking_threshold(masking_min_claims: float | None, min_claims: float = 0) -
 def packet_rows(
     summary: DataFrame,
     *,
-    top_n: int = 20,
+    top_n: int = DEFAULT_TOP_N,
     masking_min_claims: float | None = None,
     min_claims: float = 0,
+    max_rows: int | None = PACKET_ROWS,
 ) -> DataFrame:
-    """The first cohorts of a ranked summary, masked and ready to share."""
-    top = summary.where(F.col("cohort_rank") <= clamp_top_n(top_n))
+    """The first cohorts of a ranked summary, masked and ready to share.
+
+    Asking for more than ``max_rows`` is an error; None lifts that bound.
+    """
+    top = summary.where(F.col("cohort_rank") <= row_limit(top_n, max_rows))
     known = F.when(
         only_finite(F.col("Sum_MAC").cast("double")).isNull(),
         F.raise_error(F.lit("A packet needs the claim count Sum_MAC of every cohort.")),
@@ -148,21 +162,24 @@ def _warning(code: str, refs: Column) -> Column:
 
 def cohort_warnings(summary: DataFrame) -> DataFrame:
     """Parse and masking warnings of a ranked summary."""
-    label, refs = F.col("Dimensions"), F.array(evidence_ref())
+    refs = F.array(evidence_ref())
+    dims, unread = cohort_dimensions(summary)
     found = F.array(
-        F.when(parse_warnings(label) > 0, _warning(PARSE_WARNING, refs)),
-        F.when(
-            has_sensitive_dimension(label_dimensions(label)), _warning(SENSITIVE_REASON, refs)
-        ),
+        F.when(unread, _warning(PARSE_WARNING, refs)),
+        F.when(has_sensitive_dimension(dims), _warning(SENSITIVE_REASON, refs)),
     )
     return summary.select(F.inline(F.array_compact(found))).distinct()
 
 
 def packet_warnings(
-    summary: DataFrame, *, top_n: int = 20, filters: DataFrame | None = None
+    summary: DataFrame,
+    *,
+    top_n: int = DEFAULT_TOP_N,
+    filters: DataFrame | None = None,
+    max_rows: int | None = PACKET_ROWS,
 ) -> DataFrame:
     """Distinct warnings of a packet: masked filters, unparsed labels, masked cohorts."""
-    rows = cohort_warnings(summary.where(F.col("cohort_rank") <= clamp_top_n(top_n)))
+    rows = cohort_warnings(summary.where(F.col("cohort_rank") <= row_limit(top_n, max_rows)))
     if filters is None:
         return rows
     hits = mask_filters(filters).where("masked").limit(1)

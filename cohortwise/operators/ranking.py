@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.contracts import check_sort, clamp_top_n
+from cohortwise.contracts import DEFAULT_TOP_N, check_sort, row_limit
 from cohortwise.plans.ordered import running_total
 
 
@@ -20,9 +20,9 @@ def ae_sort(summary: DataFrame, sort_by: str) -> DataFrame:
     return summary.orderBy(*summary_order(sort_by))
 
 
-def ae_top_n(summary: DataFrame, sort_by: str, n: int) -> DataFrame:
-    """The first n (1 to 20) cohorts with their rank; planned as a bounded top-k."""
-    top = ae_sort(summary, sort_by).limit(clamp_top_n(n))
+def ae_top_n(summary: DataFrame, sort_by: str, n: int = DEFAULT_TOP_N) -> DataFrame:
+    """The first n cohorts with their rank, as many as asked for; planned as a top-k."""
+    top = ae_sort(summary, sort_by).limit(row_limit(n))
     place = Window.partitionBy(F.lit(0)).orderBy(*summary_order(sort_by))
     return top.withColumn("cohort_rank", F.row_number().over(place).cast("bigint"))
 

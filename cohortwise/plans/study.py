@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from typing import Any
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.contracts import OTHER_LABEL, check_sort, clamp_top_n, default_sort
+from cohortwise.contracts import DEFAULT_TOP_N, OTHER_LABEL, check_sort, default_sort
 from cohortwise.functions.labels import summary_slug
 from cohortwise.operators import audit
 from cohortwise.operators.cohorts import check_grouping, ranked_summary
@@ -48,7 +49,8 @@ SUMMARIES = (
     "Dimensions string, Sum_MAC bigint, Sum_MOC double, Sum_MEC double, Sum_MAF double, "
     "Sum_MEF double, AE_Ratio_Count double, AE_Ratio_Amount double, AE_Count_CI_Lower double, "
     "AE_Count_CI_Upper double, AE_Amount_CI_Lower double, AE_Amount_CI_Upper double, "
-    "way int, cohort_rank bigint, scenario string, run_id string"
+    "way int, grouping int, group_columns array<string>, group_values array<string>, "
+    "cohort_rank bigint, scenario string, run_id string"
 )
 
 
@@ -259,16 +261,16 @@ class Study:
         chosen = [as_filter(f) for f in filters]
         entry = self._prepared_entry()
         data = stores.read_prepared(self.spark, entry["location"])
-        keys = [check_grouping(data, g) for g in groupings]
+        keys = [list(k) for k in dict.fromkeys(tuple(check_grouping(data, g)) for g in groupings)]
         run_id = stores.version_name()
         ranked = ranked_summary(
             data, keys, order, filters=chosen, min_claims=min_claims, level=level
         )
         path = stores.write_ae_summary(ranked.withColumn("run_id", F.lit(run_id)), self.root)
         saved = self.summaries().where(F.col("run_id") == run_id)
-        for group in keys:
+        for place, group in enumerate(keys, 1):
             scenario = summary_slug(group)
-            rows = saved.where(F.col("scenario") == scenario)
+            rows = saved.where(F.col("grouping") == place)
             inputs = audit.state_inputs(
                 group_by=group,
                 filters=[f.as_dict() for f in chosen],
@@ -292,11 +294,12 @@ class Study:
                 "way": len(group),
                 "run_id": run_id,
                 "scenario": scenario,
+                "grouping": place,
                 "state_fingerprint": hashes["state"],
             }
             self._record(
                 SUMMARY,
-                f"{path}/scenario={scenario}",
+                f"{path}/{'+'.join(quote(c, safe='') for c in group)}",
                 path,
                 hashes["content_hash"],
                 "ae",
@@ -321,12 +324,12 @@ class Study:
         parameters = json.loads(entry["parameters"])
         rows = self.summaries().where(
             (F.col("run_id") == parameters["run_id"])
-            & (F.col("scenario") == parameters["scenario"])
+            & (F.col("grouping") == parameters["grouping"])
         )
         return stores.check_ae_summary(rows), parameters
 
     def packet(
-        self, *, top_n: int = 20, masking_min_claims: float | None = None
+        self, *, top_n: int = DEFAULT_TOP_N, masking_min_claims: float | None = None
     ) -> tuple[DataFrame, DataFrame]:
         """Masked rows of the last summary, saved, and the warnings that go with them."""
         summary, made = self.latest_ae()
@@ -349,7 +352,7 @@ class Study:
         rows.write.mode("errorifexists").parquet(path)
         saved = self.spark.read.parquet(path)
         parameters = {
-            "top_n": clamp_top_n(top_n),
+            "top_n": top_n,
             "masking_min_claims": masking_threshold(masking_min_claims, made["min_claims"]),
         }
         source = self._newest(SUMMARY)
@@ -374,7 +377,7 @@ class Study:
         path: str,
         groupings: Sequence[Sequence[str]],
         *,
-        top_n: int = 20,
+        top_n: int = DEFAULT_TOP_N,
         reader: Mapping[str, Any] | None = None,
         **options: Any,
     ) -> tuple[DataFrame, DataFrame]:

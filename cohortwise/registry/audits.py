@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortwise.operators.audit import (
+    SLICES,
     append_rows,
     artifact_latest,
     lineage_edges,
@@ -23,7 +24,8 @@ def query_audit_event_append(spark, sf_dir):
     """Each day's entries appended to one log, read back as steps per tool."""
     entries = artifact_log(spark, sf_dir)
     path = new_table_path(spark, "audit-log")
-    early = F.col("entry_ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    # An entry without a time belongs to the second part.
+    early = F.coalesce(F.col("entry_ts") < F.lit("2024-01-16").cast("timestamp_ntz"), F.lit(False))
     steps = entries.select(
         F.col("generating_tool").alias("tool_name"),
         F.col("path").alias("output_path"),
@@ -52,8 +54,13 @@ def query_lineage_edges(spark, sf_dir):
     return lineage_edges(artifact_log(spark, sf_dir))
 
 
+# Numbers are fixed-point here, since the text of a double differs between engines.
+_FIXED = ("MAC", "MOC", "MEC", "MAF", "MEF", "COLA", "Face_Amount")
+
+
 def query_table_fingerprint(spark, sf_dir):
-    return table_fingerprint(inforce(spark, sf_dir))
+    df = inforce(spark, sf_dir)
+    return table_fingerprint(df.withColumns({c: F.col(c).cast("decimal(20,4)") for c in _FIXED}))
 
 
 def query_state_fingerprint(spark, sf_dir):
@@ -109,7 +116,28 @@ _INPUTS = (
     '"sort_by":"AE_Ratio_Count","source_hashes":{"latest_ae_path":null,"prepared_data_path":"'
 )
 
+def _fingerprint() -> str:
+    kinds = dict.fromkeys(_FIXED, "decimal(20,4)") | {
+        "Policy_Number": "string", "Duration": "int", "Issue_Age": "int", "Gender": "string",
+        "Smoker": "string", "Risk_Class": "string", "Product_Group": "string", "Study_Year": "int",
+    }
+    cells = []
+    for column in sorted(kinds):
+        number = kinds[column] == "decimal(20,4)"
+        text = f'cast(cast("{column}" as decimal(20,4)) as varchar)' if number else f'cast("{column}" as varchar)'
+        cells.append(f"coalesce(cast(length({text}) as varchar) || ':' || {text}, '-')")
+    sums = " || '|' || ".join(
+        f"cast(sum(cast('0x' || substr(digest, {start}, {size}) as hugeint)) as varchar)" for start, size in SLICES
+    )
+    header = ",".join(f"{c}:{kinds[c]}" for c in sorted(kinds))
+    return f"""with {INFORCE},
+rows as (select sha256({" || '|' || ".join(cells)}) as digest from inforce)
+select count(*) as row_count, sha256('{header}|' || cast(count(*) as varchar) || '|' || {sums})
+  as content_hash from rows"""
+
+
 SQL = {
+    "table_fingerprint": _fingerprint(),
     "audit_event_append": f"""with {_LOG}
 select generating_tool as tool_name, count(*) as steps, count(distinct path) as outputs,
   count(distinct parameters) as parameter_sets from log group by 1""",

@@ -67,7 +67,8 @@ def query_ae_two_way(spark, sf_dir):
 
 
 def query_ae_multi_grouping(spark, sf_dir):
-    return rounded(ae_multi_grouping(inforce(spark, sf_dir), MULTI))
+    found = ae_multi_grouping(inforce(spark, sf_dir), MULTI)
+    return rounded(found).drop("group_values").withColumn("group_columns", F.array_join("group_columns", ","))
 
 
 def query_ae_min_claims(spark, sf_dir):
@@ -81,8 +82,8 @@ def query_cohort_label(spark, sf_dir):
     """Labels over keys with missing values; a missing key prints as nan."""
     df = typed_flaws(spark, sf_dir)
     df = df.withColumn("Gender", F.when(F.trim("Gender") != "", F.col("Gender")))
-    df = df.withColumn("Plan_Year", F.col("Issue_Age").cast("int") % 5)
-    df = df.where(~F.col("Issue_Age").eqNullSafe(F.lit(float("inf"))))
+    known = F.when(F.abs("Issue_Age") < float("inf"), F.col("Issue_Age"))
+    df = df.withColumn("Plan_Year", known.cast("int") % 5)
     counts = df.groupBy("Gender", "Plan_Year").agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.select(cohort_label(counts, ["Gender", "Plan_Year"]).alias("label"), "n_rows")
 
@@ -180,11 +181,12 @@ _BOUNDED = f"with {INFORCE}, cohorts as ({sql_totals(PAIR)}), {sql_intervals('co
 
 def _multi() -> str:
     rows = []
-    for group in MULTI:
+    for place, group in enumerate(MULTI, 1):
         slug = "_".join(c.lower() for c in group)
         keys = ", ".join(f'"{c}"' for c in group)
         rows.append(
-            f"select '{slug}' as scenario, {len(group)} as way, * exclude ({keys}) "
+            f"select '{slug}' as scenario, {len(group)} as way, {place} as \"grouping\", "
+            f"'{','.join(group)}' as group_columns, * exclude ({keys}) "
             f"from ({sql_totals(group)})"
         )
     return " union all ".join(rows)
@@ -193,7 +195,7 @@ def _multi() -> str:
 def _multi_bounded() -> str:
     # Two scenarios share labels only if their columns and order agree, so labels are unique.
     return f"""with {INFORCE}, cohorts as ({_multi()}), {sql_intervals("cohorts")}
-select scenario, way, {SQL_SUMMARY} from bounded"""
+select scenario, way, "grouping", group_columns, {SQL_SUMMARY} from bounded"""
 
 
 def _measure_rows() -> str:
@@ -225,8 +227,8 @@ from ({sql_totals(["Plan_Code", "Study_Year"], source="coded", min_claims=2)})""
     "cohort_label": f"""with {TYPED},
 keyed as (
   select case when trim("Gender") <> '' then "Gender" end as "Gender",
-    cast("Issue_Age" as int) % 5 as "Plan_Year"
-  from typed where "Issue_Age" is null or not isinf("Issue_Age"))
+    cast(case when not isinf("Issue_Age") then "Issue_Age" end as int) % 5 as "Plan_Year"
+  from typed)
 select {sql_label(["Gender", "Plan_Year"])} as label, count(*) as n_rows
 from keyed group by 1""",
     "ae_ratio_count": f"""with {INFORCE} select {_PAIR_KEYS},
@@ -251,7 +253,7 @@ from ({sql_totals(PAIR, min_claims=10)}) order by "AE_Ratio_Count" desc nulls la
     "ae_top_n": f"""with {INFORCE}, ranked as (
   select *, row_number() over (order by "AE_Ratio_Amount" desc nulls last, "Dimensions")
     as cohort_rank from ({sql_totals(PAIR)}))
-select "Dimensions", {SQL_SUMS}, {SQL_RATIOS}, cohort_rank from ranked where cohort_rank <= 20""",
+select "Dimensions", {SQL_SUMS}, {SQL_RATIOS}, cohort_rank from ranked where cohort_rank <= 50""",
     "cohort_rank": f"""with {INFORCE},
 coded as (select *, "Policy_Number" as "Plan_Code" from inforce),
 cohorts as (

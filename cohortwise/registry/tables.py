@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortwise.contracts import INTERVALS
 from cohortwise.operators.cohorts import ae_summary, ranked_summary
 from cohortwise.operators.dimensions import default_age_band
 from cohortwise.operators.profile import (
@@ -15,6 +16,7 @@ from cohortwise.operators.ranking import ae_sort
 from cohortwise.registry.common import (
     FLAWED,
     INFORCE,
+    SQL_INTERVALS,
     SQL_RATIOS,
     SQL_SUMMARY,
     SQL_SUMS,
@@ -27,6 +29,7 @@ from cohortwise.registry.common import (
 from cohortwise.scratch import new_table_path
 from cohortwise.sources.inforce import (
     coerce_core_numeric,
+    malformed_records,
     policy_key_string,
     read_inforce,
     read_raw_strings,
@@ -60,6 +63,21 @@ def query_read_raw_strings(spark, sf_dir):
     return read_raw_strings(spark, path, fmt="csv")
 
 
+def query_read_malformed(spark, sf_dir):
+    """Records with a cell too many or too few, out of a CSV that holds some of either."""
+    quantity = F.col("l_quantity")
+    whole = F.concat_ws(",", F.concat(F.lit("P"), "l_orderkey"), "l_linenumber", "l_returnflag")
+    line = (
+        F.when(quantity == 50, F.concat(whole, F.lit(",extra")))
+        .when(quantity == 49, F.concat(F.lit("P"), "l_orderkey"))
+        .otherwise(whole)
+    )
+    path = new_table_path(spark, "malformed-csv")
+    lines = table(spark, sf_dir, "lineitem").select(line.alias("Policy_Number,Duration,MAC"))
+    lines.write.csv(path, header=True, sep="\x01", quote="")
+    return malformed_records(spark, path)
+
+
 def query_coerce_core_numeric(spark, sf_dir):
     df = coerce_core_numeric(flawed_inforce(spark, sf_dir))
     return df.select("Policy_Number", "MAC", "MOC", "MEC", "MAF", "MEF")
@@ -74,16 +92,26 @@ def query_policy_key_string(spark, sf_dir):
 
 
 def query_write_prepared(spark, sf_dir):
+    """Folders named by a number and by text with leading zeros, read back as they were."""
     root = new_table_path(spark, "study")
-    path = write_prepared(inforce(spark, sf_dir), root, partition_by=["Study_Year"])
+    number = F.col("Duration").cast("string")
+    coded = inforce(spark, sf_dir).withColumn(
+        "Plan_Code", F.when(F.col("Duration") % 3 != 0, F.concat(F.lit("00"), number)).otherwise(number)
+    )
+    path = write_prepared(coded, root, partition_by=["Study_Year", "Plan_Code"])
     return read_prepared(spark, path)
 
 
 def query_write_ae_summary(spark, sf_dir):
-    """Two runs of a one-way and a two-way summary; the newest of each way is read back."""
+    """Two runs of several summaries a way, two of them with one name; the last of each way in
+    the newest run is read back."""
     root = new_table_path(spark, "study")
-    data = inforce(spark, sf_dir)
-    for groupings in ([["Gender"], ["Gender", "Smoker"]], [["Smoker"], ["Smoker", "Study_Year"]]):
+    data = inforce(spark, sf_dir).withColumn("Smoker_Study_Year", F.col("Study_Year"))
+    runs = (
+        [["Smoker", "Gender"], ["Gender"]],
+        [["Smoker"], ["Smoker_Study_Year"], ["Smoker", "Gender"], ["Smoker", "Study_Year"]],
+    )
+    for groupings in runs:
         ranked = ranked_summary(data, groupings, "AE_Ratio_Amount")
         path = write_ae_summary(ranked.withColumn("run_id", F.lit(version_name())), root)
     latest = latest_by_way(spark.read.parquet(path))
@@ -99,6 +127,7 @@ def query_write_ae_summary(spark, sf_dir):
         "Sum_MEF",
         "AE_Ratio_Count",
         "AE_Ratio_Amount",
+        *INTERVALS,
     )
 
 
@@ -179,6 +208,9 @@ SQL = {
     "read_raw_strings": f"with {FLAWED} select "
     + ", ".join(f"coalesce(\"{c}\", '') as \"{c}\"" for c in _FLAWED_COLUMNS)
     + " from flawed",
+    "read_malformed": """select 'P' || cast(l_orderkey as varchar) || case when l_quantity = 50
+  then ',' || cast(l_linenumber as varchar) || ',' || l_returnflag || ',extra' else '' end as record
+from lineitem where l_quantity in (49, 50)""",
     "coerce_core_numeric": f'with {FLAWED} select "Policy_Number", '
     + ", ".join(
         f"{sql_number(chr(34) + c + chr(34))} as \"{c}\"" for c in ("MAC", "MOC", "MEC", "MAF", "MEF")
@@ -186,16 +218,20 @@ SQL = {
     + " from flawed",
     "policy_key_string": "select cast(case when l_quantity <> 50 then l_orderkey end as varchar) "
     'as "Policy_Number", l_linenumber as "Duration" from lineitem',
-    "write_prepared": f"with {INFORCE} select * from inforce",
+    "write_prepared": f"""with {INFORCE} select *, case when "Duration" % 3 <> 0 then '00' else '' end
+  || cast("Duration" as varchar) as "Plan_Code" from inforce""",
     "write_ae_summary": f"""with {INFORCE},
-one as ({sql_totals(["Smoker"])}), two as ({sql_totals(["Smoker", "Study_Year"])}),
+named as (select *, "Study_Year" as "Smoker_Study_Year" from inforce),
+one as ({sql_totals(["Smoker_Study_Year"], source="named")}),
+two as ({sql_totals(["Smoker", "Study_Year"])}),
 summaries as (
-  select 'smoker' as scenario, 1 as way, * exclude ("Smoker") from one
+  select 1 as way, * exclude ("Smoker_Study_Year") from one
   union all
-  select 'smoker_study_year', 2, * exclude ("Smoker", "Study_Year") from two)
-select scenario, way, row_number() over (partition by scenario
+  select 2, * exclude ("Smoker", "Study_Year") from two),
+{sql_intervals("summaries")}
+select 'smoker_study_year' as scenario, way, row_number() over (partition by way
     order by "AE_Ratio_Amount" desc nulls last, "Dimensions") as cohort_rank,
-  "Dimensions", {SQL_SUMS}, {SQL_RATIOS} from summaries""",
+  "Dimensions", {SQL_SUMS}, {SQL_RATIOS}, {SQL_INTERVALS} from bounded""",
     "read_ae_summary": f"""with {INFORCE}, cohorts as ({sql_totals(["Risk_Class", "Product_Group"])}),
 {sql_intervals("cohorts")}
 select {SQL_SUMMARY}, row_number() over (

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,16 +14,31 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder, once.
+    A session without the setting uses its warehouse, which all executors share as well.
     """
-    context = spark.sparkContext
-    named = spark.conf.get(SETTING, None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"Set {SETTING} to a folder that all executors share.")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortwise-"))
-    return context.getCheckpointDir()
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+@contextmanager
+def owned_scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside the block go to a folder that ends with it.
+
+    For work whose results are saved or counted inside the block: what still reads the tables
+    afterwards finds them gone.
+    """
+    outer = spark.conf.get(SETTING, None)
+    own = new_table_path(spark, "work")
+    spark.conf.set(SETTING, own)
+    try:
+        yield own
+    finally:
+        if outer is None:
+            spark.conf.unset(SETTING)
+        else:
+            spark.conf.set(SETTING, outer)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -29,8 +29,29 @@ def source_format(path: str) -> str:
     return suffix
 
 
-def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
+BAD_RECORD = "_bad_record"
+
+
+def _csv_text(spark: SparkSession, path: str, *, multi_line: bool = False, strict: bool = True) -> DataFrame:
+    """Cells as text. A record with more or fewer cells than the header stops the read, and so
+    does a file whose header differs; ``strict=False`` keeps such records in BAD_RECORD instead.
+    """
+    plain = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    names = spark.read.csv(path, inferSchema=False, **plain).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    reader = spark.read.options(**plain).option("columnPruning", False).option("enforceSchema", False)
+    if strict:
+        return reader.option("mode", "FAILFAST").schema(schema).csv(path)
+    schema = schema.add(BAD_RECORD, T.StringType())
+    return reader.option("columnNameOfCorruptRecord", BAD_RECORD).schema(schema).csv(path)
+
+
+def malformed_records(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """The records of a CSV whose number of cells differs from the header's, as text."""
+    rows = _csv_text(spark, path, multi_line=multi_line, strict=False)
+    # Spark parses the cells only if one of them is asked for.
+    parsed = F.length(F.coalesce(named(rows.columns[0]), F.lit(""))) >= 0
+    return rows.where(F.col(BAD_RECORD).isNotNull() & parsed).select(F.col(BAD_RECORD).alias("record"))
 
 
 def coerce_core_numeric(df: DataFrame) -> DataFrame:
@@ -95,9 +116,13 @@ def read_inforce(
     *,
     fmt: str | None = None,
     schema: T.StructType | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """In-force table with double measures, a text policy key, and NaN turned into null.
 
+    A CSV with records of too many or too few cells is refused; ``multi_line`` reads quoted
+    line breaks, at the price of one task per file.
+
     A CSV without ``schema`` costs one extra pass that finds the types of the columns
     outside the measures. Pass the schema of wide or very large files.
     """
@@ -106,7 +131,7 @@ def read_inforce(
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.parquet(path)
     else:
-        text = _csv_text(spark, path)
+        text = _csv_text(spark, path, multi_line=multi_line)
         if schema is None:
             df = _typed_csv(text)
         else:
@@ -126,11 +151,13 @@ def read_inforce(
     return policy_key_string(coerce_core_numeric(_nan_free(df)))
 
 
-def read_raw_strings(spark: SparkSession, path: str, *, fmt: str | None = None) -> DataFrame:
+def read_raw_strings(
+    spark: SparkSession, path: str, *, fmt: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """Every cell as text, missing cells as empty text."""
-    kind = fmt or source_format(path)
-    df = _csv_text(spark, path) if kind == "csv" else spark.read.parquet(path)
-    return raw_strings(df)
+    if (fmt or source_format(path)) == "csv":
+        return raw_strings(_csv_text(spark, path, multi_line=multi_line))
+    return raw_strings(spark.read.parquet(path))
 
 
 def raw_strings(df: DataFrame) -> DataFrame:

@@ -6,14 +6,18 @@ recorded in the audit log, after the write has succeeded.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortwise.contracts import RATIOS, SUMMARY_COLUMNS
+from cohortwise.functions.values import named, nan_to_null, parse_number
+from cohortwise.operators.cohorts import KEYS
 from cohortwise.operators.ranking import rank_cohorts
 from cohortwise.plans.ordered import running_total
 
@@ -28,10 +32,19 @@ def write_prepared(df: DataFrame, root: str, *, partition_by: Sequence[str] = ()
 
     Partitioning by a low-cardinality column such as Study_Year lets filters skip files. The
     rows are first gathered by that column, with each value split over several tasks, so a
-    write leaves few files per folder even when one value holds most rows.
+    write leaves few files per folder even when one value holds most rows. A folder's name cannot
+    tell empty text from a missing value, so partitioning by empty text is refused.
     """
-    path = f"{root.rstrip('/')}/prepared/version={version_name()}"
+    version = version_name()
+    path = f"{root.rstrip('/')}/prepared/version={version}"
+    _keep_schema(df, _schema_path(path))
     if partition_by:
+        named_folders = {
+            c: F.when(F.col(c) == "", F.raise_error(F.lit(f"Empty text in {c} names no folder."))).otherwise(F.col(c))
+            for c in partition_by
+            if isinstance(df.schema[c].dataType, T.StringType)
+        }
+        df = df.withColumns(named_folders)
         df = df.hint("rebalance", *partition_by)
         df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
     else:
@@ -39,16 +52,30 @@ def write_prepared(df: DataFrame, root: str, *, partition_by: Sequence[str] = ()
     return path
 
 
+def _schema_path(path: str) -> str:
+    root, _, version = path.rpartition("/prepared/version=")
+    return f"{root}/prepared_schema/version={version}"
+
+
+def _keep_schema(df: DataFrame, path: str) -> None:
+    text = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
+    text.coalesce(1).write.mode("errorifexists").text(path, lineSep="\n")
+
+
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
-    """A prepared table as written: no casts, so filters reach the Parquet scan."""
-    return spark.read.parquet(path)
+    """A prepared table as written: its own types and order of columns, also of those that name
+    folders, and no casts, so filters reach the Parquet scan."""
+    written = spark.read.text(_schema_path(path), wholetext=True).first()["value"]
+    schema = T.StructType.fromJson(json.loads(written))
+    return spark.read.schema(schema).parquet(path).select(*[named(c) for c in schema.names])
 
 
 def write_ae_summary(summary: DataFrame, root: str) -> str:
     """Append ranked summaries, one folder per scenario and run.
 
-    ``summary`` carries the columns scenario, way, run_id and cohort_rank beside the twelve
-    summary columns.
+    ``summary`` carries the columns scenario, way, grouping, group_columns, group_values, run_id
+    and cohort_rank beside the twelve summary columns. A scenario only names a folder: groupings
+    whose names agree share it and are told apart by grouping.
     """
     path = f"{root.rstrip('/')}/ae_summary"
     summary.write.mode("append").partitionBy("scenario", "run_id").parquet(path)
@@ -65,9 +92,10 @@ def read_ae_summary(
     """
     if fmt == "csv":
         df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
-        numbers = {c: F.col(c).cast("double") for c in SUMMARY_COLUMNS[1:] if c in df.columns}
+        # Cells that are no number, such as NA or nan, are undefined values.
+        numbers = {c: nan_to_null(parse_number(F.col(c))) for c in SUMMARY_COLUMNS[1:] if c in df.columns}
         if "cohort_rank" in df.columns:
-            numbers["cohort_rank"] = F.col("cohort_rank").cast("bigint")
+            numbers["cohort_rank"] = parse_number(F.col("cohort_rank")).cast("bigint")
         df = df.withColumns(numbers)
     else:
         df = spark.read.parquet(path)
@@ -101,14 +129,14 @@ def check_ae_summary(df: DataFrame, *, allow_empty: bool = True) -> DataFrame:
     if not allow_empty and df.isEmpty():
         raise ValueError("The summary holds no cohorts to exhibit.")
     if "cohort_rank" not in df.columns:
-        df = rank_cohorts(df.select(*SUMMARY_COLUMNS), RATIOS[1])
-    return df.select(*SUMMARY_COLUMNS, "cohort_rank")
+        keep = [*SUMMARY_COLUMNS, *[c for c in KEYS[1:] if c in df.columns]]
+        df = rank_cohorts(df.select(*keep), RATIOS[1])
+    keys = [c for c in KEYS[1:] if c in df.columns]
+    return df.select(*SUMMARY_COLUMNS, "cohort_rank", *keys)
 
 
 def latest_by_way(summaries: DataFrame) -> DataFrame:
-    """Rows of the newest run of each way (number of grouping columns)."""
-    newest = summaries.groupBy("way").agg(
-        F.max(F.struct("run_id", "scenario")).alias("newest")
-    )
-    newest = newest.select("way", "newest.run_id", "newest.scenario")
-    return summaries.join(newest, ["way", "run_id", "scenario"], "left_semi")
+    """Rows of the last grouping of the newest run of each way (number of grouping columns)."""
+    newest = summaries.groupBy("way").agg(F.max(F.struct("run_id", "grouping")).alias("newest"))
+    newest = newest.select("way", "newest.run_id", "newest.grouping")
+    return summaries.join(newest, ["way", "run_id", "grouping"], "left_semi")

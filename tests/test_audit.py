@@ -71,3 +71,22 @@ def test_state_fingerprint_is_the_hash_of_canonical_json(spark):
     want = json.dumps(whole, sort_keys=True, separators=(",", ":"))
     assert canonical_json(whole) == want
     assert got == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_table_fingerprint_sees_moves_types_and_repeats(spark):
+    def mark(rows, schema="a double, b double, c string"):
+        return table_fingerprint(spark.createDataFrame(rows, schema)).first()["content_hash"]
+
+    base = mark([(None, 5.0, "x"), (1.0, 2.0, "y")])
+    assert mark([(1.0, 2.0, "y"), (None, 5.0, "x")]) == base
+    assert len({
+        base,
+        mark([(5.0, None, "x"), (1.0, 2.0, "y")]),
+        mark([(None, 5.0, "y"), (1.0, 2.0, "x")]),
+        mark([(None, 5.0, "x"), (None, 5.0, "x")]),
+        mark([(None, 5.0, "x"), (1.0, 2.0, "y"), (1.0, 2.0, "y")]),
+        mark([(None, 5.0, "x"), (1.0, 2.0, None)]),
+        mark([(None, 5.0, "x"), (1.0, 2.0, "")]),
+    }) == 7
+    assert mark([("1",)], "a string") != mark([(1,)], "a int")
+    assert mark([("1|1:2", "3")], "a string, b string") != mark([("1", "1:2|3")], "a string, b string")

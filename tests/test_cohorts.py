@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortwise.contracts import SUMMARY_COLUMNS, clamp_top_n, default_sort
+from cohortwise.contracts import SUMMARY_COLUMNS, default_sort, row_limit
 from cohortwise.operators.cohorts import (
     ae_measure_view,
     ae_multi_grouping,
@@ -177,7 +177,10 @@ def test_order_ranks_and_top_n(spark, sample):
     assert [(r[0], r["cohort_rank"]) for r in top.collect()] == [("c", 1), ("a", 2)]
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    assert [clamp_top_n(n) for n in (-3, 0, 1, 20, 99)] == [1, 1, 1, 20, 20]
+    assert [row_limit(n) for n in (1, 20, 99)] == [1, 20, 99] and row_limit(20, 20) == 20
+    for bad in ((0,), (-3,), (21, 20)):
+        with pytest.raises(ValueError, match="may be|must be"):
+            row_limit(*bad)
     refs = spark.createDataFrame([(1,), (12345,)], "cohort_rank long").select(evidence_ref())
     assert [r[0] for r in refs.collect()] == ["row_0001", "row_12345"]
 
@@ -212,3 +215,28 @@ def test_infinite_sums_do_not_break(spark):
     row = ae_summary(df, ["G"]).first()
     assert row["AE_Ratio_Count"] is None and row["AE_Count_CI_Lower"] is None
     assert row["AE_Ratio_Amount"] == 1.0
+
+
+def test_groupings_of_one_name_stay_apart(spark, sample):
+    df = sample.withColumn("Gender_Smoker", F.col("Study_Year").cast("string"))
+    found = ranked_summary(df, [["Gender", "Smoker"], ["Gender_Smoker"]], "AE_Ratio_Count").collect()
+    assert {r.scenario for r in found} == {"gender_smoker"}
+    for place, columns, size in ((1, ["Gender", "Smoker"], 3), (2, ["Gender_Smoker"], 3)):
+        own = [r for r in found if r.grouping == place]
+        assert all(r.group_columns == columns for r in own)
+        assert sorted(r.cohort_rank for r in own) == list(range(1, len(own) + 1)) and len(own) >= size
+
+
+def test_top_n_gives_as_many_as_asked(spark, sample):
+    df = spark.range(60).selectExpr("concat('A=', id) as Dimensions", "cast(id as double) as AE_Ratio_Count")
+    assert ae_top_n(df, "AE_Ratio_Count", 50).count() == 50
+
+
+def test_order_against_nothing_is_refused(sample):
+    with pytest.raises(ValueError, match="missing value"):
+        apply_filters(sample, [{"column": "COLA", "op": ">", "value": None}])
+
+
+def test_all_faults_of_filters_are_reported():
+    with pytest.raises(ValueError, match="Filter 1.*lacks op.*Filter 3.*no JSON object"):
+        parse_filters('[{"column": "a", "value": 1}, {"column": "a", "op": "=", "value": 1}, 5]')

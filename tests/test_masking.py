@@ -141,8 +141,11 @@ def test_thresholds_and_limits(spark):
     assert masking_threshold(None, 0) == 1 and masking_threshold(None, 6) == 6
     assert masking_threshold(0, 6) == 0
     df = summary(spark, *[{"Dimensions": f"G={i}"} for i in range(25)])
-    assert packet_rows(df, top_n=99).count() == 20
-    assert packet_rows(df, top_n=0).count() == 1
+    with pytest.raises(ValueError, match="At most 20"):
+        packet_rows(df, top_n=99)
+    assert packet_rows(df, top_n=99, max_rows=None).count() == 25
+    with pytest.raises(ValueError, match="At least one"):
+        packet_rows(df, top_n=0)
     assert mask_cohorts(df).count() == 25
 
 
@@ -157,3 +160,14 @@ def test_filter_warnings_are_given_once(spark):
     codes = [r["code"] for r in packet_warnings(summary(spark, {}), filters=filters).collect()]
     assert codes == ["sensitive_filter_masked"]
     assert re.fullmatch(r"\w+", codes[0])
+
+
+def test_keys_decide_not_labels(spark):
+    rows = [
+        (1, "x=Policy_Number=7", ["x=Policy_Number"], ["7"]),
+        (2, "Region=a | Policy_Number=B", ["Region"], ["a | Policy_Number=B"]),
+    ]
+    keyed = spark.createDataFrame(rows, "cohort_rank int, Dimensions string, group_columns array<string>, group_values array<string>")
+    keyed = keyed.withColumn("Sum_MAC", F.lit(9.0))
+    got = {r.cohort_rank: (r.masking_reason, r.Dimension_Columns) for r in mask_cohorts(keyed).collect()}
+    assert got == {1: ("sensitive_or_disallowed_dimension", ["[masked dimension]"]), 2: (None, ["Region"])}

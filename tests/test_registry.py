@@ -16,7 +16,7 @@ TABLES = (
 ).split()
 QUERIES, SQL = registry.all_queries(), registry.all_sql()
 # Results without an SQL twin, tested on their own elsewhere.
-NO_SQL = {"table_fingerprint"}
+NO_SQL: set[str] = set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 

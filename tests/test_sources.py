@@ -8,6 +8,7 @@ from cohortwise.contracts import MEASURES, SUMMARY_COLUMNS
 from cohortwise.functions.labels import summary_slug
 from cohortwise.operators.cohorts import ae_summary
 from cohortwise.sources.inforce import (
+    malformed_records,
     coerce_core_numeric,
     policy_key_string,
     read_inforce,
@@ -136,3 +137,46 @@ def test_slug():
 def test_sample_measures(sample):
     assert all(sample.schema[m].dataType == T.DoubleType() for m in MEASURES)
     assert sample.count() == 8
+
+
+def test_malformed_records_are_refused_or_listed(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Policy_Number,MAC\nP1,1\nP2,2,extra\nP3\nP4,4\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_inforce(spark, str(path)).collect()
+    assert sorted(r.record for r in malformed_records(spark, str(path)).collect()) == ["P2,2,extra", "P3"]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('Policy_Number,MAC\nP1,1\n"P\n2",2\n')
+    got = sorted((r.Policy_Number, r.MAC) for r in read_inforce(spark, str(path), multi_line=True).collect())
+    assert got == [("P\n2", 2.0), ("P1", 1.0)]
+    assert malformed_records(spark, str(path)).count() == 1
+    assert malformed_records(spark, str(path), multi_line=True).count() == 0
+
+
+def test_headers_of_all_files_agree(spark, tmp_path):
+    folder = tmp_path / "x.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Policy_Number,MAC\nP1,1\n")
+    (folder / "b.csv").write_text("MAC,Policy_Number\n1,P1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_inforce(spark, str(folder)).collect()
+
+
+def test_folders_keep_text_and_order(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1, "a"), ("7", 2, "b"), (None, 3, "c")], "Code string, MAC long, Gender string")
+    back = read_prepared(spark, write_prepared(df, str(tmp_path / "s"), partition_by=["Code"]))
+    assert back.columns == df.columns and back.schema["Code"].dataType == T.StringType()
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    empty = spark.createDataFrame([("", 1)], "Code string, MAC long")
+    with pytest.raises(Exception, match="Empty text"):
+        write_prepared(empty, str(tmp_path / "t"), partition_by=["Code"])
+
+
+def test_undefined_values_of_a_csv_summary(spark, sample, tmp_path):
+    row = {c: 1.0 for c in SUMMARY_COLUMNS}
+    rows = [{**row, "Dimensions": "G=a", "AE_Ratio_Amount": "NA"}, {**row, "Dimensions": "G=b", "AE_Ratio_Amount": "nan"}]
+    pd.DataFrame(rows).to_csv(tmp_path / "s.csv", index=False)
+    assert [r.AE_Ratio_Amount for r in read_ae_summary(spark, str(tmp_path / "s.csv"), fmt="csv").collect()] == [None, None]
