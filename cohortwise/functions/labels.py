@@ -35,6 +35,9 @@ EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE_PATTERN = r"^\+?[\d\s().-]{7,}$"
 SSN_PATTERN = r"^\d{3}-?\d{2}-?\d{4}$"
 
+WORD_BORDER = "(?<=[a-z0-9])(?=[A-Z])"
+NO_WORD = "[^A-Za-z0-9]+"
+
 MASKED_LABEL = "[masked cohort label]"
 MASKED_DIMENSION = "[masked dimension]"
 MASKED_COLUMN = "[masked column]"
@@ -58,9 +61,9 @@ def summary_slug(columns: Sequence[str]) -> str:
 
 def dimension_tokens(name: Column) -> Column:
     """Lower-case words of a column name, plus all of them joined by underscores."""
-    spaced = F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_")
+    spaced = F.regexp_replace(name, WORD_BORDER, "_")
     words = F.transform(
-        F.filter(F.split(spaced, "[^A-Za-z0-9]+"), lambda w: w != ""), lambda w: F.lower(w)
+        F.filter(F.split(spaced, NO_WORD), lambda w: w != ""), lambda w: F.lower(w)
     )
     joined = F.when(F.size(words) > 0, F.array(F.array_join(words, "_"))).otherwise(
         F.array().cast("array<string>")

@@ -22,6 +22,7 @@ from cohortwise.functions.values import (
     parse_number,
 )
 from cohortwise.plans.ordered import running_total
+from cohortwise.scratch import cut_lineage
 
 NUMERIC_COLUMNS = (*MEASURES, "Duration", "Issue_Age", "Age", "Face_Amount", "Study_Year")
 INTEGER_COLUMNS = ("Duration", "Issue_Age", "Age", "Study_Year")
@@ -169,23 +170,32 @@ def check_schema(df: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Rows and claims per policy and duration, combined before the shuffle.
+    """Rows and claims per policy and duration as stored, combined before the shuffle.
 
-    Keys with a missing part keep their rows but lend no claims to the death check.
+    Keys with a missing part keep their rows but lend no claims to the death check; ``at`` is the
+    duration as a number, which text need not hold.
     """
-    policy, at = F.col("Policy_Number").alias("policy"), as_number(df, "Duration").alias("at")
-    whole = F.col("Policy_Number").isNotNull() & as_number(df, "Duration").isNotNull()
+    stored, at = named("Duration"), as_number(df, "Duration")
+    if not is_numeric(data_type(df, "Duration")):
+        stored = F.when(~missing_text(stored.cast("string")), stored.cast("string"))
+    whole = F.col("Policy_Number").isNotNull() & at.isNotNull()
     claim = whole & (as_number(df, "MAC") == 1) if "MAC" in df.columns else F.lit(False)
-    return df.groupBy(policy, at).agg(
+    return df.groupBy(F.col("Policy_Number").alias("policy"), stored.alias("stored"), at.alias("at")).agg(
         F.count(F.lit(1)).alias("copies"), F.count_if(claim).alias("claims")
     )
 
 
-def _with_earlier(
-    keyed: DataFrame, df: DataFrame, window_durations: int, slices: int | None
-) -> DataFrame:
-    """Add the claims of the policy at strictly lower durations."""
-    durations = df.agg(F.approx_count_distinct(as_number(df, "Duration"))).first()[0]
+def _by_number(keyed: DataFrame) -> DataFrame:
+    """One row per policy and duration as a number; text may write a number in several ways."""
+    return keyed.groupBy("policy", "at").agg(F.sum("copies").alias("copies"), F.sum("claims").alias("claims"))
+
+
+def _with_earlier(keyed: DataFrame, window_durations: int, slices: int | None) -> DataFrame:
+    """Add the claims of the policy at strictly lower durations.
+
+    Whether a policy may have too many durations for one task is read from the grouped rows.
+    """
+    durations = keyed.agg(F.approx_count_distinct("at")).first()[0]
     if durations <= window_durations:
         below = (
             Window.partitionBy("policy").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -198,7 +208,7 @@ def _with_earlier(
 
 def _repeats() -> list[Column]:
     repeated = F.col("copies") > 1
-    whole = F.col("policy").isNotNull() & F.col("at").isNotNull()
+    whole = F.col("policy").isNotNull() & F.col("stored").isNotNull()
     return [F.count_if(repeated).alias("repeats"), F.count_if(repeated & whole).alias("pairs")]
 
 
@@ -233,7 +243,7 @@ def death_exposure(
 
     The pairs are counted, not built: each row meets as many claims as lie below its duration.
     """
-    rows = _with_earlier(_keyed(df), df, window_durations, slices)
+    rows = _with_earlier(cut_lineage(_by_number(_keyed(df))), window_durations, slices)
     return _report(rows.agg(_later_rows()), [_later_entry()])
 
 
@@ -241,8 +251,9 @@ def key_checks(df: DataFrame) -> DataFrame:
     """Both checks on policy keys out of one grouping."""
     if "MAC" not in df.columns:
         return duplicate_keys(df)
-    rows = _with_earlier(_keyed(df), df, WINDOW_DURATIONS, None)
-    return _report(rows.agg(*_repeats(), _later_rows()), [_repeat_entry(), _later_entry()])
+    keyed = cut_lineage(_keyed(df))
+    later = _with_earlier(_by_number(keyed), WINDOW_DURATIONS, None).agg(_later_rows())
+    return _report(keyed.agg(*_repeats()), [_repeat_entry()]).unionByName(_report(later, [_later_entry()]))
 
 
 def dq_report(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortwise.functions.labels import (
+    EMAIL_PATTERN,
+    PHONE_PATTERN,
+    SENSITIVE_TERMS,
+    SSN_PATTERN,
     dimension_tokens,
     parse_label,
     parse_warnings,
@@ -120,11 +124,12 @@ def query_parse_label(spark, sf_dir):
 def query_sensitive_value(spark, sf_dir):
     """Words of every document that look like personal data."""
     words = table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("word")
+        "doc_id", F.split("text", "[ \\t\\r\\n]+").alias("words")
     )
-    return words.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("words"),
-        F.count_if(sensitive_value(F.col("word"))).alias("sensitive_words"),
+    return words.select(
+        "doc_id",
+        F.size("words").cast("bigint").alias("words"),
+        F.size(F.filter("words", sensitive_value)).cast("bigint").alias("sensitive_words"),
     )
 
 
@@ -203,9 +208,13 @@ tokens as (
     when list_contains(words, whole) then words
     else list_append(words, whole) end as tokens from joined)"""
 
-_TERMS = """['policy', 'policy_number', 'name', 'dob', 'birth', 'ssn', 'email', 'phone',
-  'address', 'zip', 'postal', 'member', 'applicant', 'insured', 'id', 'number', 'account',
-  'certificate']"""
+_TERMS = "[" + ", ".join(f"'{t}'" for t in SENSITIVE_TERMS) + "]"
+
+
+def _looks_sensitive(value: str) -> str:
+    patterns = (EMAIL_PATTERN, PHONE_PATTERN, SSN_PATTERN)
+    return " or ".join(f"regexp_matches(trim({value}), '{p}')" for p in patterns)
+
 
 _LABELS = """labels_made as (
   select c_custkey, coalesce(case c_custkey % 6 when 0 then 'Gender=M | Group=' || c_mktsegment
@@ -232,9 +241,7 @@ _SPECS = """specs as (
   from events),
 judged as (
   select *, col in ('Policy_Number', 'memberZip') or coalesce(
-    regexp_matches(trim(val), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')
-    or regexp_matches(trim(val), '^\\+?[\\d\\s().-]{7,}$')
-    or regexp_matches(trim(val), '^\\d{3}-?\\d{2}-?\\d{4}$'), false) as masked
+    """ + _looks_sensitive("val") + """, false) as masked
   from specs)"""
 
 
@@ -273,9 +280,7 @@ from parsed group by c_custkey""",
     "sensitive_value": """with words as (
   select doc_id, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) as word from documents)
 select doc_id, count(*) as words, count(*) filter (where
-    regexp_matches(trim(word), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')
-    or regexp_matches(trim(word), '^\\+?[\\d\\s().-]{7,}$')
-    or regexp_matches(trim(word), '^\\d{3}-?\\d{2}-?\\d{4}$')) as sensitive_words
+    """ + _looks_sensitive("word") + """) as sensitive_words
 from words group by doc_id""",
     "mask_filters": f"""with {_SPECS}
 select event_id, case when masked then '[masked column]' else col end as "column", operator,

@@ -147,3 +147,14 @@ def test_feature_types(spark, distinct, kind):
     got = {r[0]: r[1] for r in profile_feature_types(df).collect()}
     assert got == {"n": kind, "t": "categorical", "MAC": "numerical", "Issue_Age": "numerical",
                    "b": "categorical"}
+
+
+def test_text_durations_are_keys_as_stored(spark):
+    def counts(rows):
+        df = spark.createDataFrame(rows, "Policy_Number string, Duration string, MAC string")
+        return duplicate_keys(df).first()["status"], duplicate_keys(df).first()["issue_count"]
+
+    assert counts([("P1", "abc", "0"), ("P1", "def", "0")]) == ("PASS", 0)
+    assert counts([("P1", "abc", "0"), ("P1", "abc", "0")]) == ("FAIL", 1)
+    df = spark.createDataFrame([("P1", "1", "1"), ("P1", "1.0", "0"), ("P1", "2", "0")], "Policy_Number string, Duration string, MAC string")
+    assert death_exposure(df).first()["issue_count"] == 1
