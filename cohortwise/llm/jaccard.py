@@ -14,6 +14,10 @@ is skipped as a whole. The last step compares what the lists still hold of diffe
 by pair, so no link between two classes is lost. A group of near copies costs as many comparisons
 as it has members, not pairs.
 
+Pairs are first held against parity sketches: the number of bits in which two sketches differ is
+never more than the number of shingles in which the sets do, so a pair whose sketches differ too
+much cannot link. Whole sets are read from the documents again for the pairs left.
+
 Shingles are 64-bit hashes, and so are the keys of sets: two different sets have the same key with
 probability 2**-64.
 
@@ -43,8 +47,11 @@ PERCENT = 85
 #: to FREQUENT of them. The order decides the work, never the result.
 OFTEN = 12
 FREQUENT = 1 << 17
-TURNS = 3
-COMPARED = "a long, b long, linked boolean"
+TURNS = 2
+#: Bits of a sketch, a power of two.
+SKETCH = 1 << 10
+#: Ids that may be broadcast to pick documents; more are joined by a shuffle.
+PICKED = 1 << 20
 
 
 def needed_overlap(size_a, size_b, percent: int):
@@ -66,76 +73,103 @@ def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(hashes[a:b], size))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles per bucket."""
+    bucket = (own >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
 def prefixes(documents: DataFrame, size: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, set_key, n_shingles, prefix: the set's first shingles in the order.
+    """doc_id, set_key, n_shingles, sketch, prefix: the set's first shingles in the order.
 
+    Sketch and prefix are null where the task has given them for an equal set before.
     ``often``: rows (shingle, place), sorted by shingle; the place is the order among them.
     """
     shared = documents.sparkSession.sparkContext.broadcast(often)  # at most FREQUENT rows
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, place = shared.value
+        met: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, sizes, firsts = [], [], []
+                keys, sizes, sketches, firsts = [], [], [], []
                 for own in _sets(part, size):
-                    n = prefix_length(len(own), percent) if len(own) else 0
-                    if len(late) and n:
+                    key = set_key(own)
+                    keys.append(key)
+                    sizes.append(len(own))
+                    if key in met or not len(own):
+                        sketches.append(None)
+                        firsts.append(None)
+                        continue
+                    met.add(key)
+                    sketches.append(sketch(own))
+                    if len(late):
                         at = np.minimum(np.searchsorted(late, own), len(late) - 1)
                         listed = late[at] == own
                         if listed.any():
                             own_late = np.flatnonzero(listed)
                             own_late = own_late[np.argsort(place[at[own_late]])]
                             own = np.concatenate([own[~listed], own[own_late]])
-                    keys.append(set_key(own))
-                    sizes.append(len(own))
-                    firsts.append(own[:n].view(np.int64))
-                at = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
+                    firsts.append(own[: prefix_length(len(own), percent)].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(keys, pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.ListArray.from_arrays(at, np.concatenate(firsts)),
+                        pa.array(sketches, pa.binary()),
+                        pa.array(firsts, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "set_key", "n_shingles", "prefix"],
+                    names=["doc_id", "set_key", "n_shingles", "sketch", "prefix"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(index, "doc_id long, set_key long, n_shingles long, prefix array<long>")
-
+    return rows.mapInArrow(index, "doc_id long, set_key long, n_shingles long, sketch binary, prefix array<long>")
 
-def distinct_sets(held: DataFrame) -> DataFrame:
-    """One row per set that is not empty; copies are merged before the shuffle."""
-    return (
-        held.where("n_shingles > 0")
-        .groupBy("set_key")
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
-    )
 
+def frequent_shingles(documents: DataFrame, size: int, percent: int) -> np.ndarray:
+    """The FREQUENT shingles that most prefixes by hash hold, at least OFTEN, with their place by
+    count. A task counts equal sets once."""
 
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """The FREQUENT shingles that most prefixes hold, at least OFTEN, with their place by count."""
-    counts = sets.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count()
-    top = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = []
+                for own in _sets(part, size):
+                    key = set_key(own)
+                    if len(own) and key not in met:
+                        met.add(key)
+                        found.append(own[: prefix_length(len(own), percent)])
+                if found:
+                    shingle, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    counts = documents.select("text").mapInArrow(first, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shingle = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingle)
     place = len(shingle) - order  # the most frequent last
     return np.stack([shingle[order], place.astype(np.uint64)])
 
 
-def index_lists(sets: DataFrame) -> DataFrame:
+def index_lists(held: DataFrame) -> DataFrame:
     """Entries (shingle, set_key, n, pos) of all lists with two sets or more."""
-    entries = sets.select(
+    entries = held.where("prefix is not null").select(
         "set_key", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle")
     )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the previous batch's last entry and whether it went out
         for batch in batches:
+            shingle, key = batch.column("shingle").to_numpy(), batch.column("set_key").to_numpy()
+            new = np.ones(len(shingle), dtype=bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
+            if last is not None and len(new):
+                new[0] = (last[0].column("shingle")[0].as_py(), last[0].column("set_key")[0].as_py()) != (shingle[0], key[0])
+            batch = batch.filter(pa.array(new))  # sets that several tasks have met
             if not batch.num_rows:
                 continue
-            shingle = batch.column("shingle").to_numpy()
+            shingle = shingle[new]
             same = shingle[1:] == shingle[:-1]
             keep = np.zeros(len(shingle), dtype=bool)
             keep[1:] |= same
@@ -147,7 +181,7 @@ def index_lists(sets: DataFrame) -> DataFrame:
             last = (batch.slice(batch.num_rows - 1), bool(keep[-1]))
             yield batch.filter(pa.array(keep))
 
-    dealt = entries.repartition("shingle").sortWithinPartitions("shingle")
+    dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "set_key")
     return dealt.select("shingle", "set_key", "n", "pos").mapInArrow(shared, "shingle long, set_key long, n int, pos int")
 
 
@@ -234,8 +268,27 @@ class BlockList:
         return np.array(found, np.int64).reshape(len(found), 2)
 
 
+def close_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches differ in no more bits than linked sets may differ in shingles."""
+    own = sketches.select("set_key", "n_shingles", "sketch")
+    left = own.withColumnsRenamed({"set_key": "a", "n_shingles": "n_a", "sketch": "s_a"})
+    right = own.withColumnsRenamed({"set_key": "b", "n_shingles": "n_b", "sketch": "s_b"})
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64) for c in ("s_a", "s_b"))
+                apart = np.bitwise_count(x ^ y).reshape(batch.num_rows, -1).sum(axis=1, dtype=np.int64)
+                n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                close = apart <= n_a + n_b - 2 * needed_overlap(n_a, n_b, percent)
+                yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return both.mapInArrow(test, "a long, b long")
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact test of pairs: a, b, linked. ``sets``: set_key, shingles (sorted hashes as bytes)."""
+    """Exact test of pairs: a, b of those that link. ``sets``: set_key, shingles (sorted, as bytes)."""
     left = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("right")), "b")
 
@@ -246,13 +299,16 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "left", "right").mapInArrow(test, COMPARED)
+    return both.select("a", "b", "left", "right").mapInArrow(test, "a long, b long").distinct()
 
 
 def whole_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The shingles of wanted sets (set_key, doc_id of one document, null-safe)."""
+    """The shingles of wanted sets (set_key, one_id of a document that has the set).
+
+    A repeated id may bring a set twice, or one that is not wanted.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,28 +319,34 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     names=["set_key", "shingles"],
                 )
 
-    ids = wanted.select(F.col("one_id")).distinct()
+    ids = cut_lineage(wanted.select("one_id").distinct())
+    if ids.count() <= PICKED:
+        ids = F.broadcast(ids)
     few = documents.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("one_id")), "left_semi")
-    found = few.select("text").mapInArrow(read, "set_key long, shingles binary")
-    return found.join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
+    return few.select("text").mapInArrow(read, "set_key long, shingles binary")
 
 
-def linked_sets(documents: DataFrame, held: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
     """set_key, class: the least set key that links reach, for sets that share any prefix."""
-    lists = cut_lineage(index_lists(sets))
-    in_lists = lists.select("set_key").distinct()
-    one = held.groupBy("set_key").agg(F.min("doc_id").alias("one_id"))
-    wanted = cut_lineage(one.join(in_lists, "set_key"))
-    bodies = cut_lineage(whole_sets(documents, wanted, size))
-    classes = cut_lineage(wanted.select("set_key", F.col("set_key").alias("class")))
+    lists = cut_lineage(index_lists(held))
+    known = (
+        held.where("n_shingles > 0")
+        .groupBy("set_key")
+        .agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch"))
+    )
+    known = cut_lineage(known.join(lists.select("set_key").distinct(), "set_key", "left_semi"))
+    classes = cut_lineage(known.select("set_key", F.col("set_key").alias("class")))
     tried = None
     for turn in range(TURNS + 1):
         last = turn == TURNS
         pairs = remaining_pairs(lists, classes, percent) if last else leaders_pairs(lists, classes, turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tested = cut_lineage(compare(pairs, bodies, percent))
-        links = tested.where("linked").select("a", "b")
+        pairs = cut_lineage(pairs)
+        close = cut_lineage(close_sketches(pairs, known, percent))
+        ends = close.select(F.col("a").alias("set_key")).unionAll(close.select(F.col("b").alias("set_key"))).distinct()
+        bodies = cut_lineage(whole_sets(documents, known.join(ends, "set_key"), size))
+        links = cut_lineage(compare(close, bodies, percent))
         between = (
             links.join(classes.withColumnsRenamed({"set_key": "a", "class": "class_a"}), "a")
             .join(classes.withColumnsRenamed({"set_key": "b", "class": "class_b"}), "b")
@@ -296,20 +358,16 @@ def linked_sets(documents: DataFrame, held: DataFrame, sets: DataFrame, size: in
                 "set_key", F.coalesce("merged", "class").alias("class")
             )
         )
-        done = tested.where("not linked").select("a", "b")
-        tried = done if tried is None else tried.unionAll(done)
+        tried = pairs if tried is None else tried.unionAll(pairs)
     return classes
 
 
 def classify(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, set_key (equal sets have equal keys)."""
-    none = np.zeros((2, 0), np.uint64)
-    held = cut_lineage(prefixes(documents, size, percent, none))
-    often = frequent_shingles(distinct_sets(held))
-    if often.shape[1]:
-        held = cut_lineage(prefixes(documents, size, percent, often))
+    often = frequent_shingles(documents, size, percent)
+    held = cut_lineage(prefixes(documents, size, percent, often))
     members = held.select("doc_id", "set_key", "n_shingles")
-    classes = linked_sets(documents, members, distinct_sets(held), size, percent)
+    classes = linked_sets(documents, held, size, percent)
     named = members.join(classes, "set_key", "left").withColumn(
         "class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "set_key"))
     )

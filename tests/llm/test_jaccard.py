@@ -118,3 +118,12 @@ def test_components(spark):
     found = components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.component for r in found.collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        a, b = (np.frombuffer(jaccard.sketch(v), np.uint64) for v in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
