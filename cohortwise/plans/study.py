@@ -7,6 +7,7 @@ version counts only once its artifact entry has been logged.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -16,14 +17,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.contracts import DEFAULT_TOP_N, OTHER_LABEL, check_sort, default_sort
+from cohortwise.contracts import DEFAULT_TOP_N, OTHER_LABEL, PACKET_SCHEMA_VERSION, check_sort, default_sort
 from cohortwise.functions.labels import summary_slug
 from cohortwise.operators import audit
 from cohortwise.operators.cohorts import check_grouping, ranked_summary
 from cohortwise.operators.dimensions import Band, band, default_age_band, regroup
 from cohortwise.operators.exhibits import exhibit_rows
 from cohortwise.operators.filters import as_filter
-from cohortwise.operators.masking import masking_threshold, packet_rows, packet_warnings
+from cohortwise.operators.masking import (
+    mask_filters,
+    masking_threshold,
+    packet_rows,
+    packet_warnings,
+)
 from cohortwise.operators.profile import profile_feature_types, profile_nulls, profile_summary
 from cohortwise.operators.quality import REPORT, dq_gate, dq_report
 from cohortwise.sources import stores
@@ -38,6 +44,8 @@ SUMMED = "Grouped A/E analysis run"
 PACKED = "Sanitized AI A/E packet built"
 SOURCE, PREPARED, PRIOR = "source_dataset", "prepared_dataset", "prepared_dataset_prior"
 SUMMARY, LATEST_SUMMARY, PACKET = "ae_summary", "latest_ae_summary", "ai_ae_packet"
+EXHIBITED = "Visualization artifacts built"
+EXHIBIT, GIVEN_SUMMARY = "ae_visual_rows", "given_ae_summary"
 # ---- End of fixed values. ----
 
 ENTRIES = (
@@ -52,6 +60,11 @@ SUMMARIES = (
     "way int, grouping int, group_columns array<string>, group_values array<string>, "
     "cohort_rank bigint, scenario string, run_id string"
 )
+METADATA = (
+    "schema_version string, group_by array<string>, filters string, measure string, sort_by string, "
+    "min_claims double, masking_min_claims double, top_n int, source_hash string, "
+    "state_fingerprint string, packet_fingerprint string, packet_version string"
+)
 
 
 class Study:
@@ -197,6 +210,9 @@ class Study:
     def _derive(self, tool: str, step: str, df: DataFrame, parameters: dict[str, Any]) -> DataFrame:
         before = self._prepared_entry()
         sources = [(PRIOR, before["path"], before["content_hash"])]
+        origin = self._newest(SOURCE)
+        if origin is not None:
+            sources.append((SOURCE, origin["path"], origin["content_hash"]))
         parameters["previous_prepared_content_hash"] = before["content_hash"]
         layout = json.loads(before["parameters"])["partition_by"]
         saved = self._save_prepared(df, tool, parameters, sources, layout)
@@ -307,8 +323,22 @@ class Study:
                 [(PREPARED, entry["path"], entry["content_hash"])],
             )
             self._log(SUMMED, "ae", entry["location"], path, **parameters)
+        # The last grouping is what a packet without further words is made from.
+        self._record(
+            LATEST_SUMMARY,
+            f"{path}/latest",
+            path,
+            hashes["content_hash"],
+            "ae",
+            parameters,
+            [(PREPARED, entry["path"], entry["content_hash"])],
+        )
         return saved
 
+    def latest_by_way(self) -> DataFrame:
+        """The newest summary of each way, one or two columns, in the order of writing."""
+        return stores.latest_by_way(self.summaries())
+
     def stale(self) -> DataFrame:
         """Latest summaries made from an older prepared table."""
         return audit.stale_summaries(self.artifacts())
@@ -328,49 +358,99 @@ class Study:
         )
         return stores.check_ae_summary(rows), parameters
 
+    def _masked_filters(self, filters: Sequence[Mapping[str, Any]]) -> DataFrame:
+        """Filters fit to share; only text can be personal data by itself."""
+        rows = [
+            (n, f["column"], f["operator"], f["value"] if isinstance(f["value"], str) else None, audit.canonical_json(f["value"]))
+            for n, f in enumerate(filters)
+        ]
+        fields = "place int, column string, operator string, value string, given string"
+        masked = mask_filters(self.spark.createDataFrame(rows, fields))
+        shown = F.when(F.col("masked") | F.col("value").isNotNull(), F.col("value")).otherwise(F.col("given"))
+        return masked.withColumn("value", shown).drop("given")
+
+    def packet_metadata(self) -> DataFrame:
+        """How each saved packet was made, one row a version."""
+        return self._read("packet_metadata", METADATA)
+
     def packet(
-        self, *, top_n: int = DEFAULT_TOP_N, masking_min_claims: float | None = None
+        self,
+        *,
+        top_n: int = DEFAULT_TOP_N,
+        masking_min_claims: float | None = None,
+        summary: DataFrame | None = None,
     ) -> tuple[DataFrame, DataFrame]:
-        """Masked rows of the last summary, saved, and the warnings that go with them."""
-        summary, made = self.latest_ae()
+        """Masked rows of the last summary, or of one given, and their warnings, both saved with
+        a row of metadata."""
+        if summary is None:
+            summary, made = self.latest_ae()
+            source = self._newest(LATEST_SUMMARY)
+            origin = (LATEST_SUMMARY, source["path"], source["content_hash"])
+        else:
+            summary = stores.check_ae_summary(summary)
+            made = {"min_claims": 0, "filters": [], "group_by": [], "measure": None, "sort_by": None, "state_fingerprint": None}
+            origin = (GIVEN_SUMMARY, "given", self._hash(summary))
         rows = packet_rows(
             summary,
             top_n=top_n,
             masking_min_claims=masking_min_claims,
             min_claims=made["min_claims"],
         )
+        shared = self._masked_filters(made["filters"])
+        texts = [f for f in made["filters"] if isinstance(f["value"], str)]
+        asked = [(f["column"], f["operator"], f["value"] if f in texts else None) for f in made["filters"]]
         filters = None
-        if made["filters"]:
-            texts = [
-                (f["column"], f["operator"], f["value"] if isinstance(f["value"], str) else None)
-                for f in made["filters"]
-            ]
-            filters = self.spark.createDataFrame(
-                texts, "column string, operator string, value string"
-            )
-        path = f"{self.root}/packet/version={stores.version_name()}"
+        if asked:
+            filters = self.spark.createDataFrame(asked, "column string, operator string, value string")
+        version = stores.version_name()
+        path, warned = f"{self.root}/packet/version={version}", f"{self.root}/packet_warnings/version={version}"
         rows.write.mode("errorifexists").parquet(path)
         saved = self.spark.read.parquet(path)
+        packet_warnings(summary, top_n=top_n, filters=filters).write.mode("errorifexists").parquet(warned)
+        warnings = self.spark.read.parquet(warned)
         parameters = {
             "top_n": top_n,
             "masking_min_claims": masking_threshold(masking_min_claims, made["min_claims"]),
         }
-        source = self._newest(SUMMARY)
+        listed = [r.asDict() for r in shared.orderBy("place").drop("place", "masked").collect()]
+        about = {
+            "schema_version": PACKET_SCHEMA_VERSION,
+            "group_by": list(made["group_by"]),
+            "filters": audit.canonical_json(listed),
+            "measure": made["measure"],
+            "sort_by": made["sort_by"],
+            "min_claims": float(made["min_claims"]),
+            "masking_min_claims": float(parameters["masking_min_claims"]),
+            "top_n": int(top_n),
+            "source_hash": origin[2],
+            "state_fingerprint": made["state_fingerprint"],
+        }
+        hashes = [self._hash(saved), self._hash(warnings), audit.canonical_json(about)]
+        about["packet_fingerprint"] = hashlib.sha256("|".join(hashes).encode()).hexdigest()
+        row = tuple({**about, "packet_version": version}.values())
+        self.spark.createDataFrame([row], METADATA).write.mode("append").parquet(f"{self.root}/packet_metadata")
         self._record(
-            PACKET,
-            f"{self.root}/packet",
-            path,
-            self._hash(saved),
-            "packet",
-            parameters,
-            [(LATEST_SUMMARY, source["path"], source["content_hash"])],
+            PACKET, f"{self.root}/packet", path, about["packet_fingerprint"], "packet", parameters, [origin]
         )
-        self._log(PACKED, "packet", source["path"], path, **parameters)
-        return saved, packet_warnings(summary, top_n=top_n, filters=filters)
-
-    def exhibits(self, metric: str) -> DataFrame:
-        summary, _ = self.latest_ae()
-        return exhibit_rows(stores.check_ae_summary(summary, allow_empty=False), metric)
+        self._log(PACKED, "packet", origin[1], path, **parameters)
+        return saved, warnings
+
+    def exhibits(self, metric: str, *, summary: DataFrame | None = None) -> DataFrame:
+        """Rows behind the exhibits of the last summary, or of one given; saved and recorded."""
+        if summary is None:
+            summary, _ = self.latest_ae()
+            source = self._newest(LATEST_SUMMARY)
+            origin = (LATEST_SUMMARY, source["path"], source["content_hash"])
+        else:
+            origin = (GIVEN_SUMMARY, "given", self._hash(summary))
+        rows = exhibit_rows(stores.check_ae_summary(summary, allow_empty=False), metric)
+        path = f"{self.root}/exhibits/metric={metric}/version={stores.version_name()}"
+        rows.write.mode("errorifexists").parquet(path)
+        saved = self.spark.read.parquet(path)
+        parameters = {"metric": metric}
+        self._record(EXHIBIT, f"{self.root}/exhibits/{metric}", path, self._hash(saved), "exhibits", parameters, [origin])
+        self._log(EXHIBITED, "exhibits", origin[1], path, **parameters)
+        return saved
 
     def run(
         self,

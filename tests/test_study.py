@@ -22,7 +22,9 @@ def test_run_band_and_share(spark, sample_csv, tmp_path):
         "Sanitized AI A/E packet built",
     ]
     kinds = {r["artifact_type"] for r in study.artifacts().collect()}
-    assert kinds == {"source_dataset", "prepared_dataset", "ae_summary", "ai_ae_packet"}
+    assert kinds == {
+        "source_dataset", "prepared_dataset", "ae_summary", "latest_ae_summary", "ai_ae_packet"
+    }
     assert study.stale().count() == 0
 
     banded = study.band("Face_Amount", "Face_Amount_Band", Band("quantile", bins=4))
@@ -49,6 +51,14 @@ def test_run_band_and_share(spark, sample_csv, tmp_path):
     assert {tuple(r["Dimension_Columns"]) for r in rows.collect()} == {("Face_Amount_Band",)}
     assert [r["code"] for r in warnings.collect()] == ["sensitive_filter_masked"]
     assert "P0" not in str(rows.collect())
+    about = again.packet_metadata().orderBy("packet_version").collect()
+    assert len(about) == 2 and about[1]["group_by"] == ["Face_Amount_Band"]
+    assert "P999" not in about[1]["filters"] and "[masked value]" in about[1]["filters"]
+    assert about[0]["packet_fingerprint"] != about[1]["packet_fingerprint"]
+    ways = {r["way"]: r["scenario"] for r in again.latest_by_way().collect()}
+    assert ways == {1: "face_amount_band", 2: "gender_smoker"}
+    given, _ = again.packet(summary=summary.drop("run_id", "scenario"), top_n=2)
+    assert given.count() == 2
     assert again.exhibits("amount").count() == 4
 
     grouped = again.regroup("Risk_Class", "Risk_Class_Group",
