@@ -28,8 +28,8 @@ from cohortwise.llm.text import raw, slices
 
 DIMENSIONS = 1 << 13
 #: Labelled rows learned from, per language and of all languages together.
-SAMPLE_PER_LANGUAGE = 400
-SAMPLE_ROWS = 4_000
+SAMPLE_PER_LANGUAGE = 250
+SAMPLE_ROWS = 2_000
 FOLDS, HELD_OUT_FOLD = 4, 2
 UNDETERMINED = "und"
 # Languages by family.
@@ -115,27 +115,28 @@ def _shares(sample: DataFrame) -> list:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by dual coordinate descent; labels are +1 and -1.
-    Classes weigh alike."""
-    bias = np.ones((len(x), 1), dtype=x.dtype)
-    x = np.hstack([x, bias])
-    weight = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
-    diagonal = 0.5 / weight
-    norm = (x * x).sum(axis=1) + diagonal
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+    """Linear machine with squared hinge loss by dual coordinate descent; labels are +1 and -1,
+    and 0 for rows of neither class. Classes weigh alike."""
+    rows = np.flatnonzero(y)
+    weight = {side: cost * len(rows) / (2 * max(1, (y == side).sum())) for side in (1, -1)}
+    diagonal = np.where(y > 0, 0.5 / weight[1], 0.5 / weight[-1])
+    norm = np.einsum("ij,ij->i", x, x) + 1.0 + diagonal
+    alpha, w, bias = np.zeros(len(x)), np.zeros(x.shape[1]), 0.0
     rng = np.random.default_rng(5)
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + diagonal[i] * alpha[i]
+        for i in rng.permutation(rows):
+            gradient = y[i] * (x[i] @ w + bias) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - gradient / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * x[i]
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, float(bias)
 
 
 @dataclass(frozen=True)
@@ -183,12 +184,12 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int
     """Learn from (doc_id, text, lang); at most ``rows`` feature rows reach the driver."""
     usable = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     got = _shares(_sample(usable, per_language, rows))
-    x = np.array([np.frombuffer(r["shares"], np.float32) for r in got], dtype=np.float64).reshape(len(got), DIMENSIONS)
+    got.sort(key=lambda r: (r["lang"], bytes(r["shares"])))  # the same model whatever the order
     lang = np.array([r["lang"] for r in got], dtype=object)
-    order = np.lexsort((x @ np.arange(1, DIMENSIONS + 1), lang)) if len(got) else []
-    x, lang = x[order], lang[order]
-    scale = 1.0 / max(1e-12, np.sqrt((x * x).sum(axis=1)).mean()) if len(got) else 1.0
-    x = x * scale
+    x = np.frombuffer(b"".join(r["shares"] for r in got), np.float32).reshape(len(got), DIMENSIONS)
+    del got
+    scale = 1.0 / max(1e-12, float(np.sqrt(np.einsum("ij,ij->i", x, x)).mean())) if len(x) else 1.0
+    x = x * np.float32(scale)
     kin = np.array([family(v) for v in lang], dtype=object)
     families = tuple(sorted(set(kin)))
     languages = tuple(tuple(sorted(set(lang[kin == f]))) for f in families)
@@ -198,8 +199,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int
     pairs = []
     for f, own in enumerate(languages):
         for a, b in combinations(range(len(own)), 2):
-            rows_of = (lang == own[a]) | (lang == own[b])
-            columns.append(train_svm(x[rows_of], np.where(lang[rows_of] == own[a], 1.0, -1.0)))
+            columns.append(train_svm(x, (lang == own[a]) * 1.0 - (lang == own[b]) * 1.0))
             pairs.append((f, a, b))
     weights = np.array([w * scale for w, _ in columns], dtype=np.float32).reshape(len(columns), DIMENSIONS)
     return Model(families, languages, tuple(pairs), weights, np.array([b for _, b in columns], dtype=np.float64))
