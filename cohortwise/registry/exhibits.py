@@ -34,7 +34,8 @@ def _flat(df, *lists):
 
 
 def query_metric_view(spark, sf_dir):
-    return rounded(metric_view(shared_summary(spark, sf_dir), "amount"), DIGITS)
+    keyless = shared_summary(spark, sf_dir).drop("group_columns", "group_values")
+    return rounded(metric_view(keyless, "amount"), DIGITS)
 
 
 def query_exhibit_rows(spark, sf_dir):
