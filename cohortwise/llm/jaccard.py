@@ -242,29 +242,34 @@ def remaining_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataF
 
 
 class BlockList:
-    """A list's entries in blocks of one size, by position: a probe takes the sizes in reach and
-    of each block the entries up to the position that still leaves the needed overlap."""
+    """A list's entries in blocks of one size and class, by position: a probe takes the sizes in
+    reach, leaves out its own class as a whole, and of each block reads the entries up to the
+    position that still leaves the needed overlap."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.blocks: dict[int, list[tuple[int, int, int]]] = {}
+        self.blocks: dict[int, dict[int, list[tuple[int, int]]]] = {}
 
     def add(self, key: int, n: int, pos: int, cls: int) -> None:
-        self.blocks.setdefault(int(n), []).append((int(pos), int(key), int(cls)))
+        self.blocks.setdefault(int(n), {}).setdefault(int(cls), []).append((int(pos), int(key)))
 
     def probe(self, key: int, n: int, pos: int, cls: int) -> np.ndarray:
+        key, n, pos, cls = int(key), int(n), int(pos), int(cls)
         found = []
         for size in [s for s in self.blocks if 100 * s < self.percent * n]:
             del self.blocks[size]  # entries come by size, so these are too small for all to come
-        for size, block in self.blocks.items():
-            need = int(needed_overlap(size, n, self.percent))
-            for at, other, its in block:  # by position, as they came
-                if min(at, pos) + min(size - at, n - pos) < need:
-                    if at > pos:
-                        break  # further ones leave even less
+        for size, classes in self.blocks.items():
+            need = needed_overlap(size, n, self.percent)
+            for other_class, block in classes.items():
+                if other_class == cls:
                     continue
-                if its != cls and other != key:
-                    found.append((other, int(key)))
+                for at, other in block:  # by position, as they came
+                    if min(at, pos) + min(size - at, n - pos) < need:
+                        if at > pos:
+                            break  # further ones leave even less
+                        continue
+                    if other != key:
+                        found.append((other, key))
         return np.array(found, np.int64).reshape(len(found), 2)
 
 
