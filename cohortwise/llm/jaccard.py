@@ -79,10 +79,15 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount(bucket, minlength=SKETCH) & 1).astype(bool)).tobytes()
 
 
+def mark(whole: bytes) -> bytes:
+    """A sketch of a quarter of the bits, for list entries; the same bound holds for it."""
+    return np.bitwise_xor.reduce(np.frombuffer(whole, np.uint64).reshape(4, -1)).tobytes()
+
+
 def prefixes(documents: DataFrame, size: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, set_key, n_shingles, sketch, prefix: the set's first shingles in the order.
+    """doc_id, set_key, n_shingles, sketch, mark, prefix: the set's first shingles in the order.
 
-    Sketch and prefix are null where the task has given them for an equal set before.
+    Sketch, mark and prefix are null where the task has given them for an equal set before.
     ``often``: rows (shingle, place), sorted by shingle; the place is the order among them.
     """
     shared = documents.sparkSession.sparkContext.broadcast(often)  # at most FREQUENT rows
@@ -117,13 +122,14 @@ def prefixes(documents: DataFrame, size: int, percent: int, often: np.ndarray) -
                         pa.array(keys, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(sketches, pa.binary()),
+                        pa.array([x and mark(x) for x in sketches], pa.binary()),
                         pa.array(firsts, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "set_key", "n_shingles", "sketch", "prefix"],
+                    names=["doc_id", "set_key", "n_shingles", "sketch", "mark", "prefix"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(index, "doc_id long, set_key long, n_shingles long, sketch binary, prefix array<long>")
+    return rows.mapInArrow(index, "doc_id long, set_key long, n_shingles long, sketch binary, mark binary, prefix array<long>")
 
 
 def frequent_shingles(documents: DataFrame, size: int, percent: int) -> np.ndarray:
@@ -215,29 +221,31 @@ def leaders_pairs(lists: DataFrame, classes: DataFrame, turn: int, percent: int)
     return met.select(F.least("set_key", "lead").alias("a"), F.greatest("set_key", "lead").alias("b")).distinct()
 
 
-def remaining_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes that lists of several classes still hold."""
+def remaining_pairs(lists: DataFrame, classes: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different classes that lists of several classes still hold and whose marks
+    are close enough."""
     entries = lists.join(classes, "set_key")
     mixed = entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    left = entries.join(mixed.select("shingle"), "shingle").repartition("shingle").sortWithinPartitions("shingle", "n", "pos")
+    left = entries.join(mixed.select("shingle"), "shingle").join(marks, "set_key").repartition("shingle").sortWithinPartitions("shingle", "n", "pos")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # entries of the open list that later, larger ones may link with
         for batch in batches:
             own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "set_key", "n", "pos", "class")])
             found = []
-            for column in own.T:
+            for column, bits in zip(own.T, batch.column("mark").to_pylist(), strict=True):
                 shingle, key, n, pos, cls = column
+                bits = int.from_bytes(bits, "little")
                 if held is None or held[0] != shingle:
                     held = (shingle, BlockList(percent))
-                found.append(held[1].probe(key, n, pos, cls))
-                held[1].add(key, n, pos, cls)
+                found.append(held[1].probe(key, n, pos, cls, bits))
+                held[1].add(key, n, pos, cls, bits)
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             if len(pairs):
                 pairs = np.unique(np.sort(pairs, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    wanted = left.select("shingle", "set_key", "n", "pos", "class")
+    wanted = left.select("shingle", "set_key", "n", "pos", "class", "mark")
     return wanted.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -248,27 +256,28 @@ class BlockList:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.blocks: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.blocks: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
 
-    def add(self, key: int, n: int, pos: int, cls: int) -> None:
-        self.blocks.setdefault(int(n), {}).setdefault(int(cls), []).append((int(pos), int(key)))
+    def add(self, key: int, n: int, pos: int, cls: int, bits: int = 0) -> None:
+        self.blocks.setdefault(int(n), {}).setdefault(int(cls), []).append((int(pos), int(key), bits))
 
-    def probe(self, key: int, n: int, pos: int, cls: int) -> np.ndarray:
+    def probe(self, key: int, n: int, pos: int, cls: int, bits: int = 0) -> np.ndarray:
         key, n, pos, cls = int(key), int(n), int(pos), int(cls)
         found = []
         for size in [s for s in self.blocks if 100 * s < self.percent * n]:
             del self.blocks[size]  # entries come by size, so these are too small for all to come
         for size, classes in self.blocks.items():
             need = needed_overlap(size, n, self.percent)
+            apart = size + n - 2 * need
             for other_class, block in classes.items():
                 if other_class == cls:
                     continue
-                for at, other in block:  # by position, as they came
+                for at, other, its in block:  # by position, as they came
                     if min(at, pos) + min(size - at, n - pos) < need:
                         if at > pos:
                             break  # further ones leave even less
                         continue
-                    if other != key:
+                    if other != key and (bits ^ its).bit_count() <= apart:
                         found.append((other, key))
         return np.array(found, np.int64).reshape(len(found), 2)
 
@@ -337,14 +346,14 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
     known = (
         held.where("n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        .agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("mark", ignorenulls=True).alias("mark"))
     )
     known = cut_lineage(known.join(lists.select("set_key").distinct(), "set_key", "left_semi"))
     classes = cut_lineage(known.select("set_key", F.col("set_key").alias("class")))
     tried = None
     for turn in range(TURNS + 1):
         last = turn == TURNS
-        pairs = remaining_pairs(lists, classes, percent) if last else leaders_pairs(lists, classes, turn, percent)
+        pairs = remaining_pairs(lists, classes, known.select("set_key", "mark"), percent) if last else leaders_pairs(lists, classes, turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
