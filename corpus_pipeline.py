@@ -23,8 +23,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked shingle sets."""
-    return jaccard.one_per_class(docs)
+    """One document of each class of sets of five-word shingles, linked from 80 percent on."""
+    return jaccard.one_per_class(docs, size=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

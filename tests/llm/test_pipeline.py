@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -66,6 +67,39 @@ def test_one_of_equal_rows_stays(spark, documents):
     assert found == sorted([(1, text), (3, ""), (3, ""), (0, "x y z w"), (4, "other words"), (1, "another text")])
 
 
+def five_word_classes(rows, percent=80):
+    """The ids that stay: the least one of each class on sets of five-word shingles."""
+    sets = {}
+    for i, t in rows:
+        w = test_decontamination.split(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= percent * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if c == old else c for i, c in label.items()}
+    return {i for i, c in label.items() if i == c}
+
+
+def test_near_copies_take_five_words_and_80_percent(spark, documents):
+    base = [f"a{k}" for k in range(200)]
+    changed = [f"x{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(base)]
+    short = [f"b{k}" for k in range(100)]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(short)), (4, " ".join([*short, *(f"y{k}" for k in range(22))]))]
+    rng = random.Random(8)
+    for family in range(12):
+        own = [f"f{family}w{k}" for k in range(rng.randrange(40, 160))]
+        for _ in range(6):
+            edited = list(own)
+            for _ in range(rng.randrange(8)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows) + 1, " ".join(edited)))
+    kept = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, documents(rows), "").collect()}
+    assert kept == five_word_classes(rows) and not kept & {2, 4}
+
+
 def test_registered():
     queries = __spark_entry__.queries()
     assert "pipeline" in queries
