@@ -31,6 +31,12 @@ DIMENSIONS = 1 << 13
 SAMPLE_PER_LANGUAGE = 250
 SAMPLE_ROWS = 2_000
 FOLDS, HELD_OUT_FOLD = 4, 2
+#: A text fits a language if the mean log share of its trigrams lies no more than REACH deviations
+#: of one trigram below the language's own mean, and SHORT more by the root of its length.
+REACH, SHORT = 2.0, 6.0
+#: Least deviation, what is added to each trigram's count, places that count of one text, and
+#: texts that a language needs for a limit of its own.
+LEAST_DEVIATION, ADDED, LONGEST, LIMIT_TEXTS = 1.0, 0.1, 4096, 8
 UNDETERMINED = "und"
 # Languages by family.
 FAMILIES = {
@@ -108,10 +114,37 @@ def _shares(sample: DataFrame) -> list:
                     for a, b in zip(bounds[:-1], bounds[1:], strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), pa.array([m.tobytes() for m in made], pa.binary())], names=["lang", "shares"]
+                    [part.column("lang"), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(np.diff(bounds), pa.int64())],
+                    names=["lang", "shares", "places"],
                 )
 
-    return sample.select("lang", "text").mapInArrow(count, "lang string, shares binary").collect()
+    return sample.select("lang", "text").mapInArrow(count, "lang string, shares binary, places long").collect()
+
+
+def learn_fit(shares: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Log shares of one language's trigrams, and for texts not learned from the usual mean of
+    theirs and the usual deviation within a text; not a number with too few texts.
+
+    Each half of the texts is held against the other half. Rows are in order of their shares, so
+    copies of a text are in the same half.
+    """
+    weight = np.minimum(places, LONGEST).astype(np.float32)
+
+    def logs(rows: slice) -> np.ndarray:
+        count = (weight[rows] @ shares[rows]).astype(np.float64)
+        return np.log((count + ADDED) / (count.sum() + ADDED * DIMENSIONS))
+
+    half, mean, deviation = len(shares) // 2, [], []
+    for learned, held in ((slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))):
+        own = logs(learned)
+        first = shares[held] @ own.astype(np.float32)
+        second = shares[held] @ np.square(own).astype(np.float32)
+        some = places[held] > 0
+        mean += first[some].tolist()
+        deviation += np.sqrt(np.maximum(0, second - first * first))[some].tolist()
+    if len(mean) < LIMIT_TEXTS:
+        return logs(slice(None)), float("nan"), float("nan")
+    return logs(slice(None)), float(np.median(mean)), max(LEAST_DEVIATION, float(np.median(deviation)))
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -148,9 +181,26 @@ class Model:
     pairs: tuple[tuple[int, int, int], ...]
     weights: np.ndarray
     bias: np.ndarray
+    #: Per language, in the order of ``languages``: log shares of trigrams, usual mean and deviation.
+    logs: np.ndarray
+    means: np.ndarray
+    deviations: np.ndarray
+
+    def fits(self, names: list[str], feature: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether each text is as likely as texts of the language named for it usually are."""
+        at = {name: k for k, name in enumerate(name for own in self.languages for name in own)}
+        if not at:
+            return np.zeros(len(names), dtype=bool)
+        own, places = np.array([at.get(name, -1) for name in names], np.int64), np.diff(bounds)
+        total = np.concatenate([[0.0], np.cumsum(self.logs[np.repeat(own, places), feature], dtype=np.float64)])
+        mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(1, places)
+        least = self.means[own] - self.deviations[own] * (REACH + SHORT / np.sqrt(np.maximum(1, places)))
+        return (own >= 0) & ((places == 0) | ~(mean < least))
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, list[str | None]]:
-        feature, bounds = trigrams(column)
+        return self.label(column, *trigrams(column))
+
+    def label(self, column: pa.Array, feature: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray, list[str | None]]:
         n = len(bounds) - 1
         margin = np.zeros((n, len(self.bias)))
         for c in range(len(self.bias)):
@@ -187,12 +237,16 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int
     got.sort(key=lambda r: (r["lang"], bytes(r["shares"])))  # the same model whatever the order
     lang = np.array([r["lang"] for r in got], dtype=object)
     x = np.frombuffer(b"".join(r["shares"] for r in got), np.float32).reshape(len(got), DIMENSIONS)
+    places = np.array([r["places"] for r in got], np.int64)
     del got
     scale = 1.0 / max(1e-12, float(np.sqrt(np.einsum("ij,ij->i", x, x)).mean())) if len(x) else 1.0
-    x = x * np.float32(scale)
     kin = np.array([family(v) for v in lang], dtype=object)
     families = tuple(sorted(set(kin)))
     languages = tuple(tuple(sorted(set(lang[kin == f]))) for f in families)
+    found = [learn_fit(x[lang == name], places[lang == name]) for own in languages for name in own]
+    logs = np.array([own for own, _, _ in found], dtype=np.float32).reshape(len(found), DIMENSIONS)
+    means, deviations = np.array([m for _, m, _ in found]), np.array([d for _, _, d in found])
+    x = x * np.float32(scale)
     columns: list[tuple[np.ndarray, float]] = []
     if len(families) > 1:
         columns += [train_svm(x, np.where(kin == f, 1.0, -1.0)) for f in families]
@@ -202,7 +256,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int
             columns.append(train_svm(x, (lang == own[a]) * 1.0 - (lang == own[b]) * 1.0))
             pairs.append((f, a, b))
     weights = np.array([w * scale for w, _ in columns], dtype=np.float32).reshape(len(columns), DIMENSIONS)
-    return Model(families, languages, tuple(pairs), weights, np.array([b for _, b in columns], dtype=np.float64))
+    bias = np.array([b for _, b in columns], dtype=np.float64)
+    return Model(families, languages, tuple(pairs), weights, bias, logs, means, deviations)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -227,11 +282,13 @@ def identify(documents: DataFrame) -> DataFrame:
     return predict(documents, fit(documents.where(~held_out(F.col("doc_id")))))
 
 
-def keep_identified(documents: DataFrame, least_score: float = 0.5) -> DataFrame:
+def keep_identified(documents: DataFrame) -> DataFrame:
     """The documents whose language is recognised, with all their columns.
 
-    Rejected: texts without letters, and texts that fit no learned family or language better
-    than its alternatives.
+    Rejected: texts without letters, and texts whose trigrams are far less likely in the language
+    chosen for them than those of its labelled texts. The limit is each language's own, whatever
+    the others are. Texts too short for a trigram stay, and so do those of a language with fewer
+    than LIMIT_TEXTS labelled texts in the sample.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents.where(~held_out(F.col("doc_id")))))
     schema = documents.schema
@@ -239,8 +296,9 @@ def keep_identified(documents: DataFrame, least_score: float = 0.5) -> DataFrame
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                names, score, _ = model.value.predict(part.column("text"))
-                good = (np.array(names, dtype=object) != UNDETERMINED) & (score >= least_score)
-                yield part.filter(pa.array(good))
+                feature, bounds = trigrams(part.column("text"))
+                names, _, _ = model.value.label(part.column("text"), feature, bounds)
+                good = np.array([name != UNDETERMINED for name in names], dtype=bool)
+                yield part.filter(pa.array(good & model.value.fits(names, feature, bounds)))
 
     return documents.mapInArrow(select, schema)

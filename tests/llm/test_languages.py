@@ -61,6 +61,35 @@ def test_no_rows_and_filter(documents):
     assert kept.count() == 60 and "score" in kept.columns
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, documents):
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in source.collect()]
+    rng = np.random.default_rng(9)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = [" ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(n)) for n in (8, 20, 60, 300)]
+    foreign = [
+        "koira juoksee nopeasti metsän läpi ja kissa nukkuu ikkunalla koko pitkän talvipäivän ajan",
+        "pies biegnie szybko przez las a kot śpi na oknie przez cały długi zimowy dzień",
+        "собака быстро бежит через лес а кошка спит на окне весь день",
+    ]
+    short = [" ".join(t.split()[:n]) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2 for n in (4, 8) if len(t.split()) > 8]
+    odd = [(10**6 + k, t, None) for k, t in enumerate(junk + foreign)]
+    clean = [(2 * 10**6 + k, t, None) for k, t in enumerate(short)]
+    kept = {r.doc_id for r in languages.keep_identified(documents(rows + odd + clean)).select("doc_id").collect()}
+    assert not kept & {r[0] for r in odd}
+    assert len(kept & {r[0] for r in rows}) >= 0.99 * len(rows)
+    assert len(clean) > 100 and len(kept & {r[0] for r in clean}) >= 0.99 * len(clean)
+
+
+def test_limits_do_not_depend_on_other_families(documents):
+    fi = "koira ja kissa eivät ole pöydällä vaan talossa "
+    rows = [(4 * k + j, t * (k % 5 + 1), lang) for k in range(40) for j, (t, lang) in enumerate(((DE, "de"), (EN, "en"), (FR, "fr"), (fi, "fi")))]
+    junk = [(1001, "xqzv wkjp qqhg zzbk vvxw jjqk xwzq kkvj " * 3, None)]
+    for some in (rows, [r for r in rows if r[2] != "fi"]):
+        kept = {r.doc_id for r in languages.keep_identified(documents(some + junk)).collect()}
+        assert {r[0] for r in some} <= kept and 1001 not in kept
+
+
 def test_sample_is_bounded(documents):
     df = documents([(k, DE, "de") for k in range(500)])
     assert 20 <= languages._sample(df, 50, 100).count() <= 50
