@@ -31,12 +31,12 @@ MAX_REPEAT_PERCENT = 50
 GROUP_ROWS = 200
 #: Interquartile ranges beyond a quartile, and the least width counted as such a range.
 RANGES = 6.0
-#: measure: (sides that are bad, least interquartile range, upper limits below this do not apply)
+#: measure: (sides that are bad, least interquartile range)
 MEASURES = {
-    "symbol_share": ("high", 0.01, 0.08),
-    "dup_line_share": ("high", 0.02, 0.4),
-    "repeat_excess": ("high", 0.02, 0.3),
-    "word_length": ("both", 0.4, 0.0),
+    "symbol_share": ("high", 0.01),
+    "dup_line_share": ("high", 0.02),
+    "repeat_excess": ("high", 0.02),
+    "word_length": ("both", 0.4),
 }
 
 
@@ -146,14 +146,14 @@ def thresholds(measured: DataFrame) -> DataFrame:
     overall = quartiles(cell.agg(*merged), "all").first()  # one row of quartiles
     levels = by_cell.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     limits = {}
-    for m, (sides, width, floor) in MEASURES.items():
+    for m, (sides, width) in MEASURES.items():
         q = (
             F.when(F.col("cell_rows") >= GROUP_ROWS, F.col(f"cell_{m}"))
             .when(F.col("lang_rows") >= GROUP_ROWS, F.col(f"lang_{m}"))
             .otherwise(F.array(*[F.lit(x).cast("double") for x in overall[f"all_{m}"] or (None, None)]))
         )
         reach = RANGES * F.greatest(q[1] - q[0], F.lit(width))
-        limits[f"high_{m}"] = F.greatest(q[1] + reach, F.lit(floor))
+        limits[f"high_{m}"] = q[1] + reach
         if sides == "both":
             limits[f"low_{m}"] = q[0] - reach
     return levels.select("lang", "source", *[c.alias(k) for k, c in limits.items()])
@@ -169,7 +169,7 @@ def judge(documents: DataFrame) -> DataFrame:
         "left",
     )
     fails = []
-    for m, (sides, _, _) in MEASURES.items():
+    for m, (sides, _) in MEASURES.items():
         fails.append(F.when(F.col(m) > F.col(f"high_{m}"), F.lit(m)))
         if sides == "both":
             fails.append(F.when(F.col(m) < F.col(f"low_{m}"), F.lit(m)))

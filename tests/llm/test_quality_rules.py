@@ -57,6 +57,26 @@ def test_limits_follow_language_and_source(documents):
     assert not got[9100].kept and got[9100].failed_rules == ["word_length"]
 
 
+def test_quartiles_decide_in_both_directions(documents):
+    def lines(k, repeated, signs):
+        words = clean(k, "aa").split()
+        own = [" ".join(words[i : i + 4]) for i in range(0, 80, 4)]
+        own = [*own, *(own[0] for _ in range(repeated))]
+        return "\n".join([*own, "#" * signs])
+
+    # One source is clean, the other has repeated lines and symbols in every text.
+    rows = [(k, lines(k, 0, 0), "aa", "clean") for k in range(300)]
+    rows += [(k, lines(k, k % 8 + 2, k % 40 + 5), "aa", "forum") for k in range(300, 600)]
+    odd = [(9000, lines(1, 12, 0)), (9001, lines(2, 0, 34))]
+    odd = [(i + at, t, "aa", source) for at, source in ((0, "clean"), (10, "forum")) for i, t in odd]
+    got = {r.doc_id: r for r in quality.judge(documents(rows + odd)).collect()}
+    assert 0.35 < got[9000].n_dup_lines / 32 < 0.4 and 0.06 < got[9001].n_symbols / got[9001].word_chars < 0.08
+    assert all(got[r[0]].kept for r in rows)
+    assert not got[9000].kept and "dup_line_share" in got[9000].failed_rules
+    assert not got[9001].kept and got[9001].failed_rules == ["symbol_share"]
+    assert got[9011].kept and "dup_line_share" not in got[9010].failed_rules
+
+
 def test_small_groups_use_merged_sketches(documents):
     rows = [(k, clean(k, "aa"), "aa", f"s{k % 30}") for k in range(300)]
     df = documents(rows + [(999, clean(3, "aa"), None, None)])
