@@ -1,12 +1,13 @@
 """Packing documents into fixed windows whose sources keep to target proportions.
 
-Each partition of the input is a lane. A lane's documents queue up by source, and deficit
-round-robin fills its windows one after the other: every window adds to each source's credit its
-share of the window, takes whole tokens from the queues by credit, and carries what a source is
-owed to the next window. What a source was owed at the end of a lane follows from token counts
-alone, so the next lane starts with that credit without waiting for it. Since documents may be cut
-anywhere, a lane's plan depends on nothing but the counts of its queues: each task derives it
-anew and cuts the documents it holds, without any shuffle of tokens.
+The documents of a source form one queue, in the order of the input's partitions. A lane is a like
+part of every queue, cut where it ends, so each lane holds all sources in the corpus's proportions,
+however the input is ordered. Deficit round-robin fills a lane's windows one after the other: every
+window adds to each source's credit its share of the window, takes whole tokens from the queues by
+credit, and carries what a source is owed to the next window; what the cut of a queue rounds off is
+carried to the next lane. A document's place in its source's queue follows from token counts of the
+partitions, and a lane's plan from the token counts of the sources, so each task derives the plans
+of the lanes that its documents reach and cuts them there, without any shuffle of tokens.
 
 The last tokens of a lane go to windows of powers of two, so nothing is padded.
 
@@ -37,12 +38,14 @@ from cohortwise.scratch import cut_lineage
 
 WINDOW = 2048
 CLOSING_ID = 1
+#: Tokens of a lane, about; and entries of plans that a task remembers.
+LANE, PLANNED = 1 << 22, 1 << 22
 #: Words whose ids a worker remembers, the first it meets; most of the frequent ones are among them.
 REMEMBERED = 800_000
 #: Bytes of text whose words are looked up together, and documents whose ids are laid out together.
 LOOKED_UP, LAID_OUT = 32 << 20, 500
 
-TOKENS = "lane int, doc_id long, source string, before long, n_tokens long, ids binary"
+TOKENS = "part int, doc_id long, source string, before long, n_tokens long, ids binary"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, source string, ids binary"
@@ -111,12 +114,12 @@ class WordIds:
 
 
 def tokens(documents: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Ids of each document (16 bits each where the vocabulary allows), with its lane and the
-    tokens of its source that stand before it in the lane."""
+    """Ids of each document (16 bits each where the vocabulary allows), with its partition and
+    the tokens of its source that stand before it in there."""
     narrow = _tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane = TaskContext.get().partitionId()
+        own_part = TaskContext.get().partitionId()
         encoder, queued = word_ids(tokenizer_path), {}
         kind = "<u2" if narrow else "<u4"
         closing = np.array([CLOSING_ID], kind).tobytes()
@@ -136,14 +139,14 @@ def tokens(documents: DataFrame, tokenizer_path: str) -> DataFrame:
                         queued[name] = before[-1] + size
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([lane] * len(own), pa.int32()),
+                            pa.array([own_part] * len(own), pa.int32()),
                             part.column("doc_id").cast(pa.int64()),
                             pa.array(source, pa.string()),
                             pa.array(before, pa.int64()),
                             pa.array(sizes, pa.int64()),
                             pa.array(own, pa.binary()),
                         ],
-                        names=["lane", "doc_id", "source", "before", "n_tokens", "ids"],
+                        names=["part", "doc_id", "source", "before", "n_tokens", "ids"],
                     )
 
     return documents.select("doc_id", "source", "text").mapInArrow(encode, TOKENS)
@@ -182,40 +185,48 @@ def fill(totals: np.ndarray, credit: np.ndarray, shares: np.ndarray, window: int
     return given
 
 
-def lanes(coded: DataFrame, window: int, targets: dict[str, float] | None) -> DataFrame:
-    """Per lane: its first sequence, and each of its sources with tokens, share and credit."""
-    queue = cut_lineage(coded.groupBy("lane", "source").agg(F.sum("n_tokens").alias("queued")))
-    rest = F.col("total") % window
-    by_lane = (
-        queue.groupBy("lane")
-        .agg(F.sum("queued").alias("total"))
-        .withColumn("sequences", F.floor(F.col("total") / window) + F.bit_count(rest))
-    )
-    earlier = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)  # a row per lane
-    by_lane = by_lane.select(
-        F.col("lane").alias("of_lane"),
-        F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("packed"),
-        F.coalesce(F.sum("sequences").over(earlier), F.lit(0)).alias("first_sequence"),
-    )
+def borders(total: int, n_lanes: int) -> np.ndarray:
+    """Where the lanes' parts of a queue begin, and the end of the last one."""
+    lane = np.arange(n_lanes + 1, dtype=np.int64)
+    return total // n_lanes * lane + total % n_lanes * lane // n_lanes
+
+
+@dataclass
+class Lanes:
+    """The sources with all their tokens and shares, and what the lanes take of each."""
+
+    names: dict[str | None, int]
+    totals: np.ndarray
+    shares: np.ndarray
+    window: int
+    n_lanes: int
+
+    def __post_init__(self):
+        self.cuts = np.array([borders(int(t), self.n_lanes) for t in self.totals], np.int64).reshape(len(self.totals), self.n_lanes + 1)
+        packed = self.cuts.sum(axis=0)
+        own = np.diff(packed)
+        sequences = own // self.window + np.bitwise_count(own % self.window)
+        self.packed, self.first_sequence = packed, np.cumsum(sequences) - sequences
+
+    def plan(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per source: tokens given before each window, and where its own begin in the window."""
+        had = self.cuts[:, lane]
+        credit = self.totals / self.totals.sum() * self.packed[lane] - had
+        given = fill(self.cuts[:, lane + 1] - had, credit, self.shares, self.window)
+        taken = np.diff(given, axis=0)
+        return np.ascontiguousarray(given.T), np.ascontiguousarray((np.cumsum(taken, axis=1) - taken).T)
+
+
+def lanes(queue: DataFrame, window: int, targets: dict[str, float] | None) -> Lanes:
+    """From the tokens per partition and source; a row per source reaches the driver."""
+    found = queue.groupBy("source").agg(F.sum("queued").alias("total")).orderBy("source").collect()
+    totals = np.array([r["total"] for r in found], np.int64)
     if targets is None:
-        corpus = queue.agg(F.sum("queued").alias("all")).first()["all"] or 1
-        share = queue.groupBy(F.col("source").alias("of_source")).agg((F.sum("queued") / F.lit(corpus)).alias("share"))
+        shares = totals / max(1, totals.sum())
     else:
-        weight = {k: v / sum(targets.values()) for k, v in targets.items()}
-        pairs = [x for k, v in weight.items() for x in (F.lit(k), F.lit(float(v)))]
-        given = F.create_map(*pairs)[F.coalesce("of_source", F.lit(""))]
-        share = queue.select(F.col("source").alias("of_source")).distinct().withColumn("share", F.coalesce(given, F.lit(0.0)))
-    before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    owed = (
-        queue.withColumn("had", F.coalesce(F.sum("queued").over(before), F.lit(0)))
-        .join(by_lane, F.col("lane") == F.col("of_lane"))
-        .join(share, F.col("source").eqNullSafe(F.col("of_source")))
-        .withColumn("credit", F.col("share") * F.col("packed") - F.col("had"))
-    )
-    return owed.groupBy(F.col("lane").alias("of_lane")).agg(
-        F.max("first_sequence").alias("first_sequence"),
-        F.array_sort(F.collect_list(F.struct("source", "queued", "share", "credit"))).alias("queues"),
-    )
+        shares = np.array([targets.get(r["source"] or "", 0.0) for r in found]) / sum(targets.values())
+    names = {r["source"]: k for k, r in enumerate(found)}
+    return Lanes(names, totals, shares, window, max(1, int(totals.sum()) // LANE))
 
 
 def pack(
@@ -234,47 +245,50 @@ def pack(
     if window & (window - 1):
         raise ValueError("a window is a power of two")
     coded = cut_lineage(tokens(documents, tokenizer_path))
-    # A row per lane: Spark broadcasts it only below its own size limit.
-    planned = coded.join(cut_lineage(lanes(coded, window, targets)), F.col("lane") == F.col("of_lane"))
+    queue = cut_lineage(coded.groupBy("part", "source").agg(F.sum("n_tokens").alias("queued")))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = queue.select(
+        F.col("part").alias("of_part"),
+        F.col("source").alias("of_source"),
+        F.coalesce(F.sum("queued").over(earlier), F.lit(0)).alias("start"),
+    )
+    # A row per partition and source: Spark broadcasts it only below its own size limit.
+    placed = coded.join(cut_lineage(start), (F.col("part") == F.col("of_part")) & F.col("source").eqNullSafe(F.col("of_source")))
+    shared = documents.sparkSession.sparkContext.broadcast(lanes(queue, window, targets))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, tuple[dict, np.ndarray, np.ndarray]] = {}
+        dealt = shared.value
+        plans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for whole in batches:
             for batch in slices(whole, "ids"):
-                lane = batch.column("lane").to_numpy()
-                queues = batch.column("queues")
                 out: list[tuple] = []
                 names = batch.column("source").to_pylist()
                 ids = batch.column("ids").to_pylist()
-                sizes = batch.column("n_tokens").to_numpy()
-                before = batch.column("before").to_numpy()
-                first = batch.column("first_sequence").to_numpy()
+                sizes = batch.column("n_tokens").to_pylist()
+                begins = (batch.column("start").to_numpy() + batch.column("before").to_numpy()).tolist()
                 docs = batch.column("doc_id").to_pylist()
                 for k, name in enumerate(names):
-                    if lane[k] not in plans:
-                        if len(plans) > 8:
-                            plans.clear()
-                        own = queues[k].as_py()
-                        given = fill(
-                            np.array([q["queued"] for q in own], np.int64),
-                            np.array([q["credit"] for q in own]),
-                            np.array([q["share"] for q in own]),
-                            window,
-                        )
-                        taken = np.diff(given, axis=0)
-                        plans[lane[k]] = ({q["source"]: i for i, q in enumerate(own)}, given, np.cumsum(taken, axis=1) - taken)
-                    column, given, offsets = plans[lane[k]]
-                    s, a, n = column[name], int(before[k]), int(sizes[k])
-                    queue = given[:, s]
-                    w = np.arange(np.searchsorted(queue, a, "right") - 1, np.searchsorted(queue, a + n, "left"))
-                    w = w[queue[w + 1] > queue[w]]
-                    lo, hi = np.maximum(queue[w], a), np.minimum(queue[w + 1], a + n)
+                    s, a, n = dealt.names[name], begins[k], sizes[k]
+                    cuts = dealt.cuts[s]
                     body = np.frombuffer(ids[k], "<u2" if len(ids[k]) == 2 * n else "<u4").astype("<u4").tobytes()
-                    for x, y, v, o in zip(
-                        (lo - a).tolist(), (hi - a).tolist(), w.tolist(), (offsets[w, s] + lo - queue[w]).tolist(), strict=True
-                    ):
-                        piece = body[4 * x : 4 * y]
-                        out.append((docs[k], x, y - x, zlib.crc32(piece), n, int(first[k]) + v, o, name, piece if with_ids else None))
+                    for lane in range(int(np.searchsorted(cuts, a, "right")) - 1, int(np.searchsorted(cuts, a + n, "left"))):
+                        if lane not in plans:
+                            made = dealt.plan(lane)
+                            if (len(plans) + 1) * made[0].size > PLANNED:
+                                plans.clear()
+                            plans[lane] = made
+                        given, offsets = plans[lane]
+                        at, end = int(cuts[lane]), int(cuts[lane + 1])
+                        x0, x1, queue = max(a, at) - at, min(a + n, end) - at, given[s]
+                        w = np.arange(np.searchsorted(queue, x0, "right") - 1, np.searchsorted(queue, x1, "left"))
+                        w = w[queue[w + 1] > queue[w]]
+                        lo, hi = np.maximum(queue[w], x0), np.minimum(queue[w + 1], x1)
+                        first, back = int(dealt.first_sequence[lane]), at - a
+                        for x, y, v, o in zip(
+                            (lo + back).tolist(), (hi + back).tolist(), w.tolist(), (offsets[s, w] + lo - queue[w]).tolist(), strict=True
+                        ):
+                            piece = body[4 * x : 4 * y]
+                            out.append((docs[k], x, y - x, zlib.crc32(piece), n, first + v, o, name, piece if with_ids else None))
                 if out:
                     columns = list(zip(*out, strict=True))
                     kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
@@ -283,5 +297,4 @@ def pack(
                         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"],
                     )
 
-    wanted = ("lane", "doc_id", "source", "before", "n_tokens", "ids", "first_sequence", "queues")
-    return planned.select(*wanted).mapInArrow(cut, PIECES)
+    return placed.select("doc_id", "source", "start", "before", "n_tokens", "ids").mapInArrow(cut, PIECES)

@@ -86,6 +86,22 @@ def test_windows_keep_to_the_mixture(documents):
     assert abs(at).max() < 600
 
 
+@pytest.mark.parametrize("targets", [None, {"a": 2.0, "b": 1.0, "c": 1.0}])
+def test_order_by_source_keeps_the_mixture(documents, monkeypatch, targets):
+    monkeypatch.setattr(packing, "LANE", 1 << 14)
+    # Partitions of one source each; the sources are as frequent as the weights ask.
+    rows = [(i, "alpha beta gamma delta " * 40, None, "a" if i < 200 else "b" if i < 300 else "c") for i in range(400)]
+    df = documents(rows).coalesce(4)
+    assert max(len({r.source for r in part}) for part in df.rdd.glom().collect()) == 1
+    pieces = packing.pack(df, PATH, targets=targets).collect()
+    sequences = check([(r[0], r[1]) for r in rows], pieces)
+    full = [own for own in sequences.values() if sum(p.length for p in own) == 2048]
+    assert len(full) > 20
+    for own in full:
+        for source, share in (("a", 0.5), ("b", 0.25), ("c", 0.25)):
+            assert abs(sum(p.length for p in own if p.source == source) - share * 2048) < 8
+
+
 def test_targets(documents):
     rows = [(i, "alpha beta " * 300, None, "ab"[i % 2]) for i in range(60)]
     pieces = packing.pack(documents(rows).coalesce(1), PATH, targets={"a": 3.0, "b": 1.0}).collect()
