@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.text import raw, slices
+from cohortwise.llm.text import SEGMENT, raw, slices
 
 DIMENSIONS = 1 << 13
 #: Labelled rows learned from, per language and of all languages together.
@@ -295,7 +295,7 @@ def keep_identified(documents: DataFrame) -> DataFrame:
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 feature, bounds = trigrams(part.column("text"))
                 names, _, _ = model.value.label(part.column("text"), feature, bounds)
                 good = np.array([name != UNDETERMINED for name in names], dtype=bool)
