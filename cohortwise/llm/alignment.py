@@ -25,6 +25,7 @@ import hashlib
 import itertools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -73,37 +74,45 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = byte_characters()
-        entries = sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda e: e[1])
-        self.bytes_a = {i: bytes(byte_of[c] for c in entry) for entry, i in entries}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        spelt_a = [b""] * (1 + max(vocabulary.values()))
+        for entry, i in vocabulary.items():
+            spelt_a[i] = bytes(byte_of[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = {
-            i: bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
+        spelt_b = [
+            bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(pieces)
-        }
-        self.length_a, self.length_b = lengths(self.bytes_a), lengths(self.bytes_b)
-        names_a, names_b = map(str, range(len(self.length_a))), map(str, range(len(self.length_b)))
-        self.names = Names(list(names_a), list(names_b))
-        self.known: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-
-    def part(self, text: str, ids_a: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a blank and ``text`` on both sides; None where the tokens do not spell that."""
-        ids_b = self.b.encode(text)
-        want = b" " + text.encode()
-        for ids, spelt in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
-            if b"".join([spelt[i] for i in ids]) != want:
-                return None
-        return np.array(ids_a, np.int32), np.array(ids_b, np.int32)
-
-    def look_up(self, parts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
-        """Both sides' ids of distinct parts."""
-        found = {part: self.known[part] for part in parts if part in self.known}
-        new = [part for part in parts if part not in found]
+        ]
+        self.spelt = [pa.array(spelt, pa.large_binary()) for spelt in (spelt_a, spelt_b)]
+        self.length_a, self.length_b = (np.array([len(s) for s in spelt], np.int64) for spelt in (spelt_a, spelt_b))
+        self.names = Names(len(spelt_a), len(spelt_b))
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+
+    def spells(self, side: int, ids: list[list[int]], wanted: list[bytes]) -> list[bool]:
+        """Whether the tokens of each part spell what is wanted."""
+        whole = self.spelt[side].take(pa.array(np.fromiter(itertools.chain.from_iterable(ids), np.int64)))
+        _, offsets, data = whole.buffers()
+        at = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+        body = data.to_pybytes()[: at[-1]] if data is not None else b""
+        if body == b"".join(wanted) and at == np.cumsum([0, *map(len, wanted)]).tolist():
+            return [True] * len(ids)
+        return [body[x:y] == w for x, y, w in zip(at, at[1:], wanted, strict=False)]
+
+    def look_up(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Both sides' ids (32 bits each) of a blank and each of distinct parts; none where the
+        tokens do not spell that."""
+        found = list(map(self.known.get, parts))
+        new = [k for k, ids in enumerate(found) if ids is None]
         for some in itertools.batched(new, 4096):
-            encoded = self.a.encode_batch([" " + part for part in some], add_special_tokens=False)
-            for part, got in zip(some, encoded, strict=True):
-                found[part] = self.part(part, got.ids)
+            own = [parts[k] for k in some]
+            ids_a = [e.ids for e in self.a.encode_batch([" " + part for part in own], add_special_tokens=False)]
+            ids_b = self.b.encode(own, num_threads=1)
+            wanted = [b" " + part.encode() for part in own]
+            good = zip(self.spells(0, ids_a, wanted), self.spells(1, ids_b, wanted), strict=True)
+            for k, part, x, y, (good_a, good_b) in zip(some, own, ids_a, ids_b, good, strict=True):
+                found[k] = (array("I", x).tobytes(), array("I", y).tobytes()) if good_a and good_b else (b"", b"")
                 if len(part) <= SHORT and len(self.known) < REMEMBERED:
-                    self.known[part] = found[part]
+                    self.known[part] = found[k]
         return found
 
     def encode(self, texts: list[str | None]) -> tuple[Side, Side]:
@@ -112,26 +121,22 @@ class Tokenizers:
         for parts in split:
             if parts:
                 parts[0] = parts[0][1:]
-        index: dict[str, int] = {}
-        flat = [index.setdefault(part, len(index)) for parts in split for part in parts]
-        found = self.look_up(list(index))
-        coded = [found[part] for part in index]
-        spelt = np.array([c is not None for c in coded], bool)
-        at = np.array(flat, np.int64)
-        first = np.concatenate([[0], np.cumsum([len(parts) for parts in split])]).astype(np.int64)
+        coded = pa.array(itertools.chain.from_iterable(split), pa.large_string()).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        found = self.look_up(coded.dictionary.to_pylist())
+        first = np.cumsum([0, *map(len, split)])
         # A text is left out as a whole where one part is not spelt.
-        wrong = np.concatenate([[0], np.cumsum(~spelt[at])])
+        unspelt = np.array([not ids for ids, _ in found], bool)
+        wrong = np.concatenate([[0], np.cumsum(unspelt[at])])
         good = np.repeat(wrong[first[1:]] == wrong[first[:-1]], np.diff(first))
         sides = []
-        for k in (0, 1):
-            own = [c[k] if c is not None else np.zeros(0, np.int32) for c in coded]
-            size = np.array([len(ids) for ids in own], np.int64)
+        for own in ([a for a, _ in found], [b for _, b in found]):
+            size = np.fromiter(map(len, own), np.int64, len(own)) // 4
             start = np.cumsum(size) - size
             count = np.where(good, size[at], 0)
             ends = np.concatenate([[0], np.cumsum(count)])
             source = np.repeat(start[at] - ends[:-1], count) + np.arange(ends[-1])
-            whole = np.concatenate(own) if own else np.zeros(0, np.int32)
-            sides.append(Side(whole[source], ends[first]))
+            sides.append(Side(np.frombuffer(b"".join(own), np.uint32)[source].astype(np.int64), ends[first]))
         return sides[0], sides[1]
 
 
@@ -143,20 +148,13 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def lengths(spelt: dict[int, bytes]) -> np.ndarray:
-    out = np.zeros(max(spelt) + 1, np.int64)
-    out[list(spelt)] = [len(b) for b in spelt.values()]
-    return out
-
-
 class Names:
     """Decimal ids with the sign that follows them: , inside a side, | between sides, ; after a group."""
 
-    def __init__(self, a: list[str], b: list[str]):
-        self.texts = pa.array(
-            [x + "," for x in a] + [x + "|" for x in a] + [x + "," for x in b] + [x + ";" for x in b], pa.large_binary()
-        )
-        self.n_a, self.n_b = len(a), len(b)
+    def __init__(self, n_a: int, n_b: int):
+        signs = [(n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";")]
+        self.texts = pa.array([f"{i}{sign}" for n, sign in signs for i in range(n)], pa.large_binary())
+        self.n_a, self.n_b = n_a, n_b
 
     def codes_a(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
         return ids + np.where(last, self.n_a, 0)
