@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortwise.llm.components import components
-from cohortwise.llm.text import mix, raw, shingles, slices, words
+from cohortwise.llm.text import SEGMENT, mix, raw, shingles, slices, words
 from cohortwise.scratch import cut_lineage
 
 SHINGLE = 4
@@ -96,7 +96,7 @@ def prefixes(documents: DataFrame, size: int, percent: int, often: np.ndarray) -
         late, place = shared.value
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 keys, sizes, sketches, firsts = [], [], [], []
                 for own in _sets(part, size):
                     key = set_key(own)
@@ -139,7 +139,7 @@ def frequent_shingles(documents: DataFrame, size: int, percent: int) -> np.ndarr
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 found = []
                 for own in _sets(part, size):
                     key = set_key(own)
@@ -302,20 +302,12 @@ def close_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact test of pairs: a, b of those that link. ``sets``: set_key, shingles (sorted, as bytes)."""
+    """Exact test of pairs: a, b of those that link. ``sets``: set_key, shingles."""
     left = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("right")), "b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return both.select("a", "b", "left", "right").mapInArrow(test, "a long, b long").distinct()
+    shared = F.size(F.array_intersect("left", "right"))
+    apart = F.size("left") + F.size("right")
+    return both.where(100 * shared >= percent * (apart - shared)).select("a", "b").distinct()
 
 
 def whole_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -326,10 +318,10 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 own = list(_sets(part, size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())],
+                    [pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))],
                     names=["set_key", "shingles"],
                 )
 
@@ -337,7 +329,7 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     if ids.count() <= PICKED:
         ids = F.broadcast(ids)
     few = documents.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("one_id")), "left_semi")
-    return few.select("text").mapInArrow(read, "set_key long, shingles binary")
+    return few.select("text").mapInArrow(read, "set_key long, shingles array<long>")
 
 
 def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
@@ -429,7 +421,7 @@ def with_set_keys(documents: DataFrame, size: int, name: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 keys = pa.array([set_key(x) if len(x) else None for x in _sets(part, size)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, name])
 
