@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from cohortwise import __version__
 from cohortwise.contracts import PACKET_SCHEMA_VERSION
 from cohortwise.functions.values import data_type, named
+from cohortwise.scratch import cut_lineage
 
 EVENTS = (
     "step_name string, tool_name string, input_path string, output_path string, "
@@ -112,9 +113,47 @@ def stale_summaries(entries: DataFrame, kinds: Sequence[str] = ("ae_summary",))
     return made.join(current, "source_path").where(F.col("source_hash") != F.col("current_hash"))
 
 
+def _changed_sources(latest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Current artifacts and their sources as (node, source) pairs, and the nodes with a source
+    that has another content now than the one they were made from."""
+    node = F.struct("artifact_type", "path")
+    current = latest.select(node.alias("source"), F.col("content_hash").alias("current_hash"))
+    made = latest.select(node.alias("node"), F.explode("source_artifacts").alias("s")).select(
+        "node", F.struct("s.artifact_type", "s.path").alias("source"), F.col("s.content_hash").alias("made_from")
+    )
+    known = made.join(current, "source")  # sources without an entry of their own cannot change
+    changed = known.where(~F.col("made_from").eqNullSafe(F.col("current_hash"))).select("node").distinct()
+    return known.select("node", "source").distinct(), changed
+
+
+def stale_downstream(entries: DataFrame) -> DataFrame:
+    """Current artifacts that a changed source reaches over any number of steps, with the least
+    number of steps (1: the changed source is its own).
+
+    A source counts as changed where its newest entry has another content than the one recorded
+    when the artifact was made. The frontier goes one step a turn and holds new artifacts only, so
+    cycles end, and an artifact that several ways reach is listed once. Turns are as many as the
+    longest way; each joins the frontier with the edges and leaves a table in the shared folder.
+    """
+    latest = cut_lineage(artifact_latest(entries.select(*LATEST_INPUTS)))
+    edges, frontier = _changed_sources(latest)
+    edges = cut_lineage(edges)
+    steps, reached = 1, None
+    frontier = cut_lineage(frontier)
+    while not frontier.isEmpty():
+        named_steps = frontier.withColumn("steps", F.lit(steps))
+        reached = named_steps if reached is None else reached.unionAll(named_steps)
+        ahead = edges.join(frontier.withColumnRenamed("node", "source"), "source").select("node").distinct()
+        frontier = cut_lineage(ahead.join(reached, "node", "left_anti"))
+        steps += 1
+    if reached is None:
+        reached = frontier.withColumn("steps", F.lit(1))
+    return reached.select("node.artifact_type", "node.path", "steps")
+
+
 def canonical_row(df: DataFrame) -> Column:
-    """A row as one text that no other row shares: columns by name, each value with its length,
-    a missing value as a dash."""
+    """A row as one text that no other row shares: columns by name, numbers and times as they
+    print, other values with their length before them, a missing value as a dash."""
     cells = []
     for column in sorted(df.columns):
         kind = data_type(df, column)
@@ -124,33 +163,60 @@ def canonical_row(df: DataFrame) -> Column:
         elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             value = F.to_json(value)
         text = value.cast("string")
-        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+        if not isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType)):
+            # Only such texts can hold the sign between cells, or be a dash alone.
+            text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        cells.append(F.coalesce(text, F.lit("-")))
     return F.concat_ws("|", *cells)
 
 
-#: Hex digits of a row's hash go into sums of this many digits each, which fit a long.
-SLICES = [(start, 15) for start in (1, 16, 31, 46)]
+#: Where runs of hex digits of a row's hash begin, and how many: each fits a long.
+SLICES = [(1, 15), (16, 15)]
+#: A run is summed in lanes of so many bits, so that sums stay whole numbers of 64 bits for up to
+#: 2**43 rows and cost no decimal arithmetic a row.
+LANE, LANES = 20, 3
+STATE = ("row_count", *[f"d{start}_{lane}" for start, _ in SLICES for lane in range(LANES)])
+
+
+def row_lanes(row: Column) -> list[Column]:
+    """The lanes of a row's SHA-256, lowest first."""
+    digest = F.sha2(row, 256)
+    runs = {start: F.conv(F.substring(digest, start, size), 16, 10).cast("bigint") for start, size in SLICES}
+    return [
+        F.shiftright(run, LANE * lane).bitwiseAND(F.lit((1 << LANE) - 1)).alias(f"d{start}_{lane}")
+        for start, run in runs.items()
+        for lane in range(LANES)
+    ]
+
+
+def digest_sums() -> list[Column]:
+    """Aggregates over ``row_lanes`` that make a state: the count and the sums of the lanes."""
+    return [F.count(F.lit(1)).alias("row_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATE[1:]]]
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """The state of several tables taken together: all parts add up."""
+    return states.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in STATE])
+
+
+def content_hash(schema: T.StructType) -> Column:
+    """Hash of a state and of the names and types of the columns."""
+    header = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(schema.fields, key=lambda f: f.name))
+    sums = []
+    for start, _ in SLICES:
+        lanes = [F.col(f"d{start}_{lane}").cast("decimal(38,0)") * F.lit(1 << LANE * lane) for lane in range(LANES)]
+        sums.append(sum(lanes[1:], lanes[0]).cast("decimal(38,0)").cast("string"))
+    return F.sha2(F.concat_ws("|", F.lit(header), F.col("row_count").cast("string"), *sums), 256)
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and order-free content hash, in one pass without a shuffle of rows.
 
-    The hash covers names and types of the columns, the count, and the sums of four slices of
-    each row's SHA-256, which moves whenever a value changes, goes, or trades places.
+    The hash covers names and types of the columns, the count, and the sums of two runs of 60 bits
+    of each row's SHA-256, which move whenever a value changes, goes, or trades places.
     """
-    digest = df.select(F.sha2(canonical_row(df), 256).alias("row"))
-    sums = [
-        F.coalesce(
-            F.sum(F.conv(F.substring("row", start, size), 16, 10).cast("decimal(38,0)")),
-            F.lit(0).cast("decimal(38,0)"),
-        ).alias(f"s{start}")
-        for start, size in SLICES
-    ]
-    counted = digest.agg(F.count(F.lit(1)).alias("row_count"), *sums)
-    header = ",".join(f"{c}:{data_type(df, c).simpleString()}" for c in sorted(df.columns))
-    parts = [F.col(c).cast("string") for c in ("row_count", *(f"s{start}" for start, _ in SLICES))]
-    content = F.concat_ws("|", F.lit(header), *parts)
-    return counted.select("row_count", F.sha2(content, 256).alias("content_hash"))
+    state = df.select(*row_lanes(canonical_row(df))).agg(*digest_sums())
+    return state.select("row_count", content_hash(df.schema).alias("content_hash"))
 
 
 def state_inputs(

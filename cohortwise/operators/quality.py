@@ -6,10 +6,10 @@ share one aggregation without a shuffle of rows; only the two checks on policy k
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.contracts import MEASURES
@@ -21,17 +21,14 @@ from cohortwise.functions.values import (
     named,
     parse_number,
 )
-from cohortwise.plans.ordered import running_total
+from cohortwise.plans.sweep import later_rows
 from cohortwise.scratch import cut_lineage
 
 NUMERIC_COLUMNS = (*MEASURES, "Duration", "Issue_Age", "Age", "Face_Amount", "Study_Year")
 INTEGER_COLUMNS = ("Duration", "Issue_Age", "Age", "Study_Year")
 FULL_EXPOSURE_TOLERANCE = 1e-9
 
-# A policy can have no more distinct durations than the whole table. Up to this many (by a
-# sketch) a policy fits one window task; beyond it, running totals spread each policy.
-WINDOW_DURATIONS = 50_000
-
+RAW_PROBLEM = "value(s) in the source are not numbers"
 KEY_NAME = "Policy_Number+Duration"
 # (check_id, column_name, failed, issue_count, problem)
 Entry = tuple[str, str, Column, Column, str]
@@ -55,13 +52,22 @@ def raw_checks(raw: DataFrame) -> list[RowCheck]:
             "dq_raw_non_numeric",
             m,
             ~missing_text(named(m)) & parse_number(named(m)).isNull(),
-            "value(s) in the source are not numbers",
+            RAW_PROBLEM,
         )
         for m in MEASURES
         if m in raw.columns
     ]
 
 
+def counted_raw_report(spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+    """Report of the raw check out of counts taken while a source was landed."""
+    rows = []
+    for column, count in counts.items():
+        message = f"{column}: {count} {RAW_PROBLEM}" if count else None
+        rows.append(("dq_raw_non_numeric", column, "FAIL" if count else "PASS", count, message))
+    return spark.createDataFrame(rows, REPORT)
+
+
 def row_checks(df: DataFrame) -> list[RowCheck]:
     """The rules that apply to the columns a table has.
 
@@ -190,35 +196,12 @@ def _by_number(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("policy", "at").agg(F.sum("copies").alias("copies"), F.sum("claims").alias("claims"))
 
 
-def _with_earlier(keyed: DataFrame, window_durations: int, slices: int | None) -> DataFrame:
-    """Add the claims of the policy at strictly lower durations.
-
-    Whether a policy may have too many durations for one task is read from the grouped rows.
-    """
-    durations = keyed.agg(F.approx_count_distinct("at")).first()[0]
-    if durations <= window_durations:
-        below = (
-            Window.partitionBy("policy").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return keyed.withColumn("earlier", F.coalesce(F.sum("claims").over(below), F.lit(0)))
-    return running_total(
-        keyed, "claims", order=[F.col("at")], segment=["policy"], name="earlier", slices=slices
-    )
-
-
 def _repeats() -> list[Column]:
     repeated = F.col("copies") > 1
     whole = F.col("policy").isNotNull() & F.col("stored").isNotNull()
     return [F.count_if(repeated).alias("repeats"), F.count_if(repeated & whole).alias("pairs")]
 
 
-def _later_rows() -> Column:
-    """Pairs of a claim row and a later row of its policy, summed without overflow."""
-    wide = "decimal(19,0)"
-    pairs = F.col("copies").cast(wide) * F.col("earlier").cast(wide)
-    return F.coalesce(F.sum(pairs), F.lit(0)).cast("bigint").alias("later")
-
-
 def _repeat_entry() -> Entry:
     # Repeated keys with a missing part fail the check but are no pairs to count.
     failed, pairs = F.col("repeats") > 0, F.col("pairs")
@@ -236,15 +219,14 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
     return _report(_keyed(df).agg(*_repeats()), [_repeat_entry()])
 
 
-def death_exposure(
-    df: DataFrame, *, window_durations: int = WINDOW_DURATIONS, slices: int | None = None
-) -> DataFrame:
+def death_exposure(df: DataFrame, *, slices: int | None = None) -> DataFrame:
     """Pairs of a claim row and a later row of the same policy, as one report row.
 
-    The pairs are counted, not built: each row meets as many claims as lie below its duration.
+    The pairs are counted, not built: one sweep over the rows in order of policy and duration meets
+    each row with as many claims as lie below its duration, whatever number of rows a policy has.
     """
-    rows = _with_earlier(cut_lineage(_by_number(_keyed(df))), window_durations, slices)
-    return _report(rows.agg(_later_rows()), [_later_entry()])
+    later = later_rows(cut_lineage(_by_number(_keyed(df))), slices=slices)
+    return _report(later, [_later_entry()])
 
 
 def key_checks(df: DataFrame) -> DataFrame:
@@ -252,14 +234,19 @@ def key_checks(df: DataFrame) -> DataFrame:
     if "MAC" not in df.columns:
         return duplicate_keys(df)
     keyed = cut_lineage(_keyed(df))
-    later = _with_earlier(_by_number(keyed), WINDOW_DURATIONS, None).agg(_later_rows())
+    later = later_rows(_by_number(keyed))
     return _report(keyed.agg(*_repeats()), [_repeat_entry()]).unionByName(_report(later, [_later_entry()]))
 
 
-def dq_report(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """All checks. ``raw`` is the text view of the source, before numbers were read from it."""
+def dq_report(
+    df: DataFrame, raw: DataFrame | None = None, *, raw_counts: Mapping[str, int] | None = None
+) -> DataFrame:
+    """All checks. ``raw`` is the text view of the source, before numbers were read from it;
+    ``raw_counts`` are its failing cells per measure where landing has counted them."""
     parts = [check_schema(df), check_rows(df, row_checks(df))]
-    if raw is not None:
+    if raw_counts is not None:
+        parts.insert(0, counted_raw_report(df.sparkSession, raw_counts))
+    elif raw is not None:
         parts.insert(0, check_rows(raw, raw_checks(raw)))
     if {"Policy_Number", "Duration"} <= set(df.columns):
         parts.append(key_checks(df))

@@ -32,8 +32,8 @@ from cohortwise.operators.masking import (
 )
 from cohortwise.operators.profile import profile_feature_types, profile_nulls, profile_summary
 from cohortwise.operators.quality import REPORT, dq_gate, dq_report
-from cohortwise.sources import stores
-from cohortwise.sources.inforce import read_inforce, read_raw_strings
+from cohortwise.sources import digests, stores
+from cohortwise.sources.inforce import land_csv, read_inforce, read_landed_inforce, read_raw_strings, source_format
 
 # ---- Fixed values: step and artifact names in the logs. ----
 PROFILED = "Source dataset profiled"
@@ -132,6 +132,18 @@ class Study:
     def _hash(self, df: DataFrame) -> str:
         return audit.table_fingerprint(df).first()["content_hash"]
 
+    def _prepared_hash(self, location: str, saved: DataFrame) -> str:
+        """Fingerprint of a saved table; each of its files is hashed once, however often it is asked."""
+        manifest = f"{self.root}/audit/digests"
+        digests.refresh_manifest(self.spark, location, manifest, saved.schema)
+        return digests.manifest_fingerprint(self.spark, location, manifest, saved.schema).first()["content_hash"]
+
+    def unchanged(self) -> bool:
+        """Whether the prepared table still holds what was recorded when it was saved."""
+        entry = self._prepared_entry()
+        saved = stores.read_prepared(self.spark, entry["location"])
+        return self._prepared_hash(entry["location"], saved) == entry["content_hash"]
+
     # -- steps --------------------------------------------------------------------------
 
     def _prepared_entry(self) -> Row:
@@ -157,7 +169,7 @@ class Study:
             PREPARED,
             f"{self.root}/prepared",
             location,
-            self._hash(saved),
+            self._prepared_hash(location, saved),
             tool,
             {**parameters, "partition_by": list(partition_by)},
             sources,
@@ -167,10 +179,20 @@ class Study:
     def profile(
         self, path: str, *, partition_by: Sequence[str] = (), **reader: Any
     ) -> dict[str, DataFrame]:
-        """Read a source, add the default age band, save it, and describe it."""
-        source = read_inforce(self.spark, path, **reader)
-        source_hash = self._hash(source)
+        """Read a source, add the default age band, save it, and describe it.
+
+        A CSV is parsed once: landing it also gives its types, its hash, and the counts that
+        ``validate`` reports.
+        """
         parameters = {"data_path": path, "fmt": reader.get("fmt")}
+        if (reader.get("fmt") or source_format(path)) == "csv" and reader.get("schema") is None:
+            folder = f"{self.root}/landed/version={stores.version_name()}"
+            landed = land_csv(self.spark, path, folder, multi_line=reader.get("multi_line", False))
+            source, source_hash = read_landed_inforce(self.spark, landed), landed.content_hash(self.spark)
+            parameters |= {"landed": folder, "raw_counts": landed.not_numbers}
+        else:
+            source = read_inforce(self.spark, path, **reader)
+            source_hash = self._hash(source)
         self._record(SOURCE, path, path, source_hash, "profile", parameters)
         saved = self._save_prepared(
             default_age_band(source),
@@ -190,12 +212,14 @@ class Study:
         """All checks: numbers on the raw source, the rules on the prepared table."""
         source = self._newest(SOURCE)
         prepared = self.prepared()
-        raw = None
+        raw = counts = None
         if source is not None:
-            fmt = json.loads(source["parameters"])["fmt"]
-            raw = read_raw_strings(self.spark, source["location"], fmt=fmt)
+            made = json.loads(source["parameters"])
+            counts = made.get("raw_counts")
+            if counts is None:
+                raw = read_raw_strings(self.spark, source["location"], fmt=made["fmt"])
         # The report holds a few rows per column; keeping them avoids a second run for the gate.
-        report = self.spark.createDataFrame(dq_report(prepared, raw).collect(), REPORT)
+        report = self.spark.createDataFrame(dq_report(prepared, raw, raw_counts=counts).collect(), REPORT)
         gate = dq_gate(report).first()
         self._log(
             VALIDATED,
@@ -343,6 +367,10 @@ class Study:
         """Latest summaries made from an older prepared table."""
         return audit.stale_summaries(self.artifacts())
 
+    def stale_downstream(self) -> DataFrame:
+        """Everything that a changed table reaches: summaries, and packets and exhibits of these."""
+        return audit.stale_downstream(self.artifacts())
+
     def latest_ae(self) -> tuple[DataFrame, dict[str, Any]]:
         """The last summary and how it was made; refused once the prepared table has changed."""
         entry = self._newest(SUMMARY)

@@ -9,6 +9,7 @@ from cohortwise.operators.audit import (
     append_rows,
     artifact_latest,
     lineage_edges,
+    stale_downstream,
     stale_summaries,
     state_fingerprint,
     state_inputs,
@@ -17,7 +18,8 @@ from cohortwise.operators.audit import (
 from cohortwise.operators.cohorts import ae_summary
 from cohortwise.registry.common import INFORCE
 from cohortwise.scratch import new_table_path
-from cohortwise.sources.tables import artifact_log, inforce
+from cohortwise.sources.digests import manifest_fingerprint, refresh_manifest
+from cohortwise.sources.tables import artifact_log, inforce, lineage_log
 
 
 def query_audit_event_append(spark, sf_dir):
@@ -54,13 +56,28 @@ def query_lineage_edges(spark, sf_dir):
     return lineage_edges(artifact_log(spark, sf_dir))
 
 
-# Numbers are fixed-point here, since the text of a double differs between engines.
+# Numbers are ten-thousandths here, since the text of a double differs between engines.
 _FIXED = ("MAC", "MOC", "MEC", "MAF", "MEF", "COLA", "Face_Amount")
 
 
+def _whole_numbers(spark, sf_dir):
+    fixed = {c: F.floor(F.col(c) * 10_000 + 0.5) for c in _FIXED}
+    return inforce(spark, sf_dir).withColumns(fixed)
+
+
 def query_table_fingerprint(spark, sf_dir):
-    df = inforce(spark, sf_dir)
-    return table_fingerprint(df.withColumns({c: F.col(c).cast("decimal(20,4)") for c in _FIXED}))
+    return table_fingerprint(_whole_numbers(spark, sf_dir))
+
+
+def query_fingerprint_manifest(spark, sf_dir):
+    """The same fingerprint out of file digests, of a table that grows by a second write."""
+    df = _whole_numbers(spark, sf_dir)
+    path, manifest = new_table_path(spark, "grown"), new_table_path(spark, "manifest")
+    late = F.coalesce(F.col("Study_Year") >= 1996, F.lit(False))
+    for part in (df.where(~late), df.where(late)):
+        part.write.mode("append").partitionBy("Gender").parquet(path)
+        refresh_manifest(spark, path, manifest, df.schema)
+    return manifest_fingerprint(spark, path, manifest, df.schema)
 
 
 def query_state_fingerprint(spark, sf_dir):
@@ -79,6 +96,10 @@ def query_stale_summaries(spark, sf_dir):
     return stale_summaries(artifact_log(spark, sf_dir))
 
 
+def query_stale_downstream(spark, sf_dir):
+    return stale_downstream(lineage_log(spark, sf_dir))
+
+
 QUERIES = {
     name.removeprefix("query_"): value
     for name, value in list(globals().items())
@@ -117,15 +138,18 @@ _INPUTS = (
 )
 
 def _fingerprint() -> str:
-    kinds = dict.fromkeys(_FIXED, "decimal(20,4)") | {
+    kinds = dict.fromkeys(_FIXED, "bigint") | {
         "Policy_Number": "string", "Duration": "int", "Issue_Age": "int", "Gender": "string",
         "Smoker": "string", "Risk_Class": "string", "Product_Group": "string", "Study_Year": "int",
     }
     cells = []
     for column in sorted(kinds):
-        number = kinds[column] == "decimal(20,4)"
-        text = f'cast(cast("{column}" as decimal(20,4)) as varchar)' if number else f'cast("{column}" as varchar)'
-        cells.append(f"coalesce(cast(length({text}) as varchar) || ':' || {text}, '-')")
+        text = f'cast("{column}" as varchar)'
+        if column in _FIXED:
+            text = f'cast(cast(floor("{column}" * 10000 + 0.5e0) as bigint) as varchar)'
+        if kinds[column] == "string":
+            text = f"cast(length({text}) as varchar) || ':' || {text}"
+        cells.append(f"coalesce({text}, '-')")
     sums = " || '|' || ".join(
         f"cast(sum(cast('0x' || substr(digest, {start}, {size}) as hugeint)) as varchar)" for start, size in SLICES
     )
@@ -136,8 +160,39 @@ select count(*) as row_count, sha256('{header}|' || cast(count(*) as varchar) ||
   as content_hash from rows"""
 
 
+# Reachability over the lineage of ``lineage_log``: nodes are study and kind.
+_REACHED = """with recursive entries as (
+  select event_id, ts, user_id as study, case event_type when 'view' then 'prepared_dataset'
+      when 'click' then 'ae_summary' when 'purchase' then 'ai_ae_packet'
+      else 'ae_visual_' || event_type end as kind, strftime(ts, '%Y-%m-%d') as day
+  from events),
+latest as (
+  select study, kind, arg_max(day, (ts, event_id)) as day from entries group by all),
+sources as (
+  select study, kind, day, study // 2 as from_study, 'prepared_dataset' as from_kind
+    from latest where kind = 'prepared_dataset' and study > 1
+  union all select study, kind, day, study, 'prepared_dataset' from latest where kind = 'ae_summary'
+  union all select study, kind, day, study, 'ae_summary' from latest where kind = 'ai_ae_packet'
+  union all select study, kind, day, study // 2, 'ae_summary' from latest
+    where kind = 'ai_ae_packet' and study > 1
+  union all select study, kind, day, study, 'ai_ae_packet' from latest where kind like 'ae_visual_%'),
+edges as (
+  select s.study, s.kind, s.from_study, s.from_kind, s.day is distinct from l.day as changed
+  from sources s join latest l on l.study = s.from_study and l.kind = s.from_kind),
+reached as (
+  select study, kind, 1 as steps from edges where changed
+  union
+  select e.study, e.kind, r.steps + 1 from edges e join reached r
+    on e.from_study = r.study and e.from_kind = r.kind)
+select kind as artifact_type, 'study_' || cast(study as varchar) || '/' ||
+    case kind when 'prepared_dataset' then 'prepared' else kind end as path, min(steps) as steps
+from reached group by 1, 2"""
+
+
 SQL = {
     "table_fingerprint": _fingerprint(),
+    "fingerprint_manifest": _fingerprint(),
+    "stale_downstream": _REACHED,
     "audit_event_append": f"""with {_LOG}
 select generating_tool as tool_name, count(*) as steps, count(distinct path) as outputs,
   count(distinct parameters) as parameter_sets from log group by 1""",

@@ -23,12 +23,14 @@ from cohortwise.registry.common import (
     rounded,
     sql_edge,
     sql_intervals,
+    sql_missing,
     sql_number,
     sql_totals,
 )
 from cohortwise.scratch import new_table_path
 from cohortwise.sources.inforce import (
     coerce_core_numeric,
+    land_csv,
     malformed_records,
     policy_key_string,
     read_inforce,
@@ -63,6 +65,14 @@ def query_read_raw_strings(spark, sf_dir):
     return read_raw_strings(spark, path, fmt="csv")
 
 
+def query_land_source(spark, sf_dir):
+    """What landing the flawed CSV has observed: failing cells per measure, kinds of the others."""
+    path = _as_csv(flawed_inforce(spark, sf_dir), "flawed-csv")
+    landed = land_csv(spark, path, new_table_path(spark, "landed"))
+    rows = [(c, kind, landed.not_numbers.get(c), landed.row_count) for c, kind in landed.kinds.items()]
+    return spark.createDataFrame(rows, "column string, kind string, not_numbers bigint, row_count bigint")
+
+
 def query_read_malformed(spark, sf_dir):
     """Records with a cell too many or too few, out of a CSV that holds some of either."""
     quantity = F.col("l_quantity")
@@ -203,7 +213,28 @@ def _null_count(column: str) -> str:
 
 _EDGE = "lo + (hi - lo) / 4 * {0}"
 
+_MEASURED = ("MAC", "MOC", "MEC", "MAF", "MEF")
+_NO_CELL = "('', 'n/a', 'NA', 'NULL', 'NaN', 'nan', 'null', 'None', 'N/A')"
+
+
+def _landed(column: str) -> str:
+    text = f'"{column}"'
+    cell = f"{text} is not null and {text} not in {_NO_CELL}"
+    no_number = f"count(*) filter (where {cell} and ({sql_number(text)}) is null)"
+    whole = f"bool_and(regexp_matches(trim({text}), '^[+-]?\\d+$')) filter (where {cell})"
+    kind = f"case when {no_number} > 0 then 'text' when {whole} then 'whole' else 'number' end"
+    bad = "null"
+    if column in _MEASURED:
+        bad = f"count(*) filter (where not {sql_missing(text)} and ({sql_number(text)}) is null)"
+        kind = "'number'"
+    if column == "Policy_Number":
+        kind = "'text'"
+    return f"""select '{column}' as "column", {kind} as kind, cast({bad} as bigint) as not_numbers,
+  count(*) as row_count from flawed"""
+
+
 SQL = {
+    "land_source": f"with {FLAWED} " + " union all ".join(map(_landed, _FLAWED_COLUMNS)),
     "read_inforce": f"with {INFORCE} select * from inforce",
     "read_raw_strings": f"with {FLAWED} select "
     + ", ".join(f"coalesce(\"{c}\", '') as \"{c}\"" for c in _FLAWED_COLUMNS)

@@ -13,9 +13,9 @@ from cohortwise.functions.values import (
     data_type,
     named,
     nan_to_null,
-    parse_integer,
-    parse_number,
 )
+from cohortwise.scratch import new_table_path
+from cohortwise.sources.landing import Landed, land, read_landed
 
 FORMATS = ("csv", "parquet")
 
@@ -74,40 +74,14 @@ def _nan_free(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(named(c)) for c in floats})
 
 
-def _typed_csv(text: DataFrame) -> DataFrame:
-    """Give each column the narrowest type all of its cells fit, decided in one aggregation.
+def land_csv(spark: SparkSession, path: str, folder: str, *, multi_line: bool = False) -> Landed:
+    """Parse a CSV once into Parquet below ``folder``, and observe its types, raw counts and digest."""
+    return land(_csv_text(spark, path, multi_line=multi_line), folder)
 
-    The whole column decides, not a sample, so a late odd value cannot be lost.
-    """
-    cells = text.select(
-        *[
-            F.when(~named(c).isin(*CSV_MISSING_CELLS), named(c)).alias(c)
-            for c in text.columns
-        ]
-    )
-    open_columns = [c for c in cells.columns if c not in MEASURES and c != "Policy_Number"]
-    if not open_columns:
-        return cells
-    tests = []
-    for position, column in enumerate(open_columns):
-        cell = named(column)
-        no_number = cell.isNotNull() & parse_number(cell).isNull()
-        no_integer = cell.isNotNull() & parse_integer(cell).isNull()
-        tests += [
-            F.count(cell).alias(f"n{position}"),
-            F.max(no_number).alias(f"t{position}"),
-            F.max(no_integer).alias(f"d{position}"),
-        ]
-    found = cells.agg(*tests).first()
-    typed = {}
-    for position, column in enumerate(open_columns):
-        if found[f"n{position}"] and found[f"t{position}"]:
-            continue
-        if found[f"n{position}"] == 0 or found[f"d{position}"]:
-            typed[column] = parse_number(named(column))
-        else:
-            typed[column] = parse_integer(named(column))
-    return cells.withColumns(typed)
+
+def read_landed_inforce(spark: SparkSession, landed: Landed) -> DataFrame:
+    """``read_inforce`` of a landed CSV."""
+    return policy_key_string(coerce_core_numeric(_nan_free(read_landed(spark, landed))))
 
 
 def read_inforce(
@@ -123,31 +97,31 @@ def read_inforce(
     A CSV with records of too many or too few cells is refused; ``multi_line`` reads quoted
     line breaks, at the price of one task per file.
 
-    A CSV without ``schema`` costs one extra pass that finds the types of the columns
-    outside the measures. Pass the schema of wide or very large files.
+    A CSV without ``schema`` is landed in the shared folder first, since all cells decide the
+    types; from there on it is read as Parquet. With ``schema`` it is read when rows are asked for.
     """
     kind = fmt or source_format(path)
     if kind == "parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.parquet(path)
     else:
-        text = _csv_text(spark, path, multi_line=multi_line)
         if schema is None:
-            df = _typed_csv(text)
-        else:
-            cells = text.select(
-                *[
-                    F.when(~named(f.name).isin(*CSV_MISSING_CELLS), named(f.name)).alias(f.name)
-                    for f in schema.fields
-                ]
-            )
-            df = cells.withColumns(
-                {
-                    f.name: named(f.name).cast(f.dataType)
-                    for f in schema.fields
-                    if f.name not in MEASURES and not isinstance(f.dataType, T.StringType)
-                }
-            )
+            landed = land_csv(spark, path, new_table_path(spark, "landed"), multi_line=multi_line)
+            return read_landed_inforce(spark, landed)
+        text = _csv_text(spark, path, multi_line=multi_line)
+        cells = text.select(
+            *[
+                F.when(~named(f.name).isin(*CSV_MISSING_CELLS), named(f.name)).alias(f.name)
+                for f in schema.fields
+            ]
+        )
+        df = cells.withColumns(
+            {
+                f.name: named(f.name).cast(f.dataType)
+                for f in schema.fields
+                if f.name not in MEASURES and not isinstance(f.dataType, T.StringType)
+            }
+        )
     return policy_key_string(coerce_core_numeric(_nan_free(df)))
 
 

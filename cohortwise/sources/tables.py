@@ -154,3 +154,51 @@ def artifact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("generating_tool"),
         F.col("props").alias("parameters"),
     )
+
+
+def lineage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifact entries of studies that build on each other, one per event.
+
+    Each user is a study. Its prepared table draws on that of the study of half its number, a
+    summary on the prepared table, a packet on its own summary and that of the other study, and an
+    exhibit on the packet, each as it stood on the day of the event.
+    """
+    events = table(spark, sf_dir, "events")
+    own, other = F.col("user_id"), F.expr("user_id div 2")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    kind = (
+        F.when(F.col("event_type") == "view", "prepared_dataset")
+        .when(F.col("event_type") == "click", "ae_summary")
+        .when(F.col("event_type") == "purchase", "ai_ae_packet")
+        .otherwise(F.concat(F.lit("ae_visual_"), F.col("event_type")))
+    )
+
+    def path(study, of_kind):
+        tail = F.when(of_kind == "prepared_dataset", "prepared").otherwise(of_kind)
+        return F.concat(F.lit("study_"), study.cast("string"), F.lit("/"), tail)
+
+    def content(study, of_kind):
+        return F.sha2(F.concat_ws("|", path(study, of_kind), day), 256)
+
+    def source(study, name):
+        return F.struct(
+            F.lit(name).alias("artifact_type"),
+            path(study, F.lit(name)).alias("path"),
+            content(study, F.lit(name)).alias("content_hash"),
+        )
+
+    made_from = (
+        F.when((kind == "prepared_dataset") & (own > 1), F.array(source(other, "prepared_dataset")))
+        .when(kind == "ae_summary", F.array(source(own, "prepared_dataset")))
+        .when((kind == "ai_ae_packet") & (own > 1), F.array(source(own, "ae_summary"), source(other, "ae_summary")))
+        .when(kind == "ai_ae_packet", F.array(source(own, "ae_summary")))
+        .when(kind != "prepared_dataset", F.array(source(own, "ai_ae_packet")))
+    )
+    return events.select(
+        F.col("event_id").alias("entry_id"),
+        F.col("ts").alias("entry_ts"),
+        kind.alias("artifact_type"),
+        path(own, kind).alias("path"),
+        content(own, kind).alias("content_hash"),
+        made_from.alias("source_artifacts"),
+    )

@@ -1,5 +1,7 @@
 import hashlib
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -7,11 +9,13 @@ from cohortwise.operators.audit import (
     artifact_latest,
     canonical_json,
     lineage_edges,
+    stale_downstream,
     stale_summaries,
     state_fingerprint,
     state_inputs,
     table_fingerprint,
 )
+from cohortwise.sources import digests
 
 ENTRY = ("entry_id long, entry_ts timestamp, artifact_type string, path string, "
          "content_hash string, "
@@ -90,3 +94,105 @@ def test_table_fingerprint_sees_moves_types_and_repeats(spark):
     }) == 7
     assert mark([("1",)], "a string") != mark([(1,)], "a int")
     assert mark([("1|1:2", "3")], "a string, b string") != mark([("1", "1:2|3")], "a string, b string")
+
+
+def _entries(spark, rows):
+    """Log rows (id, name, content, [(source, content it had)]) as artifact entries."""
+    made = [(i, "node", name, h, [("node", n, was) for n, was in sources]) for i, name, h, sources in rows]
+    return spark.createDataFrame(made, ENTRY.replace("entry_ts timestamp, ", "")).withColumn(
+        "entry_ts", F.timestamp_seconds(F.col("entry_id"))
+    )
+
+
+def _reached(spark, rows):
+    return {r["path"]: r["steps"] for r in stale_downstream(_entries(spark, rows)).collect()}
+
+
+def test_staleness_reaches_every_later_step(spark):
+    chain = [(1, "p", "h1", []), (2, "s", "x", [("p", "h1")]), (3, "k", "y", [("s", "x")]), (4, "e", "z", [("k", "y")])]
+    assert _reached(spark, chain) == {}
+    assert _reached(spark, [*chain, (5, "p", "h2", [])]) == {"s": 1, "k": 2, "e": 3}
+    # Made again from the changed one, a summary is current; what was made from the old one is not.
+    assert _reached(spark, [*chain, (5, "p", "h2", []), (6, "s", "x2", [("p", "h2")])]) == {"k": 1, "e": 2}
+    assert _reached(spark, []) == {}
+
+
+def test_staleness_in_diamonds_cycles_and_of_unknown_sources(spark):
+    diamond = [
+        (1, "p", "h1", []), (2, "a", "a1", [("p", "h1")]), (3, "b", "b1", [("a", "a1")]),
+        (4, "c", "c1", [("p", "h1"), ("b", "b1")]), (5, "p", "h2", []),
+    ]
+    assert _reached(spark, diamond) == {"a": 1, "c": 1, "b": 2}
+    ring = [(1, "p", "h1", []), (2, "a", "a1", [("c", "c1"), ("p", "h1")]), (3, "b", "b1", [("a", "a1")]), (4, "c", "c1", [("b", "b1")])]
+    assert _reached(spark, ring) == {}
+    assert _reached(spark, [*ring, (5, "p", "h2", [])]) == {"a": 1, "b": 2, "c": 3}
+    assert _reached(spark, [(1, "a", "a1", [("gone", "x")]), (2, "self", "s1", [("self", "s0")])]) == {"self": 1}
+
+
+def test_staleness_against_a_walk_of_random_graphs(spark):
+    rng = random.Random(3)
+    for _ in range(3):
+        names = [f"n{i}" for i in range(40)]
+        content = {n: f"{n}-{rng.randint(0, 9)}" for n in names}
+        rows = [
+            (i, n, content[n], [(m, content[m] if rng.random() < 0.9 else "old") for m in rng.sample(names, rng.randint(0, 3))])
+            for i, n in enumerate(names)
+        ]
+        want = {n: 1 for _, n, _, made in rows if any(content[m] != was for m, was in made)}
+        front = set(want)
+        steps = 1
+        while front:
+            steps += 1
+            front = {n for _, n, _, made in rows if n not in want and any(m in front for m, _ in made)}
+            want |= {n: steps for n in front}
+        assert _reached(spark, rows) == want
+
+
+def test_manifest_hashes_new_files_only(spark, sample, tmp_path):
+    path, manifest = str(tmp_path / "t"), str(tmp_path / "m")
+    rows = sample.repartition(3)
+
+    def fingerprint():
+        return digests.manifest_fingerprint(spark, path, manifest, sample.schema).first()
+
+    rows.where("Issue_Age < 45").write.partitionBy("Study_Year").parquet(path)
+    first = digests.refresh_manifest(spark, path, manifest, sample.schema)
+    assert first == len([f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")])
+    assert digests.refresh_manifest(spark, path, manifest, sample.schema) == 0
+    assert fingerprint() == table_fingerprint(sample.where("Issue_Age < 45")).first()
+    rows.where("Issue_Age >= 45").write.mode("append").partitionBy("Study_Year").parquet(path)
+    assert 0 < digests.refresh_manifest(spark, path, manifest, sample.schema) <= 8
+    assert fingerprint() == table_fingerprint(sample).first()
+    # Two refreshes at once may both log a file.
+    again = digests.read_manifest(spark, manifest).limit(2).cache()
+    again.count()
+    again.write.mode("append").parquet(manifest)
+    assert fingerprint() == table_fingerprint(sample).first()
+    # A file that is gone, or was written anew, no longer counts.
+    gone = sorted(str(p) for p in (tmp_path / "t").rglob("*.parquet"))[0]
+    left = spark.read.schema(sample.schema).parquet(path).where(~F.col("_metadata.file_path").endswith("/".join(gone.rsplit("/", 2)[1:])))
+    want = table_fingerprint(left.select(*sample.columns)).first()
+    os.remove(gone)
+    assert fingerprint() == want
+
+
+def test_no_fingerprint_depends_on_files_or_partitions(spark, sample, tmp_path):
+    path, manifest = str(tmp_path / "t"), str(tmp_path / "m")
+    sample.limit(0).write.parquet(path)
+    digests.refresh_manifest(spark, path, manifest, sample.schema)
+    assert digests.manifest_fingerprint(spark, path, manifest, sample.schema).first() == table_fingerprint(sample.limit(0)).first()
+    for n in (1, 4):
+        sample.repartition(n).write.mode("append").parquet(path)
+        digests.refresh_manifest(spark, path, manifest, sample.schema)
+    twice = sample.union(sample)
+    assert digests.manifest_fingerprint(spark, path, manifest, sample.schema).first() == table_fingerprint(twice).first()
+
+
+def test_row_text_tells_cells_apart(spark):
+    def mark(rows, schema):
+        return table_fingerprint(spark.createDataFrame(rows, schema)).first()["content_hash"]
+
+    assert mark([("-", 1)], "a string, b int") != mark([(None, 1)], "a string, b int")
+    assert mark([(1, None)], "a int, b int") != mark([(None, 1)], "a int, b int")
+    assert mark([("1", "2|1:3")], "a string, b string") != mark([("1|1:2", "3")], "a string, b string")
+    assert mark([(-1,)], "a int") != mark([(1,)], "a int")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from cohortwise.operators.quality import (
@@ -19,6 +20,7 @@ from cohortwise.operators.profile import (
     profile_summary,
     schema_columns,
 )
+from cohortwise.plans.sweep import Sweep, later_rows
 from cohortwise.sources.inforce import read_inforce, read_raw_strings
 
 
@@ -104,7 +106,7 @@ def _random_policies(seed, rows=600):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_key_checks_equal_brute_force_on_both_paths(spark, seed):
+def test_key_checks_equal_brute_force(spark, seed):
     pdf = _random_policies(seed)
     whole = pdf.dropna(subset=["Policy_Number", "Duration"])
     pairs = whole[whole.MAC == 1].merge(whole, on="Policy_Number", suffixes=("_d", "_l"))
@@ -113,13 +115,50 @@ def test_key_checks_equal_brute_force_on_both_paths(spark, seed):
     rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)]
     df = spark.createDataFrame(rows, "Policy_Number string, Duration double, MAC double")
     assert death_exposure(df).first()["issue_count"] == deaths
-    # a limit of 0 durations takes the path that cuts one policy into many slices
-    assert death_exposure(df, window_durations=0, slices=7).first()["issue_count"] == deaths
+    # many ranges cut the hot policy, small batches cut it inside a range
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for slices in (1, 7, 60):
+            assert death_exposure(df, slices=slices).first()["issue_count"] == deaths
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert duplicate_keys(df).first()["issue_count"] == repeats
     both = {r["check_id"]: r["issue_count"] for r in key_checks(df).collect()}
     assert both == {"dq_duplicate_key": repeats, "dq_death_exposure": deaths}
 
 
+def test_sweep_borders(spark):
+    """One policy over all ranges, policies that begin and end at borders, and sums beyond 64 bits."""
+    fields = "policy string, at double, copies long, claims long"
+
+    def met(rows, slices):
+        return later_rows(spark.createDataFrame(rows, fields), slices=slices).first()["later"]
+
+    one = [("p", float(i), 1 + i % 3, int(i % 5 == 0)) for i in range(200)]
+    want = sum(b[2] * a[3] for i, a in enumerate(one) for b in one[i + 1 :])
+    many = [(f"p{i // 4}", float(i % 4), 2, 1) for i in range(80)]
+    for slices in (1, 2, 9, 50):
+        assert met(one, slices) == want and met(many, slices) == 20 * 2 * (1 + 2 + 3)
+        assert met(one + many + [(None, 1.0, 5, 5), ("p", None, 5, 5)], slices) == want + 240
+    assert met([], 3) == 0
+    assert met([("p", 1.0, 1, 2**31), ("p", 2.0, 2**31, 0), ("p", 3.0, 2**31 - 1, 0)], 2) == 2**31 * (2**32 - 1)
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_sweep_state_over_batches(batch):
+    rng = np.random.default_rng(5)
+    policy = np.sort(rng.integers(0, 12, 300)).astype(str).tolist()
+    policy.sort()
+    copies, claims = rng.integers(1, 5, 300), rng.integers(0, 3, 300)
+    state = Sweep()
+    for at in range(0, 300, batch):
+        state.take(pa.array(policy[at : at + batch]), copies[at : at + batch], claims[at : at + batch])
+    want = sum(int(copies[j] * claims[i]) for j in range(300) for i in range(j) if policy[i] == policy[j])
+    assert state.pairs == want and (state.first, state.open) == (policy[0], policy[-1])
+    assert state.first_copies == copies[np.array(policy) == policy[0]].sum()
+    assert state.claims == claims[np.array(policy) == policy[-1]].sum()
+
+
 def test_repeated_incomplete_keys_fail_without_pairs(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 1.0), ("a", 2.0)],
                                "Policy_Number string, Duration double")

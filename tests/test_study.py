@@ -30,6 +30,9 @@ def test_run_band_and_share(spark, sample_csv, tmp_path):
     banded = study.band("Face_Amount", "Face_Amount_Band", Band("quantile", bins=4))
     assert banded.select("Face_Amount_Band").distinct().count() == 4
     assert study.stale().count() == 2
+    reached = {(r["artifact_type"], r["steps"]) for r in study.stale_downstream().collect()}
+    assert reached == {("ae_summary", 1), ("latest_ae_summary", 1), ("ai_ae_packet", 2)}
+    assert study.unchanged()
     with pytest.raises(FileNotFoundError, match="stale"):
         study.packet()
     with pytest.raises(ValueError, match="already exists"):
