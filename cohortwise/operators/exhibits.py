@@ -19,6 +19,7 @@ from cohortwise.operators.cohorts import MEASURE_COLUMNS
 from cohortwise.operators.masking import has_sensitive_dimension
 from cohortwise.operators.ranking import evidence_ref
 from cohortwise.plans.ordered import running_total
+from cohortwise.scratch import cut_lineage
 
 # ---- Fixed values: display bounds. ----
 AXIS = (0.0, 3.0)
@@ -221,3 +222,53 @@ def hierarchy_share(nodes: DataFrame, *, slices: int | None = None) -> DataFrame
             "axis": F.when(F.col("depth") % 2 == 1, "width").otherwise("height"),
         }
     ).drop("_total", "_children", "_weight", "_whole", "_before")
+
+
+#: The whole area as (x, y, width, height).
+UNIT = (0.0, 0.0, 1.0, 1.0)
+
+
+def hierarchy_layout(
+    nodes: DataFrame, *, area: tuple[float, float, float, float] = UNIT, slices: int | None = None
+) -> DataFrame:
+    """The rectangle of each leaf: path, label, x, y, width, height, size, ratio.
+
+    A node cuts its parent's rectangle along one side, from ``offset`` on and ``share`` long: an
+    affine map of an interval, along x at odd depths and along y at even ones. A leaf's rectangle is
+    the maps of all nodes on its path, put one into the other. Paths meet their own nodes by one
+    join, on as many rows as the leaves' paths have nodes, however deep or wide the tree is.
+    """
+    placed = cut_lineage(hierarchy_share(nodes, slices=slices).select("path", "parent", "depth", "label", "share", "offset", "size", "ratio"))
+    leaves = placed.join(placed.select(F.col("parent").alias("path")).distinct(), "path", "left_anti")
+    on_path = leaves.select(
+        F.col("path").alias("leaf"),
+        F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda d: F.slice("path", F.lit(1), d))).alias("path"),
+    )
+    cuts = on_path.join(placed.select("path", "depth", "share", "offset"), "path")
+    # No deeper than the number of grouping columns.
+    maps = cuts.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "offset", "share"))).alias("maps"))
+    x, y, width, height = area
+
+    def side(of: Column, start: float, length: float) -> Column:
+        zero = F.struct(F.lit(float(start)).alias("at"), F.lit(float(length)).alias("long"))
+        return F.aggregate(
+            of,
+            zero,
+            lambda held, cut: F.struct(
+                (held["at"] + held["long"] * cut["offset"]).alias("at"), (held["long"] * cut["share"]).alias("long")
+            ),
+        )
+
+    across = side(F.filter("maps", lambda m: m["depth"] % 2 == 1), x, width)
+    down = side(F.filter("maps", lambda m: m["depth"] % 2 == 0), y, height)
+    composed = maps.select(F.col("leaf").alias("path"), across.alias("across"), down.alias("down"))
+    return leaves.join(composed, "path").select(
+        "path",
+        "label",
+        F.col("across.at").alias("x"),
+        F.col("down.at").alias("y"),
+        F.col("across.long").alias("width"),
+        F.col("down.long").alias("height"),
+        "size",
+        "ratio",
+    )

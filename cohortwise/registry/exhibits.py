@@ -8,6 +8,7 @@ from cohortwise.operators.exhibits import (
     exhibit_mask,
     exhibit_rows,
     exhibit_top_n,
+    hierarchy_layout,
     hierarchy_rollup,
     hierarchy_share,
     metric_view,
@@ -70,6 +71,13 @@ def query_hierarchy_share(spark, sf_dir):
     return rounded(flat, {"share": 6, "offset": 6})
 
 
+def query_hierarchy_layout(spark, sf_dir):
+    """Leaf rectangles of the tree, on a drawing of 1,000 by 600."""
+    drawn = hierarchy_layout(_nodes(spark, sf_dir), area=(0.0, 0.0, 1000.0, 600.0))
+    digits = dict.fromkeys(("x", "y", "width", "height", "size"), 3)
+    return rounded(_flat(drawn, "path"), {**digits, "ratio": 6})
+
+
 QUERIES = {
     name.removeprefix("query_"): value
     for name, value in list(globals().items())
@@ -158,4 +166,24 @@ select path, cast(depth as int) as depth, parent, first_rank,
     / sum(size) over (partition by parent), 6) as "offset",
   case when depth % 2 = 1 then 'width' else 'height' end as axis
 from nodes""",
+    "hierarchy_layout": f"""{_TREE.replace("with ", "with recursive ", 1)},
+shares as (
+  select *, size / sum(size) over (partition by parent) as share,
+    coalesce(sum(size) over (partition by parent order by first_rank
+      rows between unbounded preceding and 1 preceding), 0)
+      / sum(size) over (partition by parent) as start
+  from nodes),
+laid as (
+  select path, label, depth, size, ratio, 1000.0e0 * start as x, 0.0e0 as y,
+    1000.0e0 * share as width, 600.0e0 as height from shares where depth = 1
+  union all
+  select s.path, s.label, s.depth, s.size, s.ratio,
+    case when s.depth % 2 = 1 then x + width * start else x end,
+    case when s.depth % 2 = 0 then y + height * start else y end,
+    case when s.depth % 2 = 1 then width * share else width end,
+    case when s.depth % 2 = 0 then height * share else height end
+  from shares s join laid p on s.parent = p.path and s.depth = p.depth + 1)
+select path, label, round(x, 3) as x, round(y, 3) as y, round(width, 3) as width,
+  round(height, 3) as height, round(size, 3) as size, round(ratio, 6) as ratio
+from laid where path not in (select parent from nodes)""",
 }

@@ -8,6 +8,7 @@ from cohortwise.operators.exhibits import (
     exhibit_mask,
     exhibit_rows,
     exhibit_top_n,
+    hierarchy_layout,
     hierarchy_rollup,
     hierarchy_share,
     metric_view,
@@ -109,3 +110,52 @@ def test_shares(spark):
             assert r["axis"] == ("width" if not parent else "height")
             cursor += share
         assert cursor == pytest.approx(1.0)
+
+
+def _areas(tree, x, y, width, height, depth=0):
+    """Leaf rectangles by walking a tree of {label: (size, children)}."""
+    sizes = {k: size for k, (size, _) in tree.items()}
+    total = sum(sizes.values())
+    weights = sizes if total > 0 else dict.fromkeys(sizes, 1.0)
+    total = sum(weights.values())
+    out, at = {}, x if depth % 2 == 0 else y
+    for label, (_, children) in tree.items():
+        part = weights[label] / total
+        box = (at, y, width * part, height) if depth % 2 == 0 else (x, at, width, height * part)
+        at += box[2] if depth % 2 == 0 else box[3]
+        inner = _areas(children, *box, depth + 1) if children else {(): box}
+        out |= {(label, *tail): b for tail, b in inner.items()}
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_leaf_rectangles(spark, depth):
+    rng = random.Random(depth)
+    paths = sorted({tuple(f"{'abcd'[d]}={rng.randint(0, 3)}" for d in range(depth)) for _ in range(25)})
+    # Some end early, so leaves lie at several depths; one branch has no size at all.
+    paths += [tuple(f"{'abcd'[d]}=short{d}" for d in range(k)) for k in range(1, depth)]
+    paths += [("a=none", *[f"{'bcd'[d]}={i}" for d in range(depth - 1)]) for i in range(3 if depth > 1 else 1)]
+    rng.shuffle(paths)
+    sizes = [0.0 if p[0] == "a=none" else float(rng.randint(0, 9)) for p in paths]
+    df = summary(spark, *[{"Dimensions": " | ".join(p), "Sum_MEC": s} for p, s in zip(paths, sizes)])
+    tree = {}
+    for path, size in zip(paths, sizes):
+        here = tree
+        for part in path:
+            held, children = here.get(part, (0.0, {}))
+            here[part] = (held + size, children)
+            here = children
+    want = _areas(tree, 10.0, 20.0, 300.0, 200.0)
+    nodes = hierarchy_rollup(exhibit_rows(df, "count"))
+    for slices in (None, 5):
+        rows = hierarchy_layout(nodes, area=(10.0, 20.0, 300.0, 200.0), slices=slices).collect()
+        got = {tuple(r["path"]): (r["x"], r["y"], r["width"], r["height"]) for r in rows}
+        assert set(got) == set(want)
+        for path, box in want.items():
+            assert got[path] == pytest.approx(box, abs=1e-9)
+        assert sum(w * h for _, _, w, h in got.values()) == pytest.approx(300.0 * 200.0)
+
+
+def test_no_nodes_have_no_rectangles(spark):
+    rows = exhibit_rows(summary(spark, {}), "count").where("false")
+    assert hierarchy_layout(hierarchy_rollup(rows)).collect() == []
