@@ -35,6 +35,9 @@ EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 PHONE_PATTERN = r"^\+?[\d\s().-]{7,}$"
 SSN_PATTERN = r"^\d{3}-?\d{2}-?\d{4}$"
 
+#: What every such value holds: the sign of an address, or seven characters of a number in a row.
+SENSITIVE_TRACE = r"@|[\d\s().-]{7}"
+
 WORD_BORDER = "(?<=[a-z0-9])(?=[A-Z])"
 NO_WORD = "[^A-Za-z0-9]+"
 
@@ -86,6 +89,12 @@ def sensitive_value(text: Column) -> Column:
     return F.coalesce(email | number, F.lit(False))
 
 
+def may_hold_sensitive_value(text: Column) -> Column:
+    """False only for a text none of whose words is a ``sensitive_value``: one search that spares
+    most long texts a look at each word."""
+    return F.coalesce(text.rlike(UNICODE + SENSITIVE_TRACE), F.lit(False))
+
+
 def _label_pieces(label: Column) -> Column:
     text = F.coalesce(label, F.lit(NULL_KEY_TEXT))
     separator = "".join("\\" + ch if ch == "|" else ch for ch in LABEL_SEPARATOR)

@@ -10,6 +10,7 @@ from cohortwise.functions.labels import (
     SENSITIVE_TERMS,
     SSN_PATTERN,
     dimension_tokens,
+    may_hold_sensitive_value,
     parse_label,
     parse_warnings,
     sensitive_dimension,
@@ -124,12 +125,13 @@ def query_parse_label(spark, sf_dir):
 def query_sensitive_value(spark, sf_dir):
     """Words of every document that look like personal data."""
     words = table(spark, sf_dir, "documents").select(
-        "doc_id", F.split("text", "[ \\t\\r\\n]+").alias("words")
+        "doc_id", "text", F.split("text", "[ \\t\\r\\n]+").alias("words")
     )
+    found = F.size(F.filter("words", sensitive_value))
     return words.select(
         "doc_id",
         F.size("words").cast("bigint").alias("words"),
-        F.size(F.filter("words", sensitive_value)).cast("bigint").alias("sensitive_words"),
+        F.when(may_hold_sensitive_value(F.col("text")), found).otherwise(0).cast("bigint").alias("sensitive_words"),
     )
 
 

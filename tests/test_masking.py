@@ -14,6 +14,7 @@ from cohortwise.functions.labels import (
     parse_warnings,
     sensitive_dimension,
     sensitive_value,
+    may_hold_sensitive_value,
 )
 from cohortwise.operators.masking import (
     mask_cohorts,
@@ -69,6 +70,9 @@ def test_sensitive_values(spark):
     no = ["Term", "a@b", "123456", "a b@c.d", "12-34", None, "", "2021"]
     df = _texts(spark, yes + no).select("i", sensitive_value(F.col("t")).alias("s"))
     assert [r["s"] for r in df.orderBy("i").collect()] == [True] * len(yes) + [False] * len(no)
+    around = [f"some words {t} after" for t in yes] + [f"\n{t}" for t in yes]
+    held = _texts(spark, around + ["plain words, 2021 and 12-34", None]).select("i", may_hold_sensitive_value(F.col("t")).alias("s"))
+    assert [r["s"] for r in held.orderBy("i").collect()] == [True] * len(around) + [False, False]
 
 
 def test_social_security_numbers_are_phone_numbers_too():
