@@ -42,11 +42,6 @@ def audit_event(
     return spark.createDataFrame([row], fields).withColumn("event_ts", F.current_timestamp())
 
 
-def append_rows(rows: DataFrame, path: str) -> None:
-    """Add rows to a log; earlier rows are never rewritten."""
-    rows.write.mode("append").parquet(path)
-
-
 def artifact_latest(entries: DataFrame) -> DataFrame:
     """Newest entry per artifact type and path, with the time it was first created."""
     details = [

@@ -33,6 +33,7 @@ from cohortwise.operators.masking import (
 from cohortwise.operators.profile import profile_feature_types, profile_nulls, profile_summary
 from cohortwise.operators.quality import REPORT, dq_gate, dq_report
 from cohortwise.sources import digests, stores
+from cohortwise.sources.logs import append_batch, compact_log, read_log
 from cohortwise.sources.inforce import land_csv, read_inforce, read_landed_inforce, read_raw_strings, source_format
 
 # ---- Fixed values: step and artifact names in the logs. ----
@@ -77,6 +78,7 @@ class Study:
     # -- logs ---------------------------------------------------------------------------
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        """A store of runs; logs are read by ``read_log``."""
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as error:
@@ -85,19 +87,24 @@ class Study:
             return self.spark.createDataFrame([], schema)  # nothing logged yet
 
     def steps(self) -> DataFrame:
-        return self._read("audit/steps", audit.EVENTS)
+        return read_log(self.spark, f"{self.root}/audit/steps", audit.EVENTS)
 
     def artifacts(self) -> DataFrame:
-        return self._read("audit/artifacts", ENTRIES)
+        return read_log(self.spark, f"{self.root}/audit/artifacts", ENTRIES)
 
     def summaries(self) -> DataFrame:
         return self._read("ae_summary", SUMMARIES)
 
+    def compact(self) -> int:
+        """Put the many small batches of the logs together; what they hold stays the same."""
+        logs = {"audit/steps": audit.EVENTS, "audit/artifacts": ENTRIES, "packet_metadata": METADATA, "audit/digests": digests.MANIFEST}
+        return sum(compact_log(self.spark, f"{self.root}/{name}", schema) for name, schema in logs.items())
+
     def _log(self, step: str, tool: str, source: str | None, output: str | None, **values) -> None:
         event = audit.audit_event(
             self.spark, step, tool, input_path=source, output_path=output, parameters=values
         )
-        audit.append_rows(event, f"{self.root}/audit/steps")
+        append_batch(event, f"{self.root}/audit/steps")
 
     def _record(
         self,
@@ -123,7 +130,7 @@ class Study:
         entry = self.spark.createDataFrame([row], fields).withColumn(
             "entry_ts", F.current_timestamp()
         )
-        audit.append_rows(entry, f"{self.root}/audit/artifacts")
+        append_batch(entry, f"{self.root}/audit/artifacts")
 
     def _newest(self, kind: str) -> Row | None:
         rows = self.artifacts().where(F.col("artifact_type") == kind)
@@ -306,7 +313,7 @@ class Study:
         ranked = ranked_summary(
             data, keys, order, filters=chosen, min_claims=min_claims, level=level
         )
-        path = stores.write_ae_summary(ranked.withColumn("run_id", F.lit(run_id)), self.root)
+        path = stores.write_ae_summary(ranked, self.root, run_id)
         saved = self.summaries().where(F.col("run_id") == run_id)
         for place, group in enumerate(keys, 1):
             scenario = summary_slug(group)
@@ -399,7 +406,7 @@ class Study:
 
     def packet_metadata(self) -> DataFrame:
         """How each saved packet was made, one row a version."""
-        return self._read("packet_metadata", METADATA)
+        return read_log(self.spark, f"{self.root}/packet_metadata", METADATA)
 
     def packet(
         self,
@@ -456,7 +463,7 @@ class Study:
         hashes = [self._hash(saved), self._hash(warnings), audit.canonical_json(about)]
         about["packet_fingerprint"] = hashlib.sha256("|".join(hashes).encode()).hexdigest()
         row = tuple({**about, "packet_version": version}.values())
-        self.spark.createDataFrame([row], METADATA).write.mode("append").parquet(f"{self.root}/packet_metadata")
+        append_batch(self.spark.createDataFrame([row], METADATA), f"{self.root}/packet_metadata")
         self._record(
             PACKET, f"{self.root}/packet", path, about["packet_fingerprint"], "packet", parameters, [origin]
         )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cohortwise.operators.audit import (
     SLICES,
-    append_rows,
     artifact_latest,
     lineage_edges,
     stale_downstream,
@@ -19,6 +18,7 @@ from cohortwise.operators.cohorts import ae_summary
 from cohortwise.registry.common import INFORCE
 from cohortwise.scratch import new_table_path
 from cohortwise.sources.digests import manifest_fingerprint, refresh_manifest
+from cohortwise.sources.logs import append_batch, compact_log, read_log
 from cohortwise.sources.tables import artifact_log, inforce, lineage_log
 
 
@@ -34,9 +34,14 @@ def query_audit_event_append(spark, sf_dir):
         "parameters",
         "entry_ts",
     )
-    append_rows(steps.where(early), path)
-    append_rows(steps.where(~early), path)
-    return spark.read.parquet(path).groupBy("tool_name").agg(
+    # Three batches, of which one is sent twice, put together in the end.
+    odd = F.col("output_path").endswith("1")
+    parts = {"early": steps.where(early), "late-odd": steps.where(~early & odd), "late": steps.where(~early & ~odd)}
+    for name in ("early", "late-odd", "late", "late-odd"):
+        append_batch(parts[name], path, name)
+    compact_log(spark, path, steps.schema)
+    append_batch(parts["early"], path, "early")
+    return read_log(spark, path, steps.schema).groupBy("tool_name").agg(
         F.count(F.lit(1)).alias("steps"),
         F.count_distinct("output_path").alias("outputs"),
         F.count_distinct("parameters").alias("parameter_sets"),

@@ -123,7 +123,7 @@ def query_write_ae_summary(spark, sf_dir):
     )
     for groupings in runs:
         ranked = ranked_summary(data, groupings, "AE_Ratio_Amount")
-        path = write_ae_summary(ranked.withColumn("run_id", F.lit(version_name())), root)
+        path = write_ae_summary(ranked, root, version_name())
     latest = latest_by_way(spark.read.parquet(path))
     return rounded(latest).select(
         "scenario",

@@ -6,13 +6,13 @@ a table is that of its files' sum, whatever files the rows lie in.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortwise.functions.values import named
-from cohortwise.operators.audit import STATE, append_rows, canonical_row, content_hash, digest_sums, merged_states, row_lanes
+from cohortwise.operators.audit import STATE, canonical_row, content_hash, digest_sums, merged_states, row_lanes
+from cohortwise.sources.logs import append_batch, read_log
 
 FILE = {
     "file": "_metadata.file_path",
@@ -37,13 +37,7 @@ def file_digests(df: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
     """Digests known so far; two refreshes at once may write a file's digest twice."""
-    try:
-        found = spark.read.schema(MANIFEST).parquet(manifest)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = spark.createDataFrame([], MANIFEST)
-    return found.dropDuplicates([*FILE])
+    return read_log(spark, manifest, MANIFEST).dropDuplicates([*FILE])
 
 
 def refresh_manifest(spark: SparkSession, path: str, manifest: str, schema: T.StructType) -> int:
@@ -56,7 +50,7 @@ def refresh_manifest(spark: SparkSession, path: str, manifest: str, schema: T.St
     new = [r["location"] for r in table_files(spark, path).join(known, [*FILE], "left_anti").select("location").collect()]
     if new:
         table = spark.read.schema(schema).option("basePath", path).parquet(*new).select(*[named(c) for c in schema.names])
-        append_rows(file_digests(table), manifest)
+        append_batch(file_digests(table), manifest)
     return len(new)
 
 

@@ -7,8 +7,6 @@ recorded in the audit log, after the write has succeeded.
 from __future__ import annotations
 
 import json
-import time
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +18,7 @@ from cohortwise.functions.values import named, nan_to_null, parse_number
 from cohortwise.operators.cohorts import KEYS
 from cohortwise.operators.ranking import rank_cohorts
 from cohortwise.plans.ordered import running_total
-
-
-def version_name() -> str:
-    """Sortable and collision-free."""
-    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+from cohortwise.sources.versions import version_name
 
 
 def write_prepared(df: DataFrame, root: str, *, partition_by: Sequence[str] = ()) -> str:
@@ -70,15 +64,16 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*[named(c) for c in schema.names])
 
 
-def write_ae_summary(summary: DataFrame, root: str) -> str:
-    """Append ranked summaries, one folder per scenario and run.
+def write_ae_summary(summary: DataFrame, root: str, run_id: str) -> str:
+    """Add the ranked summaries of a run, in a folder of its own with one per scenario.
 
-    ``summary`` carries the columns scenario, way, grouping, group_columns, group_values, run_id
-    and cohort_rank beside the twelve summary columns. A scenario only names a folder: groupings
+    Runs share no files, so they may be written at once, and a run that is written again replaces
+    itself. ``summary`` carries the columns scenario, way, grouping, group_columns, group_values and
+    cohort_rank beside the twelve summary columns. A scenario only names a folder: groupings
     whose names agree share it and are told apart by grouping.
     """
     path = f"{root.rstrip('/')}/ae_summary"
-    summary.write.mode("append").partitionBy("scenario", "run_id").parquet(path)
+    summary.write.mode("overwrite").partitionBy("scenario").parquet(f"{path}/run_id={run_id}")
     return path
 
 
