@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.text import slices
+from cohortwise.llm.text import SEGMENT, slices
 from cohortwise.scratch import cut_lineage
 
 # Kinds in the order that results list them, and their patterns.
@@ -161,7 +161,7 @@ def mentions(documents: DataFrame) -> DataFrame:
             ]
         )
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 out = []
                 for doc_id, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     spans = base_spans(text)
@@ -270,7 +270,7 @@ def redact(documents: DataFrame, turns: int = TURNS) -> DataFrame:
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT):
                 texts, added, at = part.column("text").to_pylist(), part.column("_pii_added").to_pylist(), part.schema.get_field_index("text")
                 for k, body in enumerate(texts):
                     if body is not None:
