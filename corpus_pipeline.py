@@ -17,6 +17,22 @@ from cohortwise.scratch import new_table_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Documents that Spark hands to a Python worker at a time. They may be long, so few of them: the
+#: work of a stage does not depend on it, the memory of a worker does.
+TOGETHER = 1000
+
+
+def few_at_a_time(stage: Stage) -> Stage:
+    """The stage with Python workers that hold ``TOGETHER`` documents at a time; the setting stays
+    for the run of what the stage returns."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TOGETHER))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach."""
     return languages.keep_identified(docs)
@@ -43,11 +59,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identified),
-    ("jaccard_join", one_of_near_copies),
-    ("decontamination", decontaminated),
-    ("pii", redacted),
-    ("packing", packed),
+    ("language_id", few_at_a_time(identified)),
+    ("jaccard_join", few_at_a_time(one_of_near_copies)),
+    ("decontamination", few_at_a_time(decontaminated)),
+    ("pii", few_at_a_time(redacted)),
+    ("packing", few_at_a_time(packed)),
 ]
 
 #: Bootstrapped patterns, learned languages and tokenizers are beyond SQL.
