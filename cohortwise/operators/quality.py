@@ -219,37 +219,46 @@ def duplicate_keys(df: DataFrame) -> DataFrame:
     return _report(_keyed(df).agg(*_repeats()), [_repeat_entry()])
 
 
-def death_exposure(df: DataFrame, *, slices: int | None = None) -> DataFrame:
+def death_exposure(df: DataFrame, *, slices: int | None = None, co_located: bool = False) -> DataFrame:
     """Pairs of a claim row and a later row of the same policy, as one report row.
 
     The pairs are counted, not built: one sweep over the rows in order of policy and duration meets
     each row with as many claims as lie below its duration, whatever number of rows a policy has.
+    ``co_located``: the table is bucketed by policy, so its rows are swept where they lie.
     """
-    later = later_rows(cut_lineage(_by_number(_keyed(df))), slices=slices)
+    keyed = _by_number(_keyed(df))
+    later = later_rows(keyed if co_located else cut_lineage(keyed), slices=slices, co_located=co_located)
     return _report(later, [_later_entry()])
 
 
-def key_checks(df: DataFrame) -> DataFrame:
-    """Both checks on policy keys out of one grouping."""
+def key_checks(df: DataFrame, *, co_located: bool = False) -> DataFrame:
+    """Both checks on policy keys out of one grouping; without any on a table bucketed by policy."""
     if "MAC" not in df.columns:
         return duplicate_keys(df)
+    if co_located:
+        return duplicate_keys(df).unionByName(death_exposure(df, co_located=True))
     keyed = cut_lineage(_keyed(df))
     later = later_rows(_by_number(keyed))
     return _report(keyed.agg(*_repeats()), [_repeat_entry()]).unionByName(_report(later, [_later_entry()]))
 
 
 def dq_report(
-    df: DataFrame, raw: DataFrame | None = None, *, raw_counts: Mapping[str, int] | None = None
+    df: DataFrame,
+    raw: DataFrame | None = None,
+    *,
+    raw_counts: Mapping[str, int] | None = None,
+    co_located: bool = False,
 ) -> DataFrame:
     """All checks. ``raw`` is the text view of the source, before numbers were read from it;
-    ``raw_counts`` are its failing cells per measure where landing has counted them."""
+    ``raw_counts`` are its failing cells per measure where landing has counted them;
+    ``co_located`` says that the table is bucketed by policy."""
     parts = [check_schema(df), check_rows(df, row_checks(df))]
     if raw_counts is not None:
         parts.insert(0, counted_raw_report(df.sparkSession, raw_counts))
     elif raw is not None:
         parts.insert(0, check_rows(raw, raw_checks(raw)))
     if {"Policy_Number", "Duration"} <= set(df.columns):
-        parts.append(key_checks(df))
+        parts.append(key_checks(df, co_located=co_located))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

@@ -169,8 +169,9 @@ class Study:
         parameters: Mapping[str, Any],
         sources: Sequence[tuple[str, str, str]],
         partition_by: Sequence[str] = (),
+        buckets: int = 0,
     ) -> DataFrame:
-        location = stores.write_prepared(df, self.root, partition_by=partition_by)
+        location = stores.write_prepared(df, self.root, partition_by=partition_by, buckets=buckets)
         saved = stores.read_prepared(self.spark, location)
         self._record(
             PREPARED,
@@ -178,13 +179,13 @@ class Study:
             location,
             self._prepared_hash(location, saved),
             tool,
-            {**parameters, "partition_by": list(partition_by)},
+            {**parameters, "partition_by": list(partition_by), "buckets": buckets},
             sources,
         )
         return saved
 
     def profile(
-        self, path: str, *, partition_by: Sequence[str] = (), **reader: Any
+        self, path: str, *, partition_by: Sequence[str] = (), buckets: int = 0, **reader: Any
     ) -> dict[str, DataFrame]:
         """Read a source, add the default age band, save it, and describe it.
 
@@ -207,6 +208,7 @@ class Study:
             parameters,
             [(SOURCE, path, source_hash)],
             partition_by,
+            buckets,
         )
         self._log(PROFILED, "profile", path, f"{self.root}/prepared", **parameters)
         return {
@@ -218,7 +220,9 @@ class Study:
     def validate(self) -> DataFrame:
         """All checks: numbers on the raw source, the rules on the prepared table."""
         source = self._newest(SOURCE)
-        prepared = self.prepared()
+        entry = self._prepared_entry()
+        prepared = stores.read_prepared(self.spark, entry["location"])
+        bucketed = json.loads(entry["parameters"]).get("buckets", 0) > 0
         raw = counts = None
         if source is not None:
             made = json.loads(source["parameters"])
@@ -226,7 +230,7 @@ class Study:
             if counts is None:
                 raw = read_raw_strings(self.spark, source["location"], fmt=made["fmt"])
         # The report holds a few rows per column; keeping them avoids a second run for the gate.
-        report = self.spark.createDataFrame(dq_report(prepared, raw, raw_counts=counts).collect(), REPORT)
+        report = self.spark.createDataFrame(dq_report(prepared, raw, raw_counts=counts, co_located=bucketed).collect(), REPORT)
         gate = dq_gate(report).first()
         self._log(
             VALIDATED,
@@ -245,8 +249,8 @@ class Study:
         if origin is not None:
             sources.append((SOURCE, origin["path"], origin["content_hash"]))
         parameters["previous_prepared_content_hash"] = before["content_hash"]
-        layout = json.loads(before["parameters"])["partition_by"]
-        saved = self._save_prepared(df, tool, parameters, sources, layout)
+        layout = json.loads(before["parameters"])
+        saved = self._save_prepared(df, tool, parameters, sources, layout["partition_by"], layout.get("buckets", 0))
         self._log(step, tool, before["location"], f"{self.root}/prepared", **parameters)
         return saved
 

@@ -78,17 +78,22 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], names=[*row])
 
 
-def later_rows(keyed: DataFrame, *, slices: int | None = None) -> DataFrame:
+def later_rows(keyed: DataFrame, *, slices: int | None = None, co_located: bool = False) -> DataFrame:
     """One row, ``later``: pairs of a claim and a later row of its policy.
 
     ``keyed``: policy, at, copies, claims, one row per policy and duration. Rows without a policy or
     a duration stand outside. Without ``slices``, adaptive execution sizes the ranges by the data.
+    ``co_located``: each policy is in one task already, so rows stay where they are.
     """
     whole = keyed.where(F.col("policy").isNotNull() & F.col("at").isNotNull())
     rows = whole.select(F.col("policy").cast("string").alias("policy"), "at", "copies", "claims")
     number = [slices] if slices else []
-    ranged = rows.repartitionByRange(*number, "policy", "at").sortWithinPartitions("policy", "at")
-    swept = ranged.select("policy", "copies", "claims").mapInArrow(_swept, SWEPT)
+    ranged = rows if co_located else rows.repartitionByRange(*number, "policy", "at")
+    ordered = ranged.sortWithinPartitions("policy", "at").select("policy", "copies", "claims")
+    swept = ordered.mapInArrow(_swept, SWEPT)
+    if co_located:
+        total = F.sum(F.col("pairs").cast("decimal(38,0)"))
+        return swept.agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("later"))
     # A range's first policy stands before its last in the order, so it does not meet its own claims.
     zero = F.lit(0).cast("bigint")
     borders = F.array(

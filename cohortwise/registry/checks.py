@@ -10,10 +10,13 @@ from cohortwise.operators.quality import (
     dq_gate,
     dq_report,
     duplicate_keys,
+    key_checks,
     raw_checks,
     row_checks,
 )
 from cohortwise.registry.common import FLAWED, INFORCE, TYPED, sql_missing, sql_number, typed_flaws
+from cohortwise.scratch import new_table_path
+from cohortwise.sources.stores import read_prepared, write_prepared
 from cohortwise.sources.tables import flawed_inforce, inforce
 
 ROW_CHECKS = (
@@ -57,6 +60,12 @@ def query_dq_death_exposure_fractional(spark, sf_dir):
     return death_exposure(typed_flaws(spark, sf_dir)).select(*RESULT)
 
 
+def query_bucketed_key_checks(spark, sf_dir):
+    """Both key checks on a prepared version in buckets by policy, without moving its rows."""
+    path = write_prepared(inforce(spark, sf_dir), new_table_path(spark, "bucketed"), buckets=8)
+    return key_checks(read_prepared(spark, path), co_located=True).select(*RESULT)
+
+
 def query_dq_gate(spark, sf_dir):
     """Gate of the clean-looking view and of the flawed one."""
     clean = dq_gate(dq_report(inforce(spark, sf_dir)))
@@ -148,6 +157,7 @@ SQL = {
     **{k: f"with {TYPED} {_one(k, c, b)}" for k, (c, b) in _BROKEN.items()},
     "dq_duplicate_key": f"with {INFORCE} {_duplicates('inforce')}",
     "dq_death_exposure": f"with {INFORCE} {_deaths('inforce')}",
+    "bucketed_key_checks": f"with {INFORCE} {_duplicates('inforce')} union all {_deaths('inforce')}",
     "dq_death_exposure_fractional": f"with {TYPED} {_deaths('typed')}",
     "dq_gate": f"with {INFORCE}, {TYPED} {_gate(_ALL_INFORCE, 'inforce')} union all "
     + _gate(_RAWS + _ALL_TYPED, "flawed"),

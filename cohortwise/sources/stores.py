@@ -21,18 +21,34 @@ from cohortwise.plans.ordered import running_total
 from cohortwise.sources.versions import version_name
 
 
-def write_prepared(df: DataFrame, root: str, *, partition_by: Sequence[str] = ()) -> str:
+BUCKET_KEY, BUCKET_ORDER = "Policy_Number", "Duration"
+
+
+def write_prepared(
+    df: DataFrame, root: str, *, partition_by: Sequence[str] = (), buckets: int = 0
+) -> str:
     """Save a prepared table as a new version and return its path.
 
     Partitioning by a low-cardinality column such as Study_Year lets filters skip files. The
     rows are first gathered by that column, with each value split over several tasks, so a
     write leaves few files per folder even when one value holds most rows. A folder's name cannot
     tell empty text from a missing value, so partitioning by empty text is refused.
+
+    With ``buckets``, rows lie by policy in so many files, sorted by policy and duration: checks
+    and counts by policy then read them where they are. All rows of a policy are in one file, so a
+    table with a policy of very many rows is better left without.
     """
     version = version_name()
     path = f"{root.rstrip('/')}/prepared/version={version}"
-    _keep_schema(df, _schema_path(path))
-    if partition_by:
+    _keep_schema(df, _schema_path(path), buckets)
+    if buckets and partition_by:
+        raise ValueError("Choose folders or buckets, not both.")
+    if buckets:
+        dealt = df.repartition(buckets, named(BUCKET_KEY))
+        writer = dealt.write.format("parquet").mode("errorifexists").option("path", path)
+        order = [c for c in (BUCKET_KEY, BUCKET_ORDER) if c in df.columns]
+        writer.bucketBy(buckets, BUCKET_KEY).sortBy(*order).saveAsTable(_table_name(path))
+    elif partition_by:
         named_folders = {
             c: F.when(F.col(c) == "", F.raise_error(F.lit(f"Empty text in {c} names no folder."))).otherwise(F.col(c))
             for c in partition_by
@@ -51,17 +67,35 @@ def _schema_path(path: str) -> str:
     return f"{root}/prepared_schema/version={version}"
 
 
-def _keep_schema(df: DataFrame, path: str) -> None:
-    text = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
+def _table_name(path: str) -> str:
+    """Name of a bucketed version in the session's catalog."""
+    return "prepared_" + path.rpartition("/prepared/version=")[2].replace("-", "_")
+
+
+def _keep_schema(df: DataFrame, path: str, buckets: int) -> None:
+    facts = json.dumps({"schema": df.schema.jsonValue(), "buckets": buckets})
+    text = df.sparkSession.createDataFrame([(facts,)], "value string")
     text.coalesce(1).write.mode("errorifexists").text(path, lineSep="\n")
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     """A prepared table as written: its own types and order of columns, also of those that name
-    folders, and no casts, so filters reach the Parquet scan."""
-    written = spark.read.text(_schema_path(path), wholetext=True).first()["value"]
-    schema = T.StructType.fromJson(json.loads(written))
-    return spark.read.schema(schema).parquet(path).select(*[named(c) for c in schema.names])
+    folders, and no casts, so filters reach the Parquet scan. A bucketed version is known to the
+    session's catalog by its own name, as only tables of a catalog have buckets."""
+    written = json.loads(spark.read.text(_schema_path(path), wholetext=True).first()["value"])
+    schema, buckets = T.StructType.fromJson(written.get("schema", written)), written.get("buckets", 0)
+    if not buckets:
+        return spark.read.schema(schema).parquet(path).select(*[named(c) for c in schema.names])
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        quoted = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields]
+        order = ", ".join(c for c in (BUCKET_KEY, BUCKET_ORDER) if c in schema.names)
+        place = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {name} ({', '.join(quoted)}) USING parquet CLUSTERED BY ({BUCKET_KEY}) "
+            f"SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(name).select(*[named(c) for c in schema.names])
 
 
 def write_ae_summary(summary: DataFrame, root: str, run_id: str) -> str:

@@ -7,6 +7,9 @@ from pyspark.sql import types as T
 from cohortwise.contracts import MEASURES, SUMMARY_COLUMNS
 from cohortwise.functions.labels import summary_slug
 from cohortwise.operators.cohorts import ae_summary
+from cohortwise.operators.dimensions import Band
+from cohortwise.operators.quality import death_exposure, dq_gate, duplicate_keys, key_checks
+from cohortwise.plans.study import Study
 from cohortwise.sources.inforce import (
     malformed_records,
     coerce_core_numeric,
@@ -180,3 +183,39 @@ def test_undefined_values_of_a_csv_summary(spark, sample, tmp_path):
     rows = [{**row, "Dimensions": "G=a", "AE_Ratio_Amount": "NA"}, {**row, "Dimensions": "G=b", "AE_Ratio_Amount": "nan"}]
     pd.DataFrame(rows).to_csv(tmp_path / "s.csv", index=False)
     assert [r.AE_Ratio_Amount for r in read_ae_summary(spark, str(tmp_path / "s.csv"), fmt="csv").collect()] == [None, None]
+
+
+def test_bucketed_versions_are_read_where_they_lie(spark, sample, tmp_path):
+    root = str(tmp_path / "study's")
+    path = write_prepared(sample, root, buckets=4)
+    again = spark.newSession()
+    for session in (spark, again):
+        df = read_prepared(session, path)
+        assert df.schema.simpleString() == sample.schema.simpleString() and df.columns == sample.columns
+        assert sorted(map(str, df.collect())) == sorted(map(str, sample.collect()))
+    df = read_prepared(spark, path)
+    for check in (duplicate_keys(df), death_exposure(df, co_located=True)):
+        plan = check._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange" in line and "SinglePartition" not in line]
+        assert moved == [] and "Bucketed: true" in plan
+    with pytest.raises(ValueError, match="not both"):
+        write_prepared(sample, root, buckets=4, partition_by=["Gender"])
+
+
+def test_key_checks_of_buckets_equal_those_of_ranges(spark, tmp_path):
+    rows = [(f"P{i % 40}" if i % 9 else None, float(i % 7) if i % 11 else None, float(i % 5 == 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "Policy_Number string, Duration double, MAC double")
+    path = write_prepared(df, str(tmp_path / "s"), buckets=3)
+    want = sorted(key_checks(df).collect())
+    assert sorted(key_checks(read_prepared(spark, path), co_located=True).collect()) == want
+    assert {r["status"] for r in want} == {"FAIL"}
+
+
+def test_a_study_in_buckets(spark, sample_csv, tmp_path):
+    study = Study(spark, str(tmp_path / "study"))
+    study.profile(sample_csv, buckets=2)
+    assert dq_gate(study.validate()).first()["status"] == "PASS"
+    study.band("Face_Amount", "Face_Amount_Band", Band("quantile", bins=4))
+    assert study.unchanged() and study.validate().where("status = 'FAIL'").count() == 0
+    plan = study.prepared().groupBy("Policy_Number").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
