@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from cohortwise.contracts import INTERVALS
@@ -28,6 +30,7 @@ from cohortwise.registry.common import (
     sql_totals,
 )
 from cohortwise.scratch import new_table_path
+from cohortwise.sources.digests import refresh_sketches, sketched_summary
 from cohortwise.sources.inforce import (
     coerce_core_numeric,
     land_csv,
@@ -171,6 +174,22 @@ def query_default_age_band(spark, sf_dir):
     )
 
 
+def query_profile_sketches(spark, sf_dir):
+    """Rows and distinct policies per study year out of stored sketches, against the exact count."""
+    df = inforce(spark, sf_dir).select("Policy_Number", "Duration", "Study_Year")
+    path, store = new_table_path(spark, "sketched"), new_table_path(spark, "sketches")
+    df.write.partitionBy("Study_Year").parquet(path)
+    refresh_sketches(spark, path, store, df.schema)
+    years = [r["Study_Year"] for r in df.select("Study_Year").distinct().collect()]
+    parts = [
+        sketched_summary(spark, path, store, {"Study_Year": year}).withColumn("Study_Year", F.lit(year)) for year in sorted(years)
+    ]
+    found = functools.reduce(lambda a, b: a.unionAll(b), parts)
+    exact = df.groupBy("Study_Year").agg(F.count_distinct("Policy_Number").alias("exact"))
+    near = F.abs(F.col("unique_policy_count") - F.col("exact")) <= 0.02 * F.col("exact")
+    return found.join(exact, "Study_Year").select("Study_Year", "total_rows", near.alias("within_two_percent"))
+
+
 QUERIES = {
     name.removeprefix("query_"): value
     for name, value in list(globals().items())
@@ -234,6 +253,8 @@ def _landed(column: str) -> str:
 
 
 SQL = {
+    "profile_sketches": f"""with {INFORCE} select "Study_Year", count(*) as total_rows, true as within_two_percent
+from inforce group by 1""",
     "land_source": f"with {FLAWED} " + " union all ".join(map(_landed, _FLAWED_COLUMNS)),
     "read_inforce": f"with {INFORCE} select * from inforce",
     "read_raw_strings": f"with {FLAWED} select "

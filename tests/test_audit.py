@@ -195,3 +195,24 @@ def test_row_text_tells_cells_apart(spark):
     assert mark([(1, None)], "a int, b int") != mark([(None, 1)], "a int, b int")
     assert mark([("1", "2|1:3")], "a string, b string") != mark([("1|1:2", "3")], "a string, b string")
     assert mark([(-1,)], "a int") != mark([(1,)], "a int")
+
+
+def test_sketches_of_any_choice_of_partitions(spark, tmp_path):
+    path, store = str(tmp_path / "t"), str(tmp_path / "s")
+    df = spark.range(60_000).selectExpr("concat('P', id % 20000) as Policy_Number", "cast(id % 3 as int) as part")
+
+    def near(folders, want):
+        got = digests.sketched_summary(spark, path, store, folders).first()["unique_policy_count"]
+        return abs(got - want) <= 0.02 * want
+
+    df.where("part < 2").write.partitionBy("part").parquet(path)
+    assert digests.refresh_sketches(spark, path, store, df.schema) > 0
+    df.where("part = 2").write.mode("append").partitionBy("part").parquet(path)
+    new = digests.refresh_sketches(spark, path, store, df.schema)
+    assert new == len([f for _, _, names in os.walk(tmp_path / "t" / "part=2") for f in names if f.endswith(".parquet")])
+    for part in range(3):
+        one = df.where(f"part = {part}")
+        assert near({"part": part}, one.select("Policy_Number").distinct().count())
+        assert digests.sketched_summary(spark, path, store, {"part": part}).first()["total_rows"] == one.count()
+    assert near(None, 20_000) and near({}, 20_000)
+    assert tuple(digests.sketched_summary(spark, path, store, {"part": 9}).first()) == (0, 0)
