@@ -147,8 +147,8 @@ def stale_downstream(entries: DataFrame) -> DataFrame:
 
 
 def canonical_row(df: DataFrame) -> Column:
-    """A row as one text that no other row shares: columns by name, numbers and times as they
-    print, other values with their length before them, a missing value as a dash."""
+    """A row as one text that no other row shares: columns by name, each value with its length,
+    a missing value as a dash."""
     cells = []
     for column in sorted(df.columns):
         kind = data_type(df, column)
@@ -158,15 +158,12 @@ def canonical_row(df: DataFrame) -> Column:
         elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             value = F.to_json(value)
         text = value.cast("string")
-        if not isinstance(kind, (T.NumericType, T.DatetimeType, T.BooleanType)):
-            # Only such texts can hold the sign between cells, or be a dash alone.
-            text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
-        cells.append(F.coalesce(text, F.lit("-")))
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
     return F.concat_ws("|", *cells)
 
 
 #: Where runs of hex digits of a row's hash begin, and how many: each fits a long.
-SLICES = [(1, 15), (16, 15)]
+SLICES = [(start, 15) for start in (1, 16, 31, 46)]
 #: A run is summed in lanes of so many bits, so that sums stay whole numbers of 64 bits for up to
 #: 2**43 rows and cost no decimal arithmetic a row.
 LANE, LANES = 20, 3
@@ -207,7 +204,7 @@ def content_hash(schema: T.StructType) -> Column:
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Row count and order-free content hash, in one pass without a shuffle of rows.
 
-    The hash covers names and types of the columns, the count, and the sums of two runs of 60 bits
+    The hash covers names and types of the columns, the count, and the sums of four runs of 60 bits
     of each row's SHA-256, which move whenever a value changes, goes, or trades places.
     """
     state = df.select(*row_lanes(canonical_row(df))).agg(*digest_sums())

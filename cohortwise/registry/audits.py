@@ -61,22 +61,21 @@ def query_lineage_edges(spark, sf_dir):
     return lineage_edges(artifact_log(spark, sf_dir))
 
 
-# Numbers are ten-thousandths here, since the text of a double differs between engines.
+# Numbers are fixed-point here, since the text of a double differs between engines.
 _FIXED = ("MAC", "MOC", "MEC", "MAF", "MEF", "COLA", "Face_Amount")
 
 
-def _whole_numbers(spark, sf_dir):
-    fixed = {c: F.floor(F.col(c) * 10_000 + 0.5) for c in _FIXED}
-    return inforce(spark, sf_dir).withColumns(fixed)
+def _fixed_point(spark, sf_dir):
+    return inforce(spark, sf_dir).withColumns({c: F.col(c).cast("decimal(20,4)") for c in _FIXED})
 
 
 def query_table_fingerprint(spark, sf_dir):
-    return table_fingerprint(_whole_numbers(spark, sf_dir))
+    return table_fingerprint(_fixed_point(spark, sf_dir))
 
 
 def query_fingerprint_manifest(spark, sf_dir):
     """The same fingerprint out of file digests, of a table that grows by a second write."""
-    df = _whole_numbers(spark, sf_dir)
+    df = _fixed_point(spark, sf_dir)
     path, manifest = new_table_path(spark, "grown"), new_table_path(spark, "manifest")
     late = F.coalesce(F.col("Study_Year") >= 1996, F.lit(False))
     for part in (df.where(~late), df.where(late)):
@@ -143,18 +142,15 @@ _INPUTS = (
 )
 
 def _fingerprint() -> str:
-    kinds = dict.fromkeys(_FIXED, "bigint") | {
+    kinds = dict.fromkeys(_FIXED, "decimal(20,4)") | {
         "Policy_Number": "string", "Duration": "int", "Issue_Age": "int", "Gender": "string",
         "Smoker": "string", "Risk_Class": "string", "Product_Group": "string", "Study_Year": "int",
     }
     cells = []
     for column in sorted(kinds):
-        text = f'cast("{column}" as varchar)'
-        if column in _FIXED:
-            text = f'cast(cast(floor("{column}" * 10000 + 0.5e0) as bigint) as varchar)'
-        if kinds[column] == "string":
-            text = f"cast(length({text}) as varchar) || ':' || {text}"
-        cells.append(f"coalesce({text}, '-')")
+        number = kinds[column] == "decimal(20,4)"
+        text = f'cast(cast("{column}" as decimal(20,4)) as varchar)' if number else f'cast("{column}" as varchar)'
+        cells.append(f"coalesce(cast(length({text}) as varchar) || ':' || {text}, '-')")
     sums = " || '|' || ".join(
         f"cast(sum(cast('0x' || substr(digest, {start}, {size}) as hugeint)) as varchar)" for start, size in SLICES
     )

@@ -67,6 +67,14 @@ def test_table_fingerprint_ignores_order_but_not_content(spark, sample):
     assert table_fingerprint(sample.limit(0)).first()["row_count"] == 0
 
 
+def test_table_fingerprint_sums_four_runs_of_every_rows_hash(spark):
+    df = spark.createDataFrame([("a", 1), ("bc", None)], "k string, n int")
+    digests = [hashlib.sha256(text.encode()).hexdigest() for text in ("1:a|1:1", "2:bc|-")]
+    sums = [str(sum(int(d[at : at + 15], 16) for d in digests)) for at in (0, 15, 30, 45)]
+    content = hashlib.sha256("|".join(["k:string,n:int", "2", *sums]).encode()).hexdigest()
+    assert table_fingerprint(df).first() == (2, content)
+
+
 def test_state_fingerprint_is_the_hash_of_canonical_json(spark):
     inputs = state_inputs(group_by=["Gender"], filters=[{"column": "a", "operator": "=", "value": 'q"'}],
                           min_claims=3)
