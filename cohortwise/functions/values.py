@@ -40,7 +40,9 @@ WHITESPACE = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 
-INFINITE_WORDS = tuple(sign + word for sign in ("", "+", "-") for word in ("inf", "infinity"))
+_PADDING = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*+"
+_INTEGER = "[+-]?[0-9]+"
+_DECIMAL = r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))"
 
 
 def named(column: str) -> Column:
@@ -79,34 +81,30 @@ def finite(number: Column) -> Column:
     return F.abs(number) < F.lit(float("inf"))
 
 
+def _parse(text: Column, pattern: str, kind: str) -> Column:
+    """A text of the pattern, with or without white space around it, as the type, else null.
+
+    Patterns keep the code of a parse short: a table's columns make one method of them, and the JVM
+    does not compile a method that is too long. Most texts are bare and spared the trim.
+    """
+    padded = F.btrim(text, F.lit(WHITESPACE)).try_cast(kind)
+    return F.when(text.rlike(rf"\A{pattern}\z"), text.try_cast(kind)).when(
+        text.rlike(rf"\A{_PADDING}{pattern}{_PADDING}\z"), padded
+    )
+
+
 def parse_number(text: Column) -> Column:
     """Double written in a text, else null.
 
     try_cast alone would also take Java forms such as "1d" or "0x1p3", and is slow on texts
-    that are no numbers. Looking at the ends of the text rules both out.
+    that are no numbers. The pattern rules both out.
     """
-    bare = strip(text)
-    decimal = (
-        (F.length(bare) > 0)
-        & _starts_in(bare, "0123456789.+-")
-        & _ends_in(bare, "0123456789.")
-        & ~F.contains(bare, F.lit("x"))
-        & ~F.contains(bare, F.lit("X"))
-    )
-    infinite = F.lower(bare).isin(*INFINITE_WORDS)
-    return F.when(decimal | infinite, bare.try_cast("double"))
+    return _parse(text, _DECIMAL, "double")
 
 
 def parse_integer(text: Column) -> Column:
     """64-bit integer written in a text, else null."""
-    bare = strip(text)
-    whole = (
-        (F.length(bare) > 0)
-        & _starts_in(bare, "0123456789+-")
-        & _ends_in(bare, "0123456789")
-        & ~F.contains(bare, F.lit("."))
-    )
-    return F.when(whole, bare.try_cast("bigint"))
+    return _parse(text, _INTEGER, "bigint")
 
 
 def missing_text(text: Column) -> Column:

@@ -51,7 +51,7 @@ def raw_checks(raw: DataFrame) -> list[RowCheck]:
         RowCheck(
             "dq_raw_non_numeric",
             m,
-            ~missing_text(named(m)) & parse_number(named(m)).isNull(),
+            parse_number(named(m)).isNull() & ~missing_text(named(m)),
             RAW_PROBLEM,
         )
         for m in MEASURES

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from cohortwise.contracts import MEASURES
 from cohortwise.functions.values import CSV_MISSING_CELLS, missing_text, named, parse_integer, parse_number
 from cohortwise.operators.audit import STATE, canonical_row, content_hash, digest_sums, row_lanes
+from cohortwise.scratch import compiled_methods
 
 WHOLE, NUMBER, TEXT = "whole", "number", "text"
 
@@ -44,6 +45,8 @@ class Landed:
 
     def content_hash(self, spark: SparkSession) -> str:
         """Hash of the cells as written in the CSV, whatever the order of the records."""
+        if len(self.state) < len(STATE):
+            raise ValueError("This CSV was landed without a digest.")
         cells = T.StructType([T.StructField(c, T.StringType()) for c in self.columns])
         state = spark.createDataFrame([tuple(self.state[c] for c in STATE)], ", ".join(f"{c} bigint" for c in STATE))
         return state.select(content_hash(cells)).first()[0]
@@ -71,23 +74,28 @@ def _is_open(column: str) -> bool:
     return column not in MEASURES and column != "Policy_Number"
 
 
-def land(text: DataFrame, path: str) -> Landed:
-    """Write a table of text cells to ``path``, in one job, and keep what is observed there."""
+def land(text: DataFrame, path: str, *, digest: bool = True) -> Landed:
+    """Write a table of text cells to ``path``, in one job, and keep what is observed there.
+
+    ``digest=False`` spares the hash of the rows for who reads the table and never asks for it.
+    """
     columns = text.columns
     parsed = {}
     for place, column in enumerate(columns):
-        cell = F.when(~named(column).isin(*CSV_MISSING_CELLS), named(column))
+        # No text that means a missing cell is a number.
         if column != "Policy_Number":
-            parsed[f"_n{place}"] = parse_number(cell)
+            parsed[f"_n{place}"] = parse_number(named(column))
         if _is_open(column):
-            parsed[f"_w{place}"] = parse_integer(cell)
+            parsed[f"_w{place}"] = parse_integer(named(column))
     # Parsed in a step of its own, as each number is looked at more than once.
     cells = text.select("*", *[c.alias(name) for name, c in parsed.items()])
-    stored, checks, metrics = {}, {}, digest_sums()
+    lanes = row_lanes(canonical_row(text)) if digest else []
+    state = STATE if digest else STATE[:1]
+    stored, checks, metrics = {}, {}, digest_sums()[: len(state)]
     for place, column in enumerate(columns):
         stored |= _stored(column, place)
         if column in MEASURES:
-            checks[f"bad{place}"] = ~missing_text(named(column)) & F.col(f"_n{place}").isNull()
+            checks[f"bad{place}"] = F.col(f"_n{place}").isNull() & ~missing_text(named(column))
             metrics.append(F.count_if(f"bad{place}").alias(f"bad{place}"))
         elif _is_open(column):
             w, n, t = (F.col(f"{kind}{place}") for kind in "wnt")
@@ -98,9 +106,10 @@ def land(text: DataFrame, path: str) -> Landed:
             ]
     seen = Observation()
     rows = cells.select(
-        *[c.alias(name) for name, c in (stored | checks).items()], *row_lanes(canonical_row(text))
+        *[c.alias(name) for name, c in (stored | checks).items()], *lanes
     ).observe(seen, *metrics)
-    rows.select(*stored).write.mode("errorifexists").parquet(f"{path}/cells")
+    with compiled_methods(text.sparkSession):
+        rows.select(*stored).write.mode("errorifexists").parquet(f"{path}/cells")
     facts = seen.get
     kinds = {}
     for place, column in enumerate(columns):
@@ -114,7 +123,7 @@ def land(text: DataFrame, path: str) -> Landed:
         path,
         columns,
         kinds,
-        {c: int(facts[c]) for c in STATE},
+        {c: int(facts[c]) for c in state},
         {c: int(facts[f"bad{place}"]) for place, c in enumerate(columns) if c in MEASURES},
     )
     written = text.sparkSession.createDataFrame([(json.dumps(asdict(landed)),)], "value string")

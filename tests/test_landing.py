@@ -5,7 +5,7 @@ from cohortwise.operators.audit import table_fingerprint
 from cohortwise.operators.quality import check_rows, counted_raw_report, dq_report, raw_checks
 from cohortwise.plans.study import Study
 from cohortwise.sources.inforce import land_csv, read_inforce, read_landed_inforce, read_raw_strings
-from cohortwise.sources.landing import landed_at, read_landed
+from cohortwise.sources.landing import land, landed_at, read_landed
 
 ODD = (
     'Policy_Number,MAC,MOC,Duration,Rate,Code,Note,Empty,Big\n'
@@ -102,3 +102,15 @@ def test_a_study_parses_its_csv_once(spark, sample_csv, tmp_path):
     report = {(r["check_id"], r["column_name"]): r["issue_count"] for r in study.validate().collect()}
     assert report["dq_raw_non_numeric", "MEC"] == 1 and report["dq_raw_non_numeric", "MAC"] == 0
     assert study.prepared().count() == 8 and "Issue_Age_Band" in study.prepared().columns
+
+
+def test_a_csv_read_without_its_digest_has_the_same_facts(spark, tmp_path):
+    text = spark.createDataFrame([("P1", "1", "x"), ("P2", "0", "")], "Policy_Number string, MAC string, Gender string")
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    bare = land(text, str(tmp_path / "bare"), digest=False)
+    whole = land(text, str(tmp_path / "whole"))
+    assert (bare.kinds, bare.not_numbers, bare.row_count) == (whole.kinds, whole.not_numbers, 2)
+    assert bare.state == {"row_count": 2}
+    with pytest.raises(ValueError, match="without a digest"):
+        bare.content_hash(spark)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit

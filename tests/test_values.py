@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortwise.functions.ratios import clip, safe_ratio
-from cohortwise.functions.values import missing_text, parse_number
+from cohortwise.functions.values import missing_text, parse_integer, parse_number
 
 
 def _texts(spark, texts):
@@ -51,3 +51,21 @@ def test_every_python_float_text_is_read_back(spark, numbers):
     df = _texts(spark, [repr(n) for n in numbers])
     got = df.select("i", parse_number(F.col("t")).alias("n")).orderBy("i").collect()
     assert [r["n"] for r in got] == pytest.approx(numbers, rel=0, abs=0)
+
+
+def test_numbers_of_a_row_make_a_method_that_the_jvm_compiles(spark, tmp_path):
+    texts = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in "abcdefghijklmn"])
+    texts.write.parquet(str(tmp_path / "texts"))
+    cells = spark.read.parquet(str(tmp_path / "texts"))
+    parsed = cells.select(*[parse_number(F.col(c)).alias(c) for c in cells.columns])
+    stage = parsed._jdf.queryExecution().debug().codegenToSeq().head()
+    assert stage._3().maxMethodCodeSize() < 8000
+
+
+def test_white_space_of_any_kind_stands_around_numbers(spark):
+    texts = ["　1.5\x85", " +.5e1\n", "\t-Inf ", "1 2", "1d", "0x1", "\x011", " 7", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    number, whole = parse_number(F.col("t")), parse_integer(F.col("t"))
+    found = [tuple(r) for r in df.select(number, whole).collect()]
+    none = (None, None)
+    assert found == [(1.5, None), (5.0, None), (-math.inf, None), none, none, none, none, (7.0, 7), none]
