@@ -106,7 +106,8 @@ def read_inforce(
         df = reader.parquet(path)
     else:
         if schema is None:
-            landed = land_csv(spark, path, new_table_path(spark, "landed"), multi_line=multi_line)
+            text = _csv_text(spark, path, multi_line=multi_line)
+            landed = land(text, new_table_path(spark, "landed"), digest=False)
             return read_landed_inforce(spark, landed)
         text = _csv_text(spark, path, multi_line=multi_line)
         cells = text.select(
