@@ -16,7 +16,7 @@ from cohortwise.operators.quality import (
 )
 from cohortwise.registry.common import FLAWED, INFORCE, TYPED, sql_missing, sql_number, typed_flaws
 from cohortwise.scratch import new_table_path
-from cohortwise.sources.stores import read_prepared, write_prepared
+from cohortwise.sources.stores import bucket_number, read_prepared, write_prepared
 from cohortwise.sources.tables import flawed_inforce, inforce
 
 ROW_CHECKS = (
@@ -62,7 +62,8 @@ def query_dq_death_exposure_fractional(spark, sf_dir):
 
 def query_bucketed_key_checks(spark, sf_dir):
     """Both key checks on a prepared version in buckets by policy, without moving its rows."""
-    path = write_prepared(inforce(spark, sf_dir), new_table_path(spark, "bucketed"), buckets=8)
+    df = inforce(spark, sf_dir)
+    path = write_prepared(df, new_table_path(spark, "bucketed"), buckets=bucket_number(df))
     return key_checks(read_prepared(spark, path), co_located=True).select(*RESULT)
 
 

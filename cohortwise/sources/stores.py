@@ -22,6 +22,13 @@ from cohortwise.sources.versions import version_name
 
 
 BUCKET_KEY, BUCKET_ORDER = "Policy_Number", "Duration"
+#: Rows of a bucket, since one task sorts it, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 500_000, 8
+
+
+def bucket_number(df: DataFrame) -> int:
+    """Buckets for a table: as many as keep each about as large, however large the table."""
+    return max(LEAST_BUCKETS, -(-df.count() // BUCKET_ROWS))
 
 
 def write_prepared(

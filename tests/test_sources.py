@@ -19,6 +19,7 @@ from cohortwise.sources.inforce import (
     source_format,
 )
 from cohortwise.sources.stores import (
+    bucket_number,
     check_ae_summary,
     read_ae_summary,
     read_prepared,
@@ -211,6 +212,10 @@ def test_key_checks_of_buckets_equal_those_of_ranges(spark, tmp_path):
     assert {r["status"] for r in want} == {"FAIL"}
 
 
+def test_buckets_grow_with_the_table(spark):
+    assert [bucket_number(spark.range(n)) for n in (0, 10, 4_000_000, 4_000_001, 40_000_000)] == [8, 8, 8, 9, 80]
+
+
 def test_a_study_in_buckets(spark, sample_csv, tmp_path):
     study = Study(spark, str(tmp_path / "study"))
     study.profile(sample_csv, buckets=2)
