@@ -10,9 +10,13 @@ Answers come from similar sets' answers before any list is joined within itself:
 every list names a leader, its other entries are compared with the leader alone, and those that
 reach the threshold join the leader's class. From then on they inherit the leader's links: entries
 of one class are never compared with each other, and a list all of whose entries are in one class
-is skipped as a whole. The last step compares what the lists still hold of different classes, pair
-by pair, so no link between two classes is lost. A group of near copies costs as many comparisons
-as it has members, not pairs.
+is skipped as a whole. A leader reaches what is close to it; so in further turns every list is put
+in an order of its own by the bits of its entries' sketches, where similar sets come to lie side by
+side, and neighbours of different classes are compared, as long as such turns find links. The last
+step compares what the lists still hold of different classes, pair by pair, so no link between two
+classes is lost. A group of near copies costs as many comparisons as it has members, not pairs, and
+a pair of the last step leaves from the first list that both its sets are in: entries carry the
+shingles just before theirs, and two entries that have one of these in common have met before.
 
 Pairs are first held against parity sketches: the number of bits in which two sketches differ is
 never more than the number of shingles in which the sets do, so a pair whose sketches differ too
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -47,7 +51,15 @@ PERCENT = 85
 #: to FREQUENT of them. The order decides the work, never the result.
 OFTEN = 12
 FREQUENT = 1 << 17
-TURNS = 2
+#: Turns before the last step, and those of them that name leaders; those of neighbours end early
+#: where less than one in LINKING pairs links. This decides the work, never the result.
+TURNS = 6
+LEADERS = 1
+LINKING = 20
+#: Shingles before its own that an entry of the last step carries.
+BEFORE = 2
+#: Bytes of a mark that order a list.
+ORDERING = 8
 #: Bits of a sketch, a power of two.
 SKETCH = 1 << 10
 #: Ids that may be broadcast to pick documents; more are joined by a shuffle.
@@ -221,47 +233,70 @@ def leaders_pairs(lists: DataFrame, classes: DataFrame, turn: int, percent: int)
     return met.select(F.least("set_key", "lead").alias("a"), F.greatest("set_key", "lead").alias("b")).distinct()
 
 
+def neighbours_pairs(lists: DataFrame, classes: DataFrame, marks: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Entries with the entry before them in their list, where their classes differ. A list has an
+    order of its own in each turn: by some bytes of the marks, from one on that hashing names."""
+    entries = lists.join(classes, "set_key").join(marks, "set_key")
+    first = F.pmod(F.xxhash64(F.lit(turn), "shingle"), F.lit(SKETCH // 32)).cast("int") + 1
+    turned = entries.select("shingle", "set_key", "n", "pos", "class", F.substr(F.concat("mark", "mark"), first, F.lit(ORDERING)).alias("bits"))
+    order = Window.partitionBy("shingle").orderBy("bits", "set_key")
+    own = F.struct(F.col("set_key").alias("near"), F.col("n").alias("near_n"), F.col("pos").alias("near_pos"), F.col("class").alias("near_class"))
+    met = turned.select("set_key", "n", "pos", "class", F.lag(own).over(order).alias("l")).select("*", "l.*")
+    met = met.where(F.col("class") != F.col("near_class"))
+    met = met.where(may_link(F.col("n"), F.col("pos"), F.col("near_n"), F.col("near_pos"), percent))
+    return met.select(F.least("set_key", "near").alias("a"), F.greatest("set_key", "near").alias("b")).distinct()
+
+
 def remaining_pairs(lists: DataFrame, classes: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes that lists of several classes still hold and whose marks
-    are close enough."""
+    are close enough; hardly any comes twice.
+
+    Entries of different classes that meet in a list meet in every list they share, as no such
+    list is of one class. So one that finds a shingle before its own in both leaves the pair to
+    that list, and the first list of all that they share finds none.
+    """
     entries = lists.join(classes, "set_key")
     mixed = entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    left = entries.join(mixed.select("shingle"), "shingle").join(marks, "set_key").repartition("shingle").sortWithinPartitions("shingle", "n", "pos")
+    left = entries.join(mixed.select("shingle"), "shingle")
+    just_before = Window.partitionBy("set_key").orderBy("pos").rowsBetween(-BEFORE, -1)
+    left = left.withColumn("before", F.collect_list("shingle").over(just_before)).join(marks, "set_key")
+    left = left.repartition("shingle").sortWithinPartitions("shingle", "n", "pos")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # entries of the open list that later, larger ones may link with
         for batch in batches:
             own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "set_key", "n", "pos", "class")])
             found = []
-            for column, bits in zip(own.T, batch.column("mark").to_pylist(), strict=True):
+            for column, bits, before in zip(own.T, batch.column("mark").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 shingle, key, n, pos, cls = column
-                bits = int.from_bytes(bits, "little")
+                bits, before = int.from_bytes(bits, "little"), frozenset(before)
                 if held is None or held[0] != shingle:
                     held = (shingle, BlockList(percent))
-                found.append(held[1].probe(key, n, pos, cls, bits))
-                held[1].add(key, n, pos, cls, bits)
+                found.append(held[1].probe(key, n, pos, cls, bits, before))
+                held[1].add(key, n, pos, cls, bits, before)
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             if len(pairs):
                 pairs = np.unique(np.sort(pairs, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    wanted = left.select("shingle", "set_key", "n", "pos", "class", "mark")
-    return wanted.mapInArrow(meet, "a long, b long").distinct()
+    wanted = left.select("shingle", "set_key", "n", "pos", "class", "mark", "before")
+    return wanted.mapInArrow(meet, "a long, b long")
 
 
 class BlockList:
     """A list's entries in blocks of one size and class, by position: a probe takes the sizes in
     reach, leaves out its own class as a whole, and of each block reads the entries up to the
-    position that still leaves the needed overlap."""
+    position that still leaves the needed overlap. Entries with one of ``before`` in common have
+    met in another list."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.blocks: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
+        self.blocks: dict[int, dict[int, list[tuple[int, int, int, frozenset[int]]]]] = {}
 
-    def add(self, key: int, n: int, pos: int, cls: int, bits: int = 0) -> None:
-        self.blocks.setdefault(int(n), {}).setdefault(int(cls), []).append((int(pos), int(key), bits))
+    def add(self, key: int, n: int, pos: int, cls: int, bits: int = 0, before: frozenset[int] = frozenset()) -> None:
+        self.blocks.setdefault(int(n), {}).setdefault(int(cls), []).append((int(pos), int(key), bits, before))
 
-    def probe(self, key: int, n: int, pos: int, cls: int, bits: int = 0) -> np.ndarray:
+    def probe(self, key: int, n: int, pos: int, cls: int, bits: int = 0, before: frozenset[int] = frozenset()) -> np.ndarray:
         key, n, pos, cls = int(key), int(n), int(pos), int(cls)
         found = []
         for size in [s for s in self.blocks if 100 * s < self.percent * n]:
@@ -272,12 +307,12 @@ class BlockList:
             for other_class, block in classes.items():
                 if other_class == cls:
                     continue
-                for at, other, its in block:  # by position, as they came
+                for at, other, its, earlier in block:  # by position, as they came
                     if min(at, pos) + min(size - at, n - pos) < need:
                         if at > pos:
                             break  # further ones leave even less
                         continue
-                    if other != key and (bits ^ its).bit_count() <= apart:
+                    if other != key and (bits ^ its).bit_count() <= apart and before.isdisjoint(earlier):
                         found.append((other, key))
         return np.array(found, np.int64).reshape(len(found), 2)
 
@@ -342,10 +377,17 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
     )
     known = cut_lineage(known.join(lists.select("set_key").distinct(), "set_key", "left_semi"))
     classes = cut_lineage(known.select("set_key", F.col("set_key").alias("class")))
+    marks = known.select("set_key", "mark")
     tried = None
-    for turn in range(TURNS + 1):
+    turn = 0
+    while turn <= TURNS:
         last = turn == TURNS
-        pairs = remaining_pairs(lists, classes, known.select("set_key", "mark"), percent) if last else leaders_pairs(lists, classes, turn, percent)
+        if last:
+            pairs = remaining_pairs(lists, classes, marks, percent).distinct()
+        elif turn < LEADERS:
+            pairs = leaders_pairs(lists, classes, turn, percent)
+        else:
+            pairs = neighbours_pairs(lists, classes, marks, turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
@@ -365,6 +407,8 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
             )
         )
         tried = pairs if tried is None else tried.unionAll(pairs)
+        few = LEADERS <= turn < TURNS and links.count() * LINKING < pairs.count()
+        turn = TURNS if few else turn + 1
     return classes
 
 

@@ -105,6 +105,27 @@ def test_block_list_skips_nothing_that_links():
         assert found == want
 
 
+def near_copies(n, seed=7, size=150):
+    """Texts of one group, of one or two words changed."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        own = [f"b{i}" for i in range(size)]
+        for at in rng.sample(range(size), 1 + k % 2):
+            own[at] = f"e{rng.randrange(10**9)}"
+        out.append((k, " ".join(own)))
+    return out
+
+
+def test_a_pair_leaves_from_its_first_list(documents, monkeypatch):
+    held = jaccard.prefixes(documents(near_copies(60)), 4, 85, np.zeros((2, 0), np.uint64))
+    lists, known = jaccard.index_lists(held), held.where("mark is not null")
+    alone = known.selectExpr("set_key", "set_key as class")
+    monkeypatch.setattr(type(held), "distinct", lambda rows: rows)  # as they leave the lists
+    pairs = [(r.a, r.b) for r in jaccard.remaining_pairs(lists, alone, known.select("set_key", "mark"), 85).collect()]
+    assert len(set(pairs)) > 200 and len(pairs) < 1.3 * len(set(pairs))
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]
