@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortwise.contracts import MEASURES
 from cohortwise.functions.values import (
@@ -191,8 +192,24 @@ def _keyed(df: DataFrame) -> DataFrame:
     )
 
 
-def _by_number(keyed: DataFrame) -> DataFrame:
-    """One row per policy and duration as a number; text may write a number in several ways."""
+#: Types whose values are different numbers as doubles too; longs are so up to EXACT.
+TOLD_APART = (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)
+EXACT = float(1 << 53)
+
+
+def _by_number(keyed: DataFrame, *, co_located: bool = False) -> DataFrame:
+    """One row per policy and duration as a number; text may write a number in several ways, and
+    decimals and very large longs may share a double. Other rows are one per number already."""
+    columns, kind = ("policy", "at", "copies", "claims"), data_type(keyed, "stored")
+    if isinstance(kind, TOLD_APART):
+        return keyed.select(*columns)
+    if isinstance(kind, T.LongType) and not co_located:
+        apart = F.coalesce(F.abs("at") < EXACT, F.lit(True))
+        return keyed.where(apart).select(*columns).unionAll(_summed(keyed.where(~apart)))
+    return _summed(keyed)
+
+
+def _summed(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("policy", "at").agg(F.sum("copies").alias("copies"), F.sum("claims").alias("claims"))
 
 
@@ -226,7 +243,7 @@ def death_exposure(df: DataFrame, *, slices: int | None = None, co_located: bool
     each row with as many claims as lie below its duration, whatever number of rows a policy has.
     ``co_located``: the table is bucketed by policy, so its rows are swept where they lie.
     """
-    keyed = _by_number(_keyed(df))
+    keyed = _by_number(_keyed(df), co_located=co_located)
     later = later_rows(keyed if co_located else cut_lineage(keyed), slices=slices, co_located=co_located)
     return _report(later, [_later_entry()])
 

@@ -1,9 +1,11 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cohortwise.operators.quality import (
     check_rows,
@@ -159,6 +161,17 @@ def test_sweep_state_over_batches(batch):
     assert state.claims == claims[np.array(policy) == policy[-1]].sum()
 
 
+def test_numbers_are_grouped_once(spark):
+    rows = [("a", 1, 1.0), ("a", 2, 0.0), ("a", 2, 0.0), ("b", 2**53 + 1, 0.0), ("b", 2**53, 1.0), ("b", 2**53 + 4, 0.0), (None, 5, 1.0)]
+    df = spark.createDataFrame(rows, "Policy_Number string, Duration long, MAC double")
+    again = lambda table: len(re.findall(r"hashpartitioning\(policy#\d+, at#", key_checks(table)._jdf.queryExecution().optimizedPlan().toString() + key_checks(table)._jdf.queryExecution().executedPlan().toString()))
+    small = df.where("Duration < 10").withColumn("Duration", F.col("Duration").cast("int"))
+    assert again(small) == 0
+    assert again(small.withColumn("Duration", F.col("Duration").cast("string"))) == 1
+    # Longs that share a double are one duration: of b, one later row and no more.
+    assert {r.check_id: r.issue_count for r in key_checks(df).collect()} == {"dq_duplicate_key": 1, "dq_death_exposure": 3}
+
+
 def test_repeated_incomplete_keys_fail_without_pairs(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 1.0), ("a", 2.0)],
                                "Policy_Number string, Duration double")
