@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortwise.llm.components import components
-from cohortwise.llm.text import SEGMENT, mix, raw, shingles, slices, words
+from cohortwise.llm.text import mix, raw, shingles, slices, words
 from cohortwise.scratch import cut_lineage
 
 SHINGLE = 4
@@ -58,6 +58,8 @@ LEADERS = 1
 LINKING = 20
 #: Shingles before its own that an entry of the last step carries.
 BEFORE = 2
+#: Bytes of text whose words and sets a task holds at a time, one text at least.
+SLICE = 1 << 18
 #: Bytes of a mark that order a list.
 ORDERING = 8
 #: Bits of a sketch, a power of two.
@@ -79,6 +81,10 @@ def set_key(hashes: np.ndarray) -> int:
     return int(mix(np.array([mix(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))]))[0].view(np.int64))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return slices(batch, "text", SLICE)
+
+
 def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
     hashes, first = words(*raw(part.column("text")))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -108,7 +114,7 @@ def prefixes(documents: DataFrame, size: int, percent: int, often: np.ndarray) -
         late, place = shared.value
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", SEGMENT):
+            for part in _parts(batch):
                 keys, sizes, sketches, firsts = [], [], [], []
                 for own in _sets(part, size):
                     key = set_key(own)
@@ -151,7 +157,7 @@ def frequent_shingles(documents: DataFrame, size: int, percent: int) -> np.ndarr
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", SEGMENT):
+            for part in _parts(batch):
                 found = []
                 for own in _sets(part, size):
                     key = set_key(own)
@@ -233,10 +239,11 @@ def leaders_pairs(lists: DataFrame, classes: DataFrame, turn: int, percent: int)
     return met.select(F.least("set_key", "lead").alias("a"), F.greatest("set_key", "lead").alias("b")).distinct()
 
 
-def neighbours_pairs(lists: DataFrame, classes: DataFrame, marks: DataFrame, turn: int, percent: int) -> DataFrame:
+def neighbours_pairs(lists: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """Entries with the entry before them in their list, where their classes differ. A list has an
-    order of its own in each turn: by some bytes of the marks, from one on that hashing names."""
-    entries = lists.join(classes, "set_key").join(marks, "set_key")
+    order of its own in each turn: by some bytes of the marks, from one on that hashing names.
+    ``classes``: set_key, class, mark."""
+    entries = lists.join(classes, "set_key")
     first = F.pmod(F.xxhash64(F.lit(turn), "shingle"), F.lit(SKETCH // 32)).cast("int") + 1
     turned = entries.select("shingle", "set_key", "n", "pos", "class", F.substr(F.concat("mark", "mark"), first, F.lit(ORDERING)).alias("bits"))
     order = Window.partitionBy("shingle").orderBy("bits", "set_key")
@@ -255,7 +262,7 @@ def remaining_pairs(lists: DataFrame, classes: DataFrame, marks: DataFrame, perc
     list is of one class. So one that finds a shingle before its own in both leaves the pair to
     that list, and the first list of all that they share finds none.
     """
-    entries = lists.join(classes, "set_key")
+    entries = lists.join(classes.select("set_key", "class"), "set_key")
     mixed = entries.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     left = entries.join(mixed.select("shingle"), "shingle")
     just_before = Window.partitionBy("set_key").orderBy("pos").rowsBetween(-BEFORE, -1)
@@ -353,7 +360,7 @@ def whole_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SEGMENT):
+            for part in _parts(batch):
                 own = list(_sets(part, size))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))],
@@ -376,18 +383,17 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
         .agg(F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("mark", ignorenulls=True).alias("mark"))
     )
     known = cut_lineage(known.join(lists.select("set_key").distinct(), "set_key", "left_semi"))
-    classes = cut_lineage(known.select("set_key", F.col("set_key").alias("class")))
-    marks = known.select("set_key", "mark")
+    classes = cut_lineage(known.select("set_key", F.col("set_key").alias("class"), "mark"))
     tried = None
     turn = 0
     while turn <= TURNS:
         last = turn == TURNS
         if last:
-            pairs = remaining_pairs(lists, classes, marks, percent).distinct()
+            pairs = remaining_pairs(lists, classes, classes.select("set_key", "mark"), percent).distinct()
         elif turn < LEADERS:
             pairs = leaders_pairs(lists, classes, turn, percent)
         else:
-            pairs = neighbours_pairs(lists, classes, marks, turn, percent)
+            pairs = neighbours_pairs(lists, classes, turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
@@ -396,20 +402,20 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
         bodies = cut_lineage(whole_sets(documents, known.join(ends, "set_key"), size))
         links = cut_lineage(compare(close, bodies, percent))
         between = (
-            links.join(classes.withColumnsRenamed({"set_key": "a", "class": "class_a"}), "a")
-            .join(classes.withColumnsRenamed({"set_key": "b", "class": "class_b"}), "b")
+            links.join(classes.select(F.col("set_key").alias("a"), F.col("class").alias("class_a")), "a")
+            .join(classes.select(F.col("set_key").alias("b"), F.col("class").alias("class_b")), "b")
             .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         )
         joined = components(between)
         classes = cut_lineage(
             classes.join(joined.withColumnsRenamed({"node": "class", "component": "merged"}), "class", "left").select(
-                "set_key", F.coalesce("merged", "class").alias("class")
+                "set_key", F.coalesce("merged", "class").alias("class"), "mark"
             )
         )
         tried = pairs if tried is None else tried.unionAll(pairs)
         few = LEADERS <= turn < TURNS and links.count() * LINKING < pairs.count()
         turn = TURNS if few else turn + 1
-    return classes
+    return classes.drop("mark")
 
 
 def classify(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -465,7 +471,7 @@ def with_set_keys(documents: DataFrame, size: int, name: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", SEGMENT):
+            for part in _parts(batch):
                 keys = pa.array([set_key(x) if len(x) else None for x in _sets(part, size)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, name])
 

@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortwise.llm import jaccard
@@ -126,6 +128,26 @@ def test_a_pair_leaves_from_its_first_list(documents, monkeypatch):
     assert len(set(pairs)) > 200 and len(pairs) < 1.3 * len(set(pairs))
 
 
+def test_tasks_hold_the_words_of_few_texts():
+    texts = pa.array([" ".join(f"w{k}x{i}" for i in range(500)) for k in range(1000)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    list(jaccard._sets(batch.slice(0, 100), 5))  # tables that stay
+    tracemalloc.start()
+    try:
+        n = sum(len(own) for part in jaccard._parts(batch) for own in jaccard._sets(part, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 496 * 1000 and peak < 24 << 20
+
+
+def test_a_turn_joins_the_lists_with_their_sets_once(documents):
+    held = jaccard.prefixes(documents(near_copies(5)), 4, 85, np.zeros((2, 0), np.uint64))
+    alone = held.where("mark is not null").selectExpr("set_key", "set_key as class", "mark")
+    pairs = jaccard.neighbours_pairs(jaccard.index_lists(held), alone, 1, 85)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]
