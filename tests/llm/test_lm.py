@@ -84,3 +84,43 @@ def test_em_prefers_what_explains(spark):
     pairs += [(f, 2, c, int(rng.integers(90, 110))) for f in range(4) for c in range(5)]
     weights = lm.learn_weights(np.array(pairs), 6)
     assert weights[lm.bucket(np.array([15000]))[0], 0] > 0.8
+
+
+def test_every_pair_of_words_has_its_own_count(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(40).repartition(3)
+    rows = lm.folded(docs).cache()
+    training = rows.where("fold != 1")
+    known = lm.lexicon(lm.count_words(training), 4, 6)  # almost all words are beyond both limits
+    shared = spark.sparkContext.broadcast(known)
+    model = spark.sparkContext.broadcast(lm.Model(known, np.zeros((known.classes,) * 2, np.float32), np.ones(known.classes), 1.0))
+    blocks = lm.blocks_of(rows).cache()
+    seen = lm.resolve(blocks, lm.answer(lm.ask(blocks, shared, 7), 7), model, training.count()).collect()
+    texts = {r.doc_id: tokens(r.text) for r in rows.collect()}
+    trained = [texts[r.doc_id] for r in training.collect()]
+    words = Counter(t for own in trained for t in own)
+    pairs = Counter(p for own in trained for p in zip([None, *own], own))
+    met = 0
+    for row in seen:
+        counts = lm.unpack_block(row.counts)
+        own = [texts[i] for i in lm.unpack_block(row.body).column("doc_id").to_pylist()]
+        assert counts.column("word").to_pylist() == [words[t] for text in own for t in text]
+        assert counts.column("pair").to_pylist() == [pairs[p] for text in own for p in zip([None, *text], text)]
+        met += len(own)
+    assert met == len(texts) and len(seen) > 1
+
+
+def test_words_beyond_the_vocabulary_foretell(documents):
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(1000) if i not in held]
+    rows = [(i, f"p{k % 40} q{k % 40}") for k, i in enumerate(train)]
+    rows += [(i, f"p{k % 40} q{(k + k // 40) % 40}") for k, i in enumerate(held[:80])]
+    got = {r.doc_id: r.score for r in lm.score(documents(rows), 2, 4).collect()}
+    for right, wrong in zip(held[:40], held[40:80]):
+        assert got[right] > got[wrong] + 1
+
+
+def test_weights_of_words_before():
+    far, near, none = 40 * lm.STEPS // 20, -lm.STEPS, None
+    cell = lambda b, step: b * lm.CELLS + (0 if step is none else lm.CELLS // 2 + step)
+    weight = lm.learn_mixture(np.array([cell(3, far), cell(5, near), cell(6, none)]), np.array([900, 900, 900]))
+    assert weight[3] > 0.9 and weight[5] < 0.2 and weight[6] < 0.01 and weight[0] == 0 and (weight < 1).all()
