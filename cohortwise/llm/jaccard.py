@@ -43,7 +43,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortwise.llm.components import components
 from cohortwise.llm.text import mix, raw, shingles, slices, words
-from cohortwise.scratch import cut_lineage
+from cohortwise.scratch import cut_lineage, shuffles_dropped
 
 SHINGLE = 4
 PERCENT = 85
@@ -98,7 +98,7 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def mark(whole: bytes) -> bytes:
-    """A sketch of a quarter of the bits, for list entries; the same bound holds for it."""
+    """A sketch of a quarter of the bits, by which neighbours in a list are found."""
     return np.bitwise_xor.reduce(np.frombuffer(whole, np.uint64).reshape(4, -1)).tobytes()
 
 
@@ -169,7 +169,7 @@ def frequent_shingles(documents: DataFrame, size: int, percent: int) -> np.ndarr
                     yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
     counts = documents.select("text").mapInArrow(first, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    top = cut_lineage(counts.where(F.col("n") >= OFTEN)).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     shingle = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingle)
     place = len(shingle) - order  # the most frequent last
@@ -256,7 +256,8 @@ def neighbours_pairs(lists: DataFrame, classes: DataFrame, turn: int, percent: i
 
 def remaining_pairs(lists: DataFrame, classes: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """All pairs of different classes that lists of several classes still hold and whose marks
-    are close enough; hardly any comes twice.
+    are close enough. ``marks``: set_key, mark. A quarter of a sketch has fewer bits than large sets
+    that link may differ in, so every pair of such sets would leave; whole sketches tell them apart.
 
     Entries of different classes that meet in a list meet in every list they share, as no such
     list is of one class. So one that finds a shingle before its own in both leaves the pair to
@@ -389,7 +390,7 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
     while turn <= TURNS:
         last = turn == TURNS
         if last:
-            pairs = remaining_pairs(lists, classes, classes.select("set_key", "mark"), percent).distinct()
+            pairs = remaining_pairs(lists, classes, known.select("set_key", F.col("sketch").alias("mark")), percent).distinct()
         elif turn < LEADERS:
             pairs = leaders_pairs(lists, classes, turn, percent)
         else:
@@ -420,10 +421,11 @@ def linked_sets(documents: DataFrame, held: DataFrame, size: int, percent: int)
 
 def classify(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, set_key (equal sets have equal keys)."""
-    often = frequent_shingles(documents, size, percent)
-    held = cut_lineage(prefixes(documents, size, percent, often))
+    with shuffles_dropped(documents.sparkSession):
+        often = frequent_shingles(documents, size, percent)
+        held = cut_lineage(prefixes(documents, size, percent, often))
+        classes = linked_sets(documents, held, size, percent)
     members = held.select("doc_id", "set_key", "n_shingles")
-    classes = linked_sets(documents, held, size, percent)
     named = members.join(classes, "set_key", "left").withColumn(
         "class", F.when(F.col("n_shingles") > 0, F.coalesce("class", "set_key"))
     )

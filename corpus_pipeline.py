@@ -19,15 +19,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents that Spark hands to a Python worker at a time. They may be long, so few of them: the
 #: work of a stage does not depend on it, the memory of a worker does.
-TOGETHER = 1000
+TOGETHER = 250
+#: The same for the stage whose other tables have far more rows, and small ones.
+TOGETHER_IN_LISTS = 1000
 
 
-def few_at_a_time(stage: Stage) -> Stage:
-    """The stage with Python workers that hold ``TOGETHER`` documents at a time; the setting stays
-    for the run of what the stage returns."""
+def few_at_a_time(stage: Stage, together: int = TOGETHER) -> Stage:
+    """The stage with Python workers that hold so many documents at a time; the setting stays for
+    the run of what the stage returns."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TOGETHER))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(together))
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -60,7 +62,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", few_at_a_time(identified)),
-    ("jaccard_join", few_at_a_time(one_of_near_copies)),
+    ("jaccard_join", few_at_a_time(one_of_near_copies, TOGETHER_IN_LISTS)),
     ("decontamination", few_at_a_time(decontaminated)),
     ("pii", few_at_a_time(redacted)),
     ("packing", few_at_a_time(packed)),

@@ -173,3 +173,19 @@ def test_sketches_never_differ_more_than_sets():
         assert np.bitwise_count(a ^ b).sum() <= apart
         a, b = (int.from_bytes(jaccard.mark(jaccard.sketch(v)), "little") for v in (x, y))
         assert (a ^ b).bit_count() <= apart
+
+
+def test_long_texts_with_a_passage_in_common_do_not_meet_in_pairs(documents, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(300))
+    rows = [(i, passage + " " + " ".join(f"t{i}w{k}" for k in range(900))) for i in range(10)]
+    found = []
+    last = jaccard.remaining_pairs
+
+    def counted(*args):
+        pairs = last(*args)
+        found.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "remaining_pairs", counted)
+    got = jaccard.classify(documents(rows), 5, 80).collect()
+    assert {r.component_id for r in got} == set(range(10)) and found == [0]
